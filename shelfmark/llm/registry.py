@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, language, line_dedup, simhash, token_count, topk
+from shelfmark.llm import bpe, contamination, language, licences, line_dedup, quality, simhash, token_count, topk
 from shelfmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,57 @@ FROM m GROUP BY doc_id
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql_words(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+ORACLE["op8_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_sql_words("text")} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS id, {_sql_words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT id, m, array_to_string(w[p:p + m - 1], ' ') AS win FROM
+       (SELECT id, w, least(len(w), 13) AS m, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+ms AS (SELECT DISTINCT m FROM iw),
+dw AS (SELECT doc_id, m, p, array_to_string(w[p:p + m - 1], ' ') AS win FROM
+       (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, ms WHERE len(w) >= m)),
+h AS (SELECT dw.doc_id, iw.id, dw.p, dw.m FROM dw JOIN iw USING (m, win)),
+n AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + m)) AS x FROM h) GROUP BY doc_id),
+s AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(s.n, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(s.ids, '')) AS items_sha256, coalesce(n.n, 0) > 0 AND 20 * coalesce(n.n, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digests(table(spark, sf_dir, "documents"))
+
+
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in licences.TEMPLATES)
+_BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))"
+_ASCII_WORDS = "list_transform(regexp_extract_all({}, '[A-Za-z0-9]+'), lambda x: lower(x))"
+ORACLE["op2_license_scan"] = f"""
+WITH t AS (SELECT id, {_BIGRAMS} AS b FROM (SELECT id, {_ASCII_WORDS.format("text")} AS w FROM (VALUES {_TEMPLATE_ROWS}) AS v(id, text))),
+d AS (SELECT doc_id, list_concat([coalesce(text, '')], string_split(coalesce(text, ''), chr(10))) AS us FROM documents),
+u AS (SELECT doc_id, unit, {_ASCII_WORDS.format("x")} AS w FROM (SELECT doc_id, unnest(us) AS x, generate_subscripts(us, 1) AS unit FROM d)),
+b AS (SELECT doc_id, unit, {_BIGRAMS} AS b FROM u WHERE len(w) > 1 AND list_has_any(w, (SELECT list_distinct(flatten(list(string_split_regex(array_to_string(b, ' '), ' ')))) FROM t))),
+s AS (SELECT doc_id, unit, id, 2.0::DOUBLE * len(list_intersect(b.b, t.b)) / (len(b.b) + len(t.b)) AS score FROM b, t
+      WHERE 5 * 2 * least(len(b.b), len(t.b)) >= 4 * (len(b.b) + len(t.b))),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, unit ORDER BY score DESC, id) AS k FROM s WHERE score >= 0.8),
+g AS (SELECT doc_id, count(*) AS n_units, array_to_string(list_sort(list(DISTINCT id)), ',') AS licenses, max(score) AS best_score FROM r WHERE k = 1 GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, coalesce(licenses, '') AS licenses, coalesce(best_score, 0.0) AS best_score
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
