@@ -1 +1 @@
-
+"""Column expressions; all stay on the JVM side."""

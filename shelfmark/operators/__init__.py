@@ -1 +1 @@
-
+"""Relational operators: functions from DataFrames to DataFrames."""
