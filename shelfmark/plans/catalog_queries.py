@@ -5,7 +5,612 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfmark.functions import rules, scalars
+from shelfmark.functions.vectors import unit
+from shelfmark.operators import catalog, geometry, gold, labels, learn, retrieve, review, sonic, stats
+from shelfmark.plans.standins import CLASSES, WEAK_MAP, oracle, view
+from shelfmark.sources import features as feature_tables
+from shelfmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "review_queue_ranked"
+VOCABULARY = dict(WEAK_MAP)
+CLOSE = 0.3  # the driver's vectors have no pairs over 0.52
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its oracle."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = oracle(sql)
+        return f
+
+    return add
+
+
+_DOT = "list_inner_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
+_SIM = f"SELECT b.vec_id, round({_DOT.format('b.vec', 'a.vec')}, 6) AS score FROM @vectors a JOIN @vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id = 0"
+
+
+# Similarity
+
+
+@query(f"{_SIM} ORDER BY score DESC, vec_id LIMIT 20")
+def sim_topk(spark, d):
+    return retrieve.neighbors(view(spark, d, "vectors"), "vec_id", 0, 20)
+
+
+@query(f"SELECT h.vec_id, h.score, t.lang, t.source, t.n_chars FROM ({_SIM} ORDER BY score DESC, vec_id LIMIT 20) h LEFT JOIN documents t ON h.vec_id = t.doc_id")
+def sim_topk_meta(spark, d):
+    hits = retrieve.neighbors(view(spark, d, "vectors"), "vec_id", 0, 20)
+    meta = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source", "n_chars")
+    return hits.join(meta, "vec_id", "left")
+
+
+@query(f"SELECT b.vec_id, round({_DOT.format('b.vec', 'a.vec')}, 6) AS score FROM @vectors a, @vectors b WHERE a.vec_id = 7 ORDER BY score DESC, vec_id LIMIT 10 OFFSET 20")
+def search_page(spark, d):
+    vectors = view(spark, d, "vectors")
+    return retrieve.page(vectors, "vec_id", vectors.where("vec_id = 7").select(F.col("vec").alias("qvec")), 10, 20)
+
+
+@query("SELECT path, row_id FROM @samples WHERE path = 'SRC3/12' OR contains(lower(path), 'src3/12') ORDER BY path = 'SRC3/12' DESC, row_id LIMIT 1")
+def resolve_query(spark, d):
+    return retrieve.resolve(view(spark, d, "samples"), "path", "row_id", "SRC3/12").select("path", "row_id")
+
+
+def _path_vectors(spark, d):
+    return view(spark, d, "samples").select("row_id", "path").join(view(spark, d, "vectors").select(F.col("vec_id").alias("row_id"), "vec"), "row_id")
+
+
+_PV = "(SELECT s.path, s.row_id, v.vec FROM @samples s JOIN @vectors v ON s.row_id = v.vec_id)"
+
+
+@query(f"SELECT b.path, round({_DOT.format('b.vec', 'a.vec')}, 6) AS score FROM {_PV} b, (SELECT * FROM {_PV} WHERE contains(path, '/5.') ORDER BY row_id LIMIT 1) a WHERE a.path <> b.path ORDER BY score DESC, path LIMIT 24")
+def similar_items(spark, d):
+    rows = _path_vectors(spark, d)
+    return retrieve.similar(rows, rows, "/5.", 24)
+
+
+@query(f"SELECT h.path, h.score, h.score >= 0.3 AS selected FROM (SELECT b.path, round({_DOT.format('b.vec', 'a.vec')}, 6) AS score FROM {_PV} b, {_PV} a WHERE a.path = 'lib/src0/0.wav' AND a.path <> b.path ORDER BY score DESC, path LIMIT 24) h JOIN @samples s USING (path) WHERE s.human_instrument IS NULL OR s.human_instrument = ''")
+def propagate_candidates(spark, d):
+    return retrieve.propagate_candidates(_path_vectors(spark, d).select("path", "vec"), view(spark, d, "samples"), "lib/src0/0.wav", 24, CLOSE)
+
+
+@query(f"SELECT path, (SELECT count(*) FROM @points) - 1 AS n, score FROM (SELECT b.path, round({_DOT.format('b.vec', 'a.vec')}, 6) AS score FROM {_PV} b, {_PV} a WHERE a.row_id = 3 AND b.row_id <> 3 AND b.row_id % 2 = 0) ORDER BY score DESC, path LIMIT 5")
+def paged_with_total(spark, d):
+    rows = _path_vectors(spark, d)
+    asked = rows.where("row_id = 3").select(F.col("vec").alias("qvec"))
+    total = F.broadcast(view(spark, d, "points").agg((F.count("*") - 1).alias("n")))
+    return retrieve.page(rows.where("row_id <> 3 AND row_id % 2 = 0"), "path", asked, 5).crossJoin(total).select("path", "n", "score")
+
+
+# Dashboard
+
+
+@query("SELECT status <> 'missing' AND model_instrument IS NOT NULL AS x, model_instrument AS label, count(*) AS n FROM @samples WHERE status <> 'missing' AND model_instrument IS NOT NULL GROUP BY ALL ORDER BY n DESC, label LIMIT 14")
+def label_dist_top14(spark, d):
+    return stats.distribution(view(spark, d, "samples"), "model_instrument").select(F.lit(True).alias("x"), "label", "n")
+
+
+@query("SELECT count(*) AS active, count(path_instrument) AS path, count(panns_instrument) AS panns, count(human_instrument) AS human, count(*) FILTER (WHERE path_instrument IS NOT NULL OR panns_instrument IS NOT NULL) AS any_label FROM @samples WHERE status <> 'missing'")
+def coverage(spark, d):
+    return stats.coverage(view(spark, d, "samples"))
+
+
+@query("SELECT count(*) FILTER (WHERE status <> 'missing') AS processed, count(*) FILTER (WHERE status = 'error') AS errors, count(model_conf) AS modelled FROM @samples")
+def status_totals(spark, d):
+    return stats.totals(view(spark, d, "samples"))
+
+
+@query("SELECT label, count(*) AS n FROM @sample_labels GROUP BY label")
+def set_distribution(spark, d):
+    return stats.set_distribution(view(spark, d, "sample_labels"))
+
+
+@query("SELECT concat(b, '–', b + 9) AS label, n FROM (SELECT CAST(bpm // 10 * 10 AS INT) AS b, count(*) AS n FROM @samples WHERE bpm IS NOT NULL GROUP BY 1)")
+def value_hist10(spark, d):
+    return stats.bpm_histogram(view(spark, d, "samples"))
+
+
+@query("SELECT printf('%.1f+', b / 10.0) AS label, n FROM (SELECT floor(model_conf * 10) AS b, count(*) AS n FROM @samples WHERE model_conf IS NOT NULL GROUP BY 1)")
+def conf_hist(spark, d):
+    return stats.confidence_histogram(view(spark, d, "samples"))
+
+
+@query("SELECT m.label, count(DISTINCT m.path) AS n FROM @model_labels m JOIN @samples s ON m.path = s.path WHERE s.status <> 'missing' GROUP BY m.label")
+def distinct_per_label(spark, d):
+    return gold.pool_sizes(view(spark, d, "samples"), view(spark, d, "model_labels"))
+
+
+@query("SELECT path, error FROM @samples WHERE status = 'error' ORDER BY ts DESC NULLS LAST, path LIMIT 15")
+def recent_errors(spark, d):
+    return stats.recent_errors(view(spark, d, "samples"))
+
+
+@query("SELECT source AS label, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (), 1) AS pct FROM @samples WHERE source IS NOT NULL GROUP BY source")
+def source_shares(spark, d):
+    rows = view(spark, d, "samples").where("source IS NOT NULL")
+    return stats.shares(rows.groupBy(F.col("source").alias("label")).agg(F.count("*").alias("n")))
+
+
+@query("SELECT l_returnflag AS label, l_linestatus AS kind, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ALL")
+def lineitem_distribution(spark, d):
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("label"), F.col("l_linestatus").alias("kind"))
+    return rows.agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query("SELECT event_type, CAST(floor(value / 10) * 10 AS INT) AS bucket, count(*) AS n, CAST(max(CAST(json_extract_string(props, '$.k') AS INT)) AS INT) AS top FROM events GROUP BY ALL")
+def event_histogram(spark, d):
+    rows = table(spark, d, "events").select("event_type", (F.floor(F.col("value") / 10) * 10).cast("int").alias("bucket"), F.from_json("props", "k int")["k"].alias("k"))
+    return rows.groupBy("event_type", "bucket").agg(F.count("*").alias("n"), F.max("k").alias("top"))
+
+
+@query("SELECT version, macro_f1, per_class_f1 FROM (SELECT CAST(event_id AS VARCHAR) AS version, value AS macro_f1, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS per_class_f1, ts FROM events WHERE event_id % 50 = 0 ORDER BY ts DESC, version LIMIT 10)")
+def metrics_json(spark, d):
+    rows = table(spark, d, "events").where("event_id % 50 = 0")
+    metrics = rows.select(F.col("event_id").cast("string").alias("version"), F.col("ts"), F.lit(1).alias("val_n"), F.col("value").alias("macro_f1"), F.col("props").alias("per_class_f1"), F.col("props").alias("coverage"), F.lit(None).cast("string").alias("notes"))
+    return stats.metrics_trend(metrics).select("version", "macro_f1", F.col("per_class_f1")["k"].alias("per_class_f1"))
+
+
+@query("SELECT 'v1' AS version, sum(CASE WHEN source = 'human' THEN 1 ELSE 0 END)::DOUBLE AS resolved_human, sum(CASE WHEN source = 'model' THEN 1 ELSE 0 END)::DOUBLE AS resolved_model, 5.0::DOUBLE AS n FROM @samples")
+def metrics_patch(spark, d):
+    metrics = spark.createDataFrame([("v1", '{"n": 5}')], "version string, coverage string")
+    parsed = stats.patch_coverage(metrics, "v1", view(spark, d, "samples")).select("version", F.from_json("coverage", "map<string,double>").alias("c"))
+    return parsed.select("version", *(F.col("c")[k].alias(k) for k in ("resolved_human", "resolved_model", "n")))
+
+
+# Path rules
+
+_FIRST = " ".join(f"WHEN regexp_matches(lower(path), '{p}') THEN '{n}'" for n, p in rules.INSTRUMENTS)
+_BASE = "list_extract(string_split(path, '/'), -1)"
+
+
+@query(f"SELECT p_partkey, CASE {_FIRST} END AS instrument FROM @paths")
+def path_rule_first_match(spark, d):
+    return view(spark, d, "paths").select("p_partkey", rules.first_rule(F.lower("path")).alias("instrument"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN regexp_matches(lower(path), '{rules.ONESHOT}') THEN 'oneshot' WHEN regexp_matches(lower(path), '{rules.LOOP}') THEN 'loop' END AS sample_type FROM @paths")
+def sample_type_rule(spark, d):
+    return view(spark, d, "paths").select("p_partkey", rules.sample_type(F.col("path")).alias("sample_type"))
+
+
+@query(f"SELECT p_partkey, CASE WHEN b BETWEEN 40 AND 300 THEN b END AS bpm FROM (SELECT p_partkey, CAST(nullif(regexp_extract(lower({_BASE}), '(^|[^0-9])([0-9]{{2,3}})\\s?bpm\\b', 2), '') AS INT) AS b FROM @paths)")
+def bpm_rule(spark, d):
+    return view(spark, d, "paths").select("p_partkey", rules.bpm(F.col("path")).alias("bpm"))
+
+
+_KEY = r"(^|[^A-Za-z])([A-G])[ _]?(#|b)?[ _]?((?i:maj(?:or)?|min(?:or)?|m))?\b"
+_SHARP = " ".join(f"WHEN '{f[0]}' THEN '{s}'" for f, s in rules.SHARPS)
+
+
+@query(f"""
+WITH g AS (SELECT p_partkey, {_BASE} AS b FROM @paths),
+x AS (SELECT p_partkey, b, regexp_extract(b, '{_KEY}', 2) AS n, regexp_extract(b, '{_KEY}', 3) AS a, lower(regexp_extract(b, '{_KEY}', 4)) AS q FROM g)
+SELECT p_partkey, CASE WHEN n <> '' AND (regexp_matches(lower(b), '{rules.KEY_WORD}') OR regexp_matches(b, '{rules.KEY_NOTE}'))
+  THEN concat(CASE WHEN a = 'b' THEN CASE n {_SHARP} END ELSE concat(n, a) END, CASE WHEN starts_with(q, 'm') AND NOT starts_with(q, 'maj') THEN 'm' ELSE '' END) END AS key FROM x""")
+def key_rule(spark, d):
+    return view(spark, d, "paths").select("p_partkey", rules.musical_key(F.col("path")).alias("key"))
+
+
+# The catalog
+
+
+def _scan(spark, d):
+    """What a later scan finds: most of the catalog, some of it changed, and new files."""
+    samples = view(spark, d, "samples").where("row_id % 19 <> 0")
+    seen = samples.select("path", F.when(F.col("row_id") % 4 == 0, F.col("mtime") + 1).otherwise(F.col("mtime")).alias("mtime"), "size", F.lit("kick").alias("path_instrument"))
+    new = samples.where("row_id % 23 = 0").select(F.concat("path", F.lit(".flac")).alias("path"), "mtime", "size", F.lit("clap").alias("path_instrument"))
+    return seen.unionByName(new)
+
+
+_SCAN = """scan AS (SELECT path, CASE WHEN row_id % 4 = 0 THEN mtime + 1 ELSE mtime END AS mtime, size, 'kick' AS hint FROM @samples WHERE row_id % 19 <> 0
+UNION ALL SELECT concat(path, '.flac'), mtime, size, 'clap' FROM @samples WHERE row_id % 19 <> 0 AND row_id % 23 = 0)"""
+
+
+@query(f"WITH {_SCAN} SELECT path, coalesce(f.mtime, s.mtime) AS mtime, coalesce(f.size, s.size) AS size, CASE WHEN s.path IS NULL OR (f.path IS NOT NULL AND s.status = 'missing') THEN 'new' ELSE s.status END AS status, coalesce(s.path_instrument, f.hint) AS path_instrument, s.human_instrument FROM @samples s FULL JOIN scan f USING (path)")
+def catalog_upsert(spark, d):
+    done = catalog.upsert(view(spark, d, "samples"), _scan(spark, d), F.lit(0.0))
+    return done.select("path", "mtime", "size", "status", "path_instrument", "human_instrument")
+
+
+@query("SELECT path, CASE WHEN row_id % 19 = 0 THEN 'missing' ELSE status END AS status FROM @samples")
+def mark_missing(spark, d):
+    return catalog.mark_missing(view(spark, d, "samples").select("path", "status"), _scan(spark, d))
+
+
+@query(f"WITH {_SCAN} SELECT f.path, f.mtime, f.size FROM scan f LEFT JOIN @samples s ON f.path = s.path WHERE s.path IS NULL OR s.status = 'missing' OR round(f.mtime, 3) <> round(s.mtime, 3) OR f.size <> s.size")
+def changed_files(spark, d):
+    return catalog.changed_files(_scan(spark, d).drop("path_instrument"), view(spark, d, "samples"), trust_known=False)
+
+
+@query(f"WITH {_SCAN} SELECT f.path FROM scan f LEFT JOIN @samples s ON f.path = s.path WHERE s.path IS NULL OR s.status = 'missing'")
+def new_files(spark, d):
+    return catalog.changed_files(_scan(spark, d).select("path", "mtime", "size"), view(spark, d, "samples")).select("path")
+
+
+@query("SELECT path FROM @samples WHERE status <> 'missing' AND (path_instrument IS NULL OR panns_instrument IS NULL)")
+def label_todo(spark, d):
+    return catalog.label_todo(view(spark, d, "samples"), ["path", "panns"]).select("path")
+
+
+@query("SELECT path, CASE WHEN row_id % 6 = 0 THEN coalesce(path_instrument, 'tom') ELSE path_instrument END AS path_instrument, CASE WHEN row_id % 6 = 0 THEN 'bass' ELSE panns_instrument END AS panns_instrument, CASE WHEN row_id % 6 = 0 THEN 'ok' WHEN row_id % 6 = 1 THEN 'error' ELSE status END AS status FROM @samples")
+def label_update(spark, d):
+    samples = view(spark, d, "samples")
+    results = samples.where("row_id % 6 < 2").select("path", (F.col("row_id") % 6 == 0).alias("ok"), F.lit(None).cast("string").alias("error"), F.lit("tom").alias("path_instrument"), F.lit("bass").alias("panns_instrument"))
+    return catalog.label_update(samples, results, redo=["panns"]).select("path", "path_instrument", "panns_instrument", "status")
+
+
+@query("SELECT path FROM @samples WHERE (is_val OR coalesce(human_instrument, '') <> '') AND row_id % 2 = 1")
+def embed_resume(spark, d):
+    samples = view(spark, d, "samples")
+    return catalog.resume(catalog.embed_set(samples, full=False), samples.where("row_id % 2 = 0"))
+
+
+# Label sets
+
+
+@query("SELECT path, list(label ORDER BY rank, label) AS labels FROM @sample_labels GROUP BY path")
+def label_set_ordered(spark, d):
+    return labels.label_sets(view(spark, d, "sample_labels"))
+
+
+@query("SELECT path, arg_min(label, rank) AS human_instrument FROM @sample_labels WHERE label <> 'user' GROUP BY path")
+def label_promote(spark, d):
+    return view(spark, d, "sample_labels").where("label <> 'user'").groupBy("path").agg(F.min_by("label", "rank").alias("human_instrument"))
+
+
+@query("SELECT path, CASE WHEN human_instrument = 'en' THEN NULL ELSE human_instrument END AS human_instrument, CASE WHEN human_instrument = 'en' THEN NULL ELSE label_source END AS label_source, CASE WHEN human_instrument = 'en' THEN CASE WHEN model_instrument IS NOT NULL THEN 'model' WHEN panns_instrument IS NOT NULL THEN 'panns' WHEN path_instrument IS NOT NULL THEN 'path' ELSE 'none' END ELSE source END AS source FROM @samples")
+def label_delete(spark, d):
+    samples = view(spark, d, "samples").withColumn("instrument", F.lit(None).cast("string"))
+    sets = samples.where("human_instrument IS NOT NULL").select("path", F.col("human_instrument").alias("label"), F.lit(1).alias("rank"), F.lit(0.0).alias("ts"))
+    after, _, _, _ = labels.delete_label(samples, sets, view(spark, d, "taxonomy"), "en")
+    return after.select("path", "human_instrument", "label_source", "source")
+
+
+@query("SELECT path, CASE WHEN hit THEN 'es' ELSE human_instrument END AS human_instrument, CASE WHEN hit THEN 'propagate' ELSE label_source END AS label_source, CASE WHEN hit THEN 'human' ELSE source END AS source FROM (SELECT *, row_id % 3 = 0 AND human_instrument IS NULL AS hit FROM @samples)")
+def label_bulk(spark, d):
+    samples = view(spark, d, "samples").withColumn("instrument", F.lit(None).cast("string"))
+    none = samples.limit(0).select("path", F.lit("").alias("label"), F.lit(1).alias("rank"), F.lit(0.0).alias("ts"))
+    after, _, _ = labels.propagate(samples, none, samples.where("row_id % 3 = 0"), ["es", "", "de", "es"], view(spark, d, "taxonomy"))
+    return after.select("path", "human_instrument", "label_source", "source")
+
+
+@query("SELECT path, CASE WHEN human_instrument IS NOT NULL THEN human_instrument WHEN model_instrument IS NOT NULL AND model_conf >= 0.6 THEN model_instrument ELSE path_instrument END AS instrument, CASE WHEN human_instrument IS NOT NULL THEN 'human' WHEN model_instrument IS NOT NULL AND model_conf >= 0.6 THEN 'model' WHEN path_instrument IS NOT NULL THEN 'path' ELSE 'none' END AS source FROM @samples")
+def resolve_predict(spark, d):
+    return view(spark, d, "samples").select("path", *labels.resolve_predict(F.col("human_instrument"), F.col("model_instrument"), F.col("model_conf"), F.lit(0.6), F.col("path_instrument")))
+
+
+@query("SELECT path, coalesce(human_instrument, model_instrument, panns_instrument, path_instrument) AS instrument, CASE WHEN human_instrument IS NOT NULL THEN 'human' WHEN model_instrument IS NOT NULL THEN 'model' WHEN panns_instrument IS NOT NULL THEN 'panns' WHEN path_instrument IS NOT NULL THEN 'path' ELSE 'none' END AS source FROM @samples")
+def resolve_interactive(spark, d):
+    return view(spark, d, "samples").select("path", *labels.resolve_interactive(*(F.col(c) for c in ("human_instrument", "model_instrument", "panns_instrument", "path_instrument"))))
+
+
+@query("SELECT path, list(label ORDER BY label) AS labels FROM (SELECT DISTINCT path, label FROM @model_labels) GROUP BY path")
+def model_label_sets(spark, d):
+    return view(spark, d, "model_labels").groupBy("path").agg(F.sort_array(F.collect_set("label")).alias("labels"))
+
+
+# Learning
+
+_M = "CASE {0} WHEN 'old_en' THEN 'en' WHEN 'old_de' THEN 'de' WHEN 'assistant' THEN 'en' ELSE {0} END"
+_IN = "IN ('de', 'en', 'es', 'fr')"
+
+
+@query(f"""
+WITH w AS (SELECT *, CASE WHEN path_instrument {_IN} THEN path_instrument ELSE {_M.format("panns_instrument")} END AS c FROM @samples)
+SELECT path, CASE WHEN human_instrument IS NOT NULL THEN [human_instrument] ELSE [c] END AS targets,
+  CASE WHEN is_val OR label_source = 'single' THEN 1.0 WHEN human_instrument IS NOT NULL THEN 0.5 ELSE 0.2 END::DOUBLE AS weight, is_val
+FROM w WHERE human_instrument IS NOT NULL OR (NOT is_val AND c {_IN})""")
+def weak_dataset_weights(spark, d):
+    samples = view(spark, d, "samples")
+    none = samples.limit(0).select("path", F.lit("").alias("label"), F.lit(1).alias("rank"))
+    return learn.build_dataset(samples, none, list(CLASSES), VOCABULARY)
+
+
+def _heads(spark, d):
+    """Class centroids as deterministic heads: one row for each label of the vectors."""
+    rows = view(spark, d, "vectors")
+    means = rows.groupBy("label").agg(*(F.avg(F.col("vec")[k].cast("double")).alias(f"v{k}") for k in range(64))).orderBy("label").collect()
+    return [learn.Head(str(r.label), tuple(8 * r[f"v{k}"] for k in range(64)), 0.1 * (r.label % 3)) for r in means]
+
+
+_SCORES = f"""
+c AS (SELECT label, list(8 * m ORDER BY k) AS w FROM (SELECT label, k, avg(CAST(vec[k] AS DOUBLE)) AS m FROM (SELECT label, vec, unnest(range(1, 65)) AS k FROM @vectors) GROUP BY label, k) GROUP BY label),
+p AS (SELECT v.vec_id, v.label AS truth, c.label AS cls, 1 / (1 + exp(-({_DOT.format("v.vec", "c.w")} + 0.1 * (c.label % 3)))) AS p FROM @vectors v, c)"""
+
+
+def _scored(spark, d):
+    heads = _heads(spark, d)
+    rows = view(spark, d, "vectors").select(F.col("vec_id").alias("path"), "vec", F.array(F.col("label").cast("string")).alias("targets"))
+    return learn.score(rows, heads), heads
+
+
+@query(f"WITH {_SCORES} SELECT vec_id, CAST(cls AS VARCHAR) AS class, round(p, 6) AS p FROM p")
+def scores_long(spark, d):
+    scored, heads = _scored(spark, d)
+    rows = learn.long_scores(scored, [h.name for h in heads])
+    return rows.select(F.col("path").alias("vec_id"), "class", F.round("p", 6).alias("p"))
+
+
+@query(f"WITH {_SCORES} SELECT vec_id, CAST(arg_max(cls, p) AS VARCHAR) AS top1, round(max(p), 6) AS conf, round(2 * min(abs(p - 0.5)), 6) AS margin, CAST(arg_min(cls, abs(p - 0.5)) AS VARCHAR) AS margin_label FROM p GROUP BY vec_id")
+def top1_margin(spark, d):
+    done = learn.predictions(*_scored(spark, d))
+    return done.select(F.col("path").alias("vec_id"), "top1", F.round("top1_conf", 6).alias("conf"), F.round("margin", 6).alias("margin"), "margin_label")
+
+
+@query(f"WITH {_SCORES}, m AS (SELECT vec_id, max(p) AS m FROM p GROUP BY vec_id) SELECT p.vec_id, CAST(cls AS VARCHAR) AS label, round(round(p, 4), 3) AS conf FROM p JOIN m USING (vec_id) WHERE p >= 0.6 OR p = m.m")
+def model_labels_emit(spark, d):
+    rows = learn.emitted_labels(learn.predictions(*_scored(spark, d)))
+    return rows.select(F.col("path").alias("vec_id"), "label", F.round("conf", 3).alias("conf"))
+
+
+@query(f"""
+WITH {_SCORES}, g AS (SELECT i, round(0.30 + 0.02 * i, 2) AS t FROM range(0, 35) r(i)),
+s AS (SELECT cls, g.t, sum(CASE WHEN cls = truth THEN 1 ELSE 0 END) AS tp, count(*) AS n FROM p, g WHERE p >= g.t GROUP BY cls, g.t),
+b AS (SELECT cls, min(t) AS t FROM s WHERE tp / n >= 0.15 GROUP BY cls)
+SELECT CAST(cls AS VARCHAR) AS class, CASE WHEN pos >= 10 AND t IS NOT NULL THEN t ELSE 0.6 END::DOUBLE AS threshold
+FROM (SELECT cls, sum(CASE WHEN cls = truth THEN 1 ELSE 0 END) AS pos FROM p GROUP BY cls) LEFT JOIN b USING (cls)""")
+def threshold_calibration(spark, d):
+    scored, heads = _scored(spark, d)
+    return learn.calibrate(learn.long_scores(scored, [h.name for h in heads]), target=0.15)
+
+
+@query(f"""
+WITH {_SCORES}, m AS (SELECT vec_id, arg_max(cls, p) AS best FROM p GROUP BY vec_id),
+j AS (SELECT cls, cls = truth AS y, p >= 0.6 OR cls = best AS o FROM p JOIN m USING (vec_id)),
+s AS (SELECT cls, count(*) FILTER (WHERE o AND y) AS tp, count(*) FILTER (WHERE o AND NOT y) AS fp, count(*) FILTER (WHERE NOT o AND y) AS fn FROM j GROUP BY cls)
+SELECT CAST(cls AS VARCHAR) AS class, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1 FROM s""")
+def prf_report(spark, d):
+    scored, heads = _scored(spark, d)
+    flat = spark.createDataFrame([(h.name, 0.6) for h in heads], "class string, threshold double")
+    rows = learn.report(learn.long_scores(scored, [h.name for h in heads]), flat)
+    return rows.select("class", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+@query(f"WITH {_SCORES} SELECT count(*) AS n, count(*) FILTER (WHERE m >= 0.6) AS covered FROM (SELECT vec_id, max(p) AS m FROM p GROUP BY vec_id)")
+def coverage_any(spark, d):
+    return learn.confident_share(*_scored(spark, d))
+
+
+@query(f"SELECT v.vec_id, CAST(a.label AS VARCHAR) AS class, round({_DOT.format('v.vec', 'a.vec')}, 6) AS p FROM @vectors v, (SELECT * FROM @vectors WHERE vec_id < 3) a WHERE a.vec_id < 3")
+def zero_shot_scores(spark, d):
+    rows = view(spark, d, "vectors")
+    picked = rows.where("vec_id < 3").orderBy("vec_id").collect()  # three prompts
+    scored = learn.zero_shot(rows.select(F.col("vec_id").alias("path"), "vec", F.array().cast("array<string>").alias("targets")), {f"{r.vec_id}": [float(x) for x in r.vec] for r in picked})
+    names = F.array(*(F.lit(str(r.label)) for r in picked))
+    return scored.select("path", F.posexplode("probs").alias("k", "p")).select(F.col("path").alias("vec_id"), names[F.col("k")].alias("class"), F.round("p", 6).alias("p"))
+
+
+@query()
+def ovr_train_predict(spark, d):
+    samples = view(spark, d, "samples").withColumns({"instrument": F.lit(None).cast("string"), "model_version": F.lit(None).cast("string")})
+    rows = _path_vectors(spark, d).select("path", "vec")
+    none = samples.limit(0).select("path", F.lit("").alias("label"), F.lit(1).alias("rank"))
+    heads, _ = learn.train(rows, samples, none, list(CLASSES), VOCABULARY, now=0.0)
+    after, _ = learn.predict(rows, samples, heads, "ovr_v0", VOCABULARY)
+    return after.select("path", "model_instrument", "model_conf", "model_margin", "instrument", "source")
+
+
+# The review queue
+
+_QUEUE = """
+q AS (SELECT s.*, m.new_label AS pm FROM @samples s LEFT JOIN (SELECT old_label, new_label FROM @weak_map UNION ALL SELECT name, name FROM @taxonomy WHERE name NOT IN (SELECT old_label FROM @weak_map)) m ON s.panns_instrument = m.old_label
+      WHERE status <> 'missing' AND source <> 'human' AND (human_instrument IS NULL OR human_instrument = '')),
+r AS (SELECT *, coalesce(path_instrument <> pm, false) OR coalesce(model_instrument <> path_instrument, false) AS disagree FROM q),
+t AS (SELECT *, coalesce(model_margin, model_conf, 1.0) - CASE WHEN disagree THEN 2.0 ELSE 0.0 END AS sort_score FROM r),
+u AS (SELECT *, row_number() OVER (PARTITION BY coalesce(model_instrument, 'unknown') ORDER BY sort_score, path) AS rn FROM t)"""
+
+
+def _ranked(spark, d, mode="disagree"):
+    rows = review.candidates(view(spark, d, "samples"), view(spark, d, "model_labels"), mode)
+    return review.ranked(rows, review.vocabulary(view(spark, d, "weak_map"), view(spark, d, "taxonomy")))
+
+
+@query(f"WITH {_QUEUE} SELECT path, model_instrument, round(sort_score, 9) AS sort_score, disagree, CAST(rn AS INT) AS rn FROM u WHERE rn <= 100")
+def review_queue_ranked(spark, d):
+    return _ranked(spark, d).select("path", "model_instrument", F.round("sort_score", 9).alias("sort_score"), "disagree", "rn")
+
+
+@query(f"WITH {_QUEUE} SELECT path FROM q WHERE model_margin_label = 'es' OR EXISTS (SELECT 1 FROM @model_labels m WHERE m.path = q.path AND m.label = 'es')")
+def review_queue_class(spark, d):
+    return review.candidates(view(spark, d, "samples"), view(spark, d, "model_labels"), "class_es").select("path")
+
+
+@query("SELECT path FROM @samples WHERE gold_candidate AND (human_instrument IS NULL OR human_instrument = '')")
+def review_queue_gold(spark, d):
+    return review.candidates(view(spark, d, "samples"), view(spark, d, "model_labels"), "gold").select("path")
+
+
+@query()
+def review_queue_full(spark, d):
+    words = review.vocabulary(view(spark, d, "weak_map"), view(spark, d, "taxonomy"))
+    rows, _ = review.queue(view(spark, d, "samples"), view(spark, d, "model_labels"), view(spark, d, "sample_labels"), _path_vectors(spark, d), words, too_close=CLOSE)
+    return rows.select("path", "rn", "sort_score", "labels", "model_set")
+
+
+@query(f"WITH {_QUEUE} SELECT count(*) AS total FROM q")
+def review_queue_total(spark, d):
+    return review.candidates(view(spark, d, "samples"), view(spark, d, "model_labels")).agg(F.count("*").alias("total"))
+
+
+_THREE = ", ".join(_M.format(c) for c in ("model_instrument", "panns_instrument", "path_instrument"))
+
+
+@query(f"SELECT path, len(list_distinct([x for x in [{_THREE}] if x IS NOT NULL])) > 1 AS disagree FROM @samples")
+def disagreement_flag(spark, d):
+    return view(spark, d, "samples").select("path", retrieve.disagree(F.col("model_instrument"), F.col("panns_instrument"), F.col("path_instrument"), VOCABULARY).alias("disagree"))
+
+
+@query(f"SELECT path, [x for x in [{_THREE}] if x {_IN}][1] AS suggestion FROM @samples")
+def suggestion(spark, d):
+    return view(spark, d, "samples").select("path", retrieve.suggestion(F.col("model_instrument"), F.col("panns_instrument"), F.col("path_instrument"), VOCABULARY, list(CLASSES)).alias("suggestion"))
+
+
+@query("SELECT path, best FROM (SELECT path, duration_s, sample_type, coalesce(human_instrument, model_instrument, panns_instrument, '?') AS best FROM @samples) WHERE best = 'en' AND (sample_type IS NULL OR sample_type NOT IN ('oneshot', 'loop')) AND coalesce(duration_s, 0) <= 3")
+def hit_filter(spark, d):
+    best = retrieve.best_label(F.array_compact(F.array("human_instrument")), F.lit(None), F.col("model_instrument"), F.col("panns_instrument"))
+    rows = view(spark, d, "samples").withColumn("best", best)
+    return rows.where(retrieve.hit_filter(F.col("best"), F.col("sample_type"), F.col("duration_s"), "en", "other", 3)).select("path", "best")
+
+
+@query("SELECT path, rating > 0 AS rated, false AS typed, human_instrument IS NOT NULL AS labeled, false AS complete FROM @samples")
+def review_steps(spark, d):
+    return retrieve.review_steps(view(spark, d, "samples").withColumn("human_sample_type", F.lit(None).cast("string")))
+
+
+# The evaluation set
+
+
+@query("SELECT m.label, count(*) AS n, count(*) FILTER (WHERE s.gold_candidate) AS have FROM (SELECT DISTINCT path, label FROM @model_labels) m JOIN @samples s ON m.path = s.path WHERE s.status <> 'missing' GROUP BY m.label")
+def gold_pool(spark, d):
+    rows = view(spark, d, "model_labels").select("path", "label").distinct().join(view(spark, d, "samples").where(catalog.active()).select("path", "gold_candidate"), "path")
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.count_if("gold_candidate").alias("have"))
+
+
+@query("SELECT c AS candidates, l AS labeled, s AS single, f AS frozen, c - l AS remaining, round(100 * l / c, 1) AS pct, c = l AND l > f AS can_freeze FROM (SELECT count(*) FILTER (WHERE gold_candidate) AS c, count(*) FILTER (WHERE gold_candidate AND human_instrument IS NOT NULL) AS l, count(*) FILTER (WHERE gold_candidate AND human_instrument IS NOT NULL AND label_source = 'single') AS s, count(*) FILTER (WHERE is_val) AS f FROM @samples)")
+def gold_status(spark, d):
+    return gold.status(view(spark, d, "samples"))
+
+
+@query()
+def gold_sample(spark, d):
+    return gold.sample(view(spark, d, "samples"), view(spark, d, "model_labels"), 5, 10).where("gold_candidate").select("path", "row_id")
+
+
+@query("SELECT path, is_val OR (gold_candidate AND human_instrument IS NOT NULL AND label_source = 'single') AS is_val FROM @samples")
+def freeze_split(spark, d):
+    return gold.freeze(view(spark, d, "samples"))[0].select("path", "is_val")
+
+
+@query("SELECT m.label, count(*) AS n FROM @model_labels m JOIN @samples s ON m.path = s.path WHERE s.gold_candidate GROUP BY m.label")
+def gold_support(spark, d):
+    return gold.support(view(spark, d, "samples"), view(spark, d, "model_labels"))
+
+
+# The map
+
+_CODE = "CASE {0} WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END"
+_MAP = f"""
+m AS (SELECT p.path, round(p.x, 4) AS x, round(p.y, 4) AS y, {_CODE.format("s.human_instrument")} AS human, {_CODE.format("s.model_instrument")} AS model, {_CODE.format("s.path_instrument")} AS path_label, {_CODE.format("s.panns_instrument")} AS panns,
+  CASE WHEN cluster_l1 >= 0 AND cluster_l1 < 2 THEN cluster_l1 ELSE 2 END AS family, CASE sample_type WHEN 'oneshot' THEN 0 WHEN 'loop' THEN 1 ELSE 2 END AS t, round(coalesce(duration_s, 0), 2) AS d,
+  CASE label_source WHEN 'single' THEN 0 WHEN 'cluster' THEN 1 WHEN 'map' THEN 2 WHEN 'propagate' THEN 3 WHEN 'llm' THEN 4 ELSE 5 END AS ls, CAST(row_number() OVER (ORDER BY p.path) - 1 AS INT) AS map_i
+  FROM @points p JOIN @samples s ON p.path = s.path)"""
+
+
+def _map(spark, d):
+    samples = view(spark, d, "samples").withColumn("instrument", F.col("model_instrument"))
+    return geometry.map_rows(view(spark, d, "points"), samples, view(spark, d, "taxonomy"), 2)
+
+
+@query(f"WITH {_MAP} SELECT map_i, path, x, y, human, model, path_label, panns, family, t, ls FROM m")
+def map_codes(spark, d):
+    return _map(spark, d).select("map_i", "path", "x", "y", "human", "model", "path_label", "panns", "family", "t", "ls")
+
+
+@query(f"WITH {_MAP} SELECT path FROM m WHERE model IN (0, 1) AND t IN (0, 2) AND ls IN (0, 5) AND (d <= 0 OR d >= 0.5) AND (d <= 0 OR d <= 4)")
+def map_filter(spark, d):
+    return _map(spark, d).where(geometry.shown([0, 1], [0, 2], [0, 5], 0.5, 4, "model")).select("path")
+
+
+@query("SELECT path FROM @points WHERE x + y <= 0.9005 AND x >= 0.0995 AND y >= 0.0995")
+def polygon_select(spark, d):
+    triangle = [(0.0995, 0.0995), (0.801, 0.0995), (0.0995, 0.801)]
+    return view(spark, d, "points").where(geometry.in_polygon(F.col("x"), F.col("y"), triangle)).select("path")
+
+
+@query("SELECT path, round((x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5), 9) AS d2 FROM @points WHERE (x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5) < 0.04 ORDER BY (x - 0.5) * (x - 0.5) + (y - 0.5) * (y - 0.5), path LIMIT 1")
+def nearest_point(spark, d):
+    return geometry.nearest(view(spark, d, "points"), "path", 0.5, 0.5, 0.2).select("path", F.round("d2", 9).alias("d2"))
+
+
+@query("SELECT path, round(dist / c, 9) AS score FROM (SELECT path, dist, (x - 0.2) / dist AS c FROM (SELECT *, sqrt((x - 0.2) * (x - 0.2) + (y - 0.2) * (y - 0.2)) AS dist FROM @points) WHERE dist > 0) WHERE c >= 0.3 ORDER BY dist / c, path LIMIT 1")
+def directional_nearest(spark, d):
+    return geometry.directional(view(spark, d, "points"), "path", 0.2, 0.2, 1.0, 0.0).select("path", F.round("score", 9).alias("score"))
+
+
+@query("SELECT path, round((x - a) / (b - a), 9) AS x, round((y - e) / (f - e), 9) AS y FROM @points, (SELECT min(x) AS a, max(x) AS b, min(y) AS e, max(y) AS f FROM @points)")
+def normalize01(spark, d):
+    done = geometry.normalize01(view(spark, d, "points"), ["x", "y"])
+    return done.select("path", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+@query()
+def pca_projection(spark, d):
+    return geometry.project(_path_vectors(spark, d).select("path", "vec"))
+
+
+@query("SELECT label, CAST(sum(ord(c)) * 137 % 360 AS INT) AS hue FROM (SELECT label, unnest(string_split(label, '')) AS c FROM (SELECT DISTINCT p_type AS label FROM part)) GROUP BY label")
+def label_color_hue(spark, d):
+    return table(spark, d, "part").select(F.col("p_type").alias("label")).distinct().select("label", scalars.hue(F.col("label")).alias("hue"))
+
+
+# Clusters
+
+
+@query("SELECT cluster_id, arg_min(path, {'k': cluster_d IS NOT NULL, 'd': cluster_d, 'p': path}) AS medoid FROM @samples WHERE cluster_id IS NOT NULL GROUP BY cluster_id")
+def medoid_per_cluster(spark, d):
+    return sonic.medoids(view(spark, d, "samples"))
+
+
+@query("SELECT CAST(i AS INT) AS id, coalesce(label, concat('family ', i)) AS label FROM range(0, (SELECT max(id) + 1 FROM @clusters WHERE level = 1)) r(i) LEFT JOIN (SELECT id, label FROM @clusters WHERE level = 1) c ON r.i = c.id")
+def family_labels_dense(spark, d):
+    return sonic.family_labels(view(spark, d, "clusters"))
+
+
+@query("SELECT path, cluster_d FROM @samples WHERE cluster_id = 3 ORDER BY cluster_d NULLS FIRST, path LIMIT 60")
+def cluster_members(spark, d):
+    return sonic.members(view(spark, d, "samples"), 3)
+
+
+@query("SELECT s.path, g.label AS grain, f.label AS family FROM @samples s LEFT JOIN (SELECT * FROM @clusters WHERE level = 2) g ON s.cluster_id = g.id LEFT JOIN (SELECT * FROM @clusters WHERE level = 1) f ON s.cluster_l1 = f.id")
+def cluster_lookup(spark, d):
+    return sonic.with_cluster_labels(view(spark, d, "samples").select("path", "cluster_id", "cluster_l1"), view(spark, d, "clusters")).select("path", "grain", "family")
+
+
+@query("SELECT id, size, label FROM @clusters WHERE level = 1")
+def cluster_families(spark, d):
+    rows = view(spark, d, "clusters").withColumns({c: F.lit(None).cast("double") for c in ("centroid", "flatness", "attack", "duration")})
+    return sonic.families(rows).select("id", "size", "label")
+
+
+@query()
+def kmeans_families(spark, d):
+    return sonic.fit_families(_path_vectors(spark, d).select("path", "vec"), 4)
+
+
+# Features
+
+
+@query(f"SELECT vec_id, round({_DOT.format('vec', 'vec')}, 5) AS norm2 FROM @vectors")
+def unit_vectors(spark, d):
+    rows = view(spark, d, "vectors").select("vec_id", unit(F.transform("vec", lambda x: x * 3)).alias("u"))
+    return rows.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x), 5).alias("norm2"))
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS path, 128::INT AS dim, round(sqrt({_DOT.format('vec', 'vec')}), 3) AS length FROM @vectors WHERE vec_id % 2 = 0")
+def concat_features(spark, d):
+    rows = view(spark, d, "vectors").select(F.col("vec_id").cast("string").alias("path"), "vec", "vec_id")
+    both = rows.withColumn("model", F.lit("panns")).unionByName(rows.where("vec_id % 2 = 0").withColumn("model", F.lit("clap"))).select("path", "model", "vec")
+    done = feature_tables.load_concat(both, "panns", "clap")
+    return done.select("path", F.size("vec").alias("dim"), F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) / 2), 3).alias("length"))
+
+
+@query("SELECT CAST(v.vec_id AS VARCHAR) AS id, coalesce(s.human_instrument, '') AS human_instrument, coalesce(s.label_source, '') AS label_source, coalesce(CAST(s.is_val AS INT), 0) AS is_val FROM @vectors v LEFT JOIN @samples s ON s.row_id = v.vec_id AND s.row_id % 2 = 0")
+def features_with_labels(spark, d):
+    samples = view(spark, d, "samples").where("row_id % 2 = 0").withColumn("path", F.col("row_id").cast("string"))
+    rows = view(spark, d, "vectors").select(F.col("vec_id").cast("string").alias("path"))
+    return feature_tables.with_labels(rows, samples).select(F.col("path").alias("id"), "human_instrument", "label_source", "is_val")
+
+
+# Extensions beyond the surveyed operators
+
+
+@query("SELECT source, label_source, count(*) AS n FROM @samples GROUP BY ROLLUP (source, label_source)")
+def coverage_rollup(spark, d):
+    return view(spark, d, "samples").rollup("source", "label_source").agg(F.count("*").alias("n"))
