@@ -1,7 +1,8 @@
 """Quality scores by nearest-neighbour votes among labelled latent-semantic vectors.
 
-A text's features are its counts of hashed byte trigrams, damped, weighted by how few labelled texts have them,
-and projected on the leading singular directions of the labelled texts. The labelled vectors are broadcast; every
+A text's features are its counts of hashed byte trigrams, damped and weighted by how few labelled texts have them,
+beside a few measures of repetition and shape; they are projected on the leading singular directions of the labelled
+texts. The labelled vectors are broadcast; every
 document's cosine with each of them is computed in blocks, and the nearest vote with their similarity as weight.
 """
 
@@ -16,28 +17,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
-BUCKETS, DIMENSIONS, NEIGHBOURS, BLOCK = 2048, 48, 15, 512
+BUCKETS, SHAPE_WEIGHT, DIMENSIONS, NEIGHBOURS, BLOCK = 2048, 1.5, 48, 15, 512
 
 
 class Model(NamedTuple):
     weights: np.ndarray  # of each bucket
-    basis: np.ndarray  # buckets x dimensions
+    basis: np.ndarray  # features x dimensions
     vectors: np.ndarray  # of the labelled texts, unit length
     labels: np.ndarray  # 0 to 1
     prior: float
 
 
-def trigrams(text: str | None) -> np.ndarray:
-    """log(1 + count) of each bucket of the text's byte trigrams; zeros for fewer than three bytes."""
-    data = np.frombuffer((text or "").encode(), np.uint8).astype(np.uint32)
-    codes = data[:-2] << 16 | data[1:-1] << 8 | data[2:]
+def features(text: str | None) -> np.ndarray:
+    """log(1 + count) of each bucket of the text's byte trigrams, then five shares from 0 to 1.
+
+    The shares: words that repeat the word before, repeated word pairs, repeated lines, capitals among ASCII letters,
+    marks among the bytes. Empty texts have zeros.
+    """
+    raw = (text or "").encode()
+    data = np.frombuffer(raw, np.uint8)
+    wide = data.astype(np.uint32)
+    codes = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
     buckets = (codes * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
-    return np.log1p(np.bincount(buckets, minlength=BUCKETS)).astype(np.float32)
+    words, lines = raw.split(), raw.split(b"\n")
+    pairs = [*zip(words, words[1:])]
+    upper, lower = ((data >= 65) & (data <= 90)).sum(), ((data >= 97) & (data <= 122)).sum()
+    marks = ((data > 32) & (data < 128)).sum() - upper - lower - ((data >= 48) & (data <= 57)).sum()
+    shares = (sum(a == b for a, b in pairs) / max(1, len(pairs)), 1 - len({*pairs}) / max(1, len(pairs)) if pairs else 0, 1 - len({*lines}) / len(lines), upper / max(1, upper + lower), marks / max(1, len(data)))
+    return np.concatenate([np.log1p(np.bincount(buckets, minlength=BUCKETS)), shares]).astype(np.float32)
 
 
 @arrow_udf(T.BinaryType())
 def _features(texts: pa.Array) -> pa.Array:
-    return pa.array([trigrams(t.as_py()).tobytes() for t in texts], pa.binary())
+    return pa.array([features(t.as_py()).tobytes() for t in texts], pa.binary())
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -45,10 +57,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norms > 0, norms, 1)
 
 
+def _weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Trigrams at unit length; the shares beside them, so that they weigh as much in long texts as in short ones."""
+    return np.hstack([_unit(counts[:, :BUCKETS] * weights), SHAPE_WEIGHT * counts[:, BUCKETS:]])
+
+
 def latent(counts: np.ndarray, labels: np.ndarray, seed: int = 0) -> Model:
     """The model of labelled feature rows; the leading directions by subspace iteration."""
-    weights = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + 1
-    rows = _unit(counts * weights)
+    weights = np.log((1 + len(counts)) / (1 + (counts[:, :BUCKETS] > 0).sum(axis=0))).astype(np.float32) + 1
+    rows = _weighted(counts, weights)
     basis = np.random.default_rng(seed).standard_normal((rows.shape[1], min(DIMENSIONS, *rows.shape))).astype(np.float32)
     for _ in range(8):
         basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
@@ -58,7 +75,7 @@ def latent(counts: np.ndarray, labels: np.ndarray, seed: int = 0) -> Model:
 def votes(model: Model, counts: np.ndarray) -> np.ndarray:
     """The similarity-weighted mean label of each row's nearest neighbours; the prior where nothing is similar."""
     k, out = min(NEIGHBOURS, len(model.labels)), []
-    near = _unit(_unit(counts * model.weights) @ model.basis) @ model.vectors.T
+    near = _unit(_weighted(counts, model.weights) @ model.basis) @ model.vectors.T
     for row in near:
         at = np.argpartition(-row, k - 1)[:k]
         weight = np.maximum(row[at], 0)
@@ -94,7 +111,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
         model, out = shared.value, []
         for k in range(0, len(texts), BLOCK):
             block = texts[k : k + BLOCK].to_pylist()
-            out += [0.5] * len(block) if model is None else votes(model, np.array([trigrams(t) for t in block])).tolist()
+            out += [0.5] * len(block) if model is None else votes(model, np.array([features(t) for t in block])).tolist()
         return pa.array(out, pa.float64())
 
     return of(F.col(text))
