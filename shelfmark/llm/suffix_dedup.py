@@ -10,22 +10,23 @@ ordered by a 64-bit hash of their 50 bytes, since only matches of that length co
 
 from __future__ import annotations
 
+import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.sources.tables import checkpointed
-
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
 BLOCK_BYTES, SEGMENT, BATCH_ROWS = 4 << 20, 1 << 23, 8192
-_PLACE_BITS = 24
+_PLACE_BITS, _ASKED_BITS = 24, 48
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _BLOCK = "block long, ids binary, known binary, sizes binary, body binary"
-_CODEC = "zstd"
+_CODEC, _TABLE = "zstd", "shelfmark_blocks"
 
 
 def _mixed(words: list[np.ndarray]) -> np.ndarray:
@@ -124,14 +125,29 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield tuple(c[row].as_py() for c in batch.columns)
 
 
+def _differences(ascending: np.ndarray) -> bytes:
+    """Ascending numbers as compressed differences, byte by byte; nothing for none."""
+    if not len(ascending):
+        return b""
+    steps = np.diff(ascending, prepend=np.uint64(0)).astype("<u8")
+    return len(steps).to_bytes(8, "little") + pa.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), _CODEC, asbytes=True)
+
+
+def _from_differences(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], 8 * n, _CODEC), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8")[:, 0], dtype=np.uint64)
+
+
 def _asking(buckets: int):
-    """A block's distinct anchor hashes, sorted, cut into equal ranges of hashes."""
+    """The leading bits of a block's anchor hashes, sorted, each once, cut into equal ranges; a chance agreement only costs time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, *packed in _rows(batches):
-            hashes = np.unique(Block(*packed).anchors()[2])
-            cuts = np.searchsorted(hashes, np.array([(k << 64) // buckets for k in range(buckets)], np.uint64))
-            parts = [hashes[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(hashes)], strict=True)]
+            hashes = Block(*packed).anchors()[2]
+            hashes = np.unique(hashes >> np.uint64(64 - _ASKED_BITS))
+            cuts = np.searchsorted(hashes, np.array([(k << _ASKED_BITS) // buckets for k in range(buckets)], np.uint64))
+            parts = [_differences(hashes[a:b]) for a, b in zip(cuts, [*cuts[1:], len(hashes)], strict=True)]
             asked = [k for k in range(buckets) if parts[k]]
             columns = [pa.array(asked, pa.int32()), pa.array([block] * len(asked), pa.int64()), pa.array([parts[k] for k in asked], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "hashes"])
@@ -141,7 +157,7 @@ def _asking(buckets: int):
 
 def _answered(table: pa.Table) -> pa.Table:
     """For each block's hashes of a bucket, which of them another block has too, as bits."""
-    lists = [np.frombuffer(x.as_py(), np.uint64) for x in table["hashes"]]
+    lists = [_from_differences(x.as_py()) for x in table["hashes"]]
     every = np.sort(np.concatenate(lists))
     shared = np.unique(every[1:][every[1:] == every[:-1]])
     flags = []
@@ -161,33 +177,35 @@ def _first_of(groups: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
 def _sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows for the index: a shared anchor's strings, for the smallest document of the block that has them so.
 
-    What a larger document of the same block repeats, bytes and all, is known to go; it comes out with no bytes.
+    ``body`` is the number of places, the places, and the bytes. What a larger document of the same block repeats,
+    bytes and all, is known to go: such spans come out as the body of a row without doc_id.
     """
     for block, *packed, answers in _rows(batches):
         one = Block(*packed)
         first, last, hashes, doc = one.anchors()
-        distinct, group = np.unique(hashes, return_inverse=True)
         ids = one.ids[doc]
-        flags = np.concatenate([np.empty(0, bool), *(np.unpackbits(np.frombuffer(x["flags"], np.uint8), count=x["n"]).astype(bool) for x in sorted(answers or (), key=lambda x: x["bucket"]))])
-        least = _first_of(group, ids, len(distinct))
-        most = -_first_of(group, -ids, len(distinct))
-        keep = np.flatnonzero((flags if len(flags) else np.zeros(len(distinct), bool))[group] | (least < most)[group])
+        _, group = np.unique(hashes >> np.uint64(64 - _ASKED_BITS), return_inverse=True)
+        n = int(group.max(initial=-1)) + 1
+        flags = [np.unpackbits(np.frombuffer(x["flags"], np.uint8), count=x["n"]).astype(bool) for x in sorted(answers or (), key=lambda x: x["bucket"])]
+        elsewhere = np.concatenate([np.empty(0, bool), *flags])
+        within = _first_of(group, ids, n) < -_first_of(group, -ids, n)
+        keep = np.flatnonzero((elsewhere | within)[group]) if n else np.empty(0, int)
         body, by_bytes = one.data.tobytes(), {}
         for k, a, b, i in zip(keep.tolist(), first[keep].tolist(), last[keep].tolist(), ids[keep].tolist(), strict=True):
             by_bytes.setdefault(body[a : b + LENGTH], []).append((i, a, k))
-        out: tuple[list, ...] = [], [], [], []
-        gone: list[tuple[int, int]] = []
+        anchors, docs, bodies, gone = [], [], [], []
         for text, found in by_bytes.items():
             smallest = min(found)[0]
             gone += [(a, a + len(text)) for i, a, _ in found if i > smallest]
-            for column, value in zip(out, (int(hashes[found[0][2]].view(np.int64)), smallest, [a for i, a, _ in found if i == smallest], text), strict=True):
-                column.append(value)
-        columns = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([block] * len(out[0]), pa.int64()), pa.array(out[2], pa.list_(pa.int32())), pa.array(out[3], pa.binary()), pa.nulls(len(out[0]), pa.binary())]
-        names = ["anchor", "doc_id", "block", "at", "bytes", "gone"]
-        yield pa.RecordBatch.from_arrays(columns, names)
+            places = array("i", [a for i, a, _ in found if i == smallest])
+            anchors.append(found[0][2])
+            docs.append(smallest)
+            bodies.append(len(places).to_bytes(4, "little") + places.tobytes() + text)
+        anchors = hashes[np.array(anchors, int)].view(np.int64).tolist()
         if gone:
-            values = (None, None, block, None, None, np.array(gone, "<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([v], c.type) for v, c in zip(values, columns, strict=True)], names)
+            anchors, docs, bodies = [*anchors, None], [*docs, None], [*bodies, np.array(gone, "<i8").tobytes()]
+        columns = [pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array([block] * len(docs), pa.int64()), pa.array(bodies, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "block", "body"])
 
 
 class Levels:
@@ -216,39 +234,45 @@ class Levels:
         return least[group] < docs
 
 
+def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash, the row and the offset of every 50-byte string in short texts."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    cells = np.zeros((len(texts), LENGTH + SPAN + 7), np.uint8)
+    for row, text in enumerate(texts):
+        cells[row, : len(text)] = np.frombuffer(text, np.uint8)
+    hashes, rows, offsets = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for offset in range(int(sizes.max(initial=0)) - LENGTH + 1):
+        has = np.flatnonzero(sizes >= offset + LENGTH)
+        window = np.ascontiguousarray(cells[has, offset : offset + LENGTH + 6])
+        window[:, LENGTH:] = 0
+        hashes.append(_mixed([*window.view("<u8").T]))
+        rows.append(has)
+        offsets.append(np.full(len(has), offset))
+    return np.concatenate(hashes), np.concatenate(rows), np.concatenate(offsets)
+
+
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals to remove, by block; rows come in order of doc_id."""
+    """Intervals to remove, by block. Rows come in order of doc_id, those of known spans first."""
     levels = Levels()
     for batch in batches:
         for k in range(0, batch.num_rows, BATCH_ROWS):
             part = batch.slice(k, BATCH_ROWS)
-            docs, blocks = part["doc_id"].to_numpy(), part["block"].to_numpy()
-            texts = part["bytes"].to_pylist()
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-            cells = np.zeros((len(texts), LENGTH + SPAN + 7), np.uint8)
-            for row, text in enumerate(texts):
-                cells[row, : len(text)] = np.frombuffer(text, np.uint8)
-            hashes, rows, offsets = [], [], []
-            for offset in range(int(sizes.max(initial=0)) - LENGTH + 1):
-                has = np.flatnonzero(sizes >= offset + LENGTH)
-                window = np.ascontiguousarray(cells[has, offset : offset + LENGTH + 6])
-                window[:, LENGTH:] = 0
-                hashes.append(_mixed([*window.view("<u8").T]))
-                rows.append(has)
-                offsets.append(np.full(len(has), offset))
-            if not rows:
-                continue
-            row, offset = np.concatenate(rows), np.concatenate(offsets)
-            met = levels.add(np.concatenate(hashes), docs[row])
+            known = part.filter(pa.compute.is_null(part["doc_id"]))
+            yield known.select(["block", "body"]).rename_columns(["block", "gone"])
+            part = part.filter(pa.compute.is_valid(part["doc_id"]))
+            docs, blocks, bodies = part["doc_id"].to_numpy(), part["block"].to_pylist(), part["body"].to_pylist()
+            heads = [4 + 4 * int.from_bytes(x[:4], "little") for x in bodies]
+            hashes, row, offset = _windows([x[h:] for x, h in zip(bodies, heads, strict=True)])
+            met = levels.add(hashes, docs[row])
             row, offset = row[met], offset[met]
             order = np.lexsort((offset, row))
             row, offset = row[order], offset[order]
-            new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(offset) > LENGTH))) if len(row) else np.empty(0, int)
+            starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(offset, prepend=-LENGTH) > LENGTH))
             spans: dict[int, list] = {}
-            places = part["at"].to_pylist()
-            for a, b in zip(new.tolist(), [*new[1:].tolist(), len(row)], strict=True) if len(row) else ():
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True) if len(row) else ():
                 r = int(row[a])
-                spans.setdefault(int(blocks[r]), []).extend((p + int(offset[a]), p + int(offset[b - 1]) + LENGTH) for p in places[r])
+                places = np.frombuffer(bodies[r][4 : heads[r]], np.intc).tolist()
+                spans.setdefault(blocks[r], []).extend((p + int(offset[a]), p + int(offset[b - 1]) + LENGTH) for p in places)
             columns = [pa.array([*spans], pa.int64()), pa.array([np.array(x, "<i8").tobytes() for x in spans.values()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["block", "gone"])
 
@@ -280,22 +304,33 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     smaller doc_id; strings are judged on the input. Null and empty texts are empty. Rows with a null id keep
     everything and take nothing from others. Rows that repeat an id are one document for this, so take nothing from
     each other, but each has its row. Extra columns are not looked at; an empty table gives an empty result.
+
+    The packed blocks are a bucketed table in the warehouse, which all executors must share; see ``drop_blocks``.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{_TABLE}_{uuid.uuid4().hex}"
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, _BLOCK)
-    blocks = checkpointed(packed.repartition(parts, "block"))
+    packed.repartition(parts, "block").write.bucketBy(parts, "block").saveAsTable(name)
+    blocks = spark.table(name)  # bucketed, so that joins by block don't deal the text again
     n = blocks.count()
     buckets = max(min(n, 256), n // 64, 1)
     asked = blocks.mapInArrow(_asking(buckets), "bucket int, block long, hashes binary")
     answers = asked.groupBy("bucket").applyInArrow(_answered, "block long, bucket int, n int, flags binary")
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "flags")).alias("answers"))
-    sent = checkpointed(blocks.join(by_block, "block", "left").mapInArrow(_sending, "anchor long, doc_id long, block long, at array<int>, bytes binary, gone binary").repartition(parts, "anchor", F.when(F.col("anchor").isNull(), F.col("block"))))
-    rows = sent.where("bytes IS NOT NULL").select("doc_id", "block", "at", "bytes").sortWithinPartitions("doc_id")
-    spans = rows.mapInArrow(_indexed, "block long, gone binary").unionByName(sent.where("gone IS NOT NULL").select("block", "gone"))
+    sent = blocks.join(by_block, "block", "left").mapInArrow(_sending, "anchor long, doc_id long, block long, body binary")
+    dealt = sent.repartition(parts, "anchor", F.when(F.col("anchor").isNull(), F.col("block")))
+    spans = dealt.select("doc_id", "block", "body").sortWithinPartitions(F.asc_nulls_first("doc_id")).mapInArrow(_indexed, "block long, gone binary")
     gone = spans.groupBy("block").agg(F.collect_list("gone").alias("gone"))
     return blocks.join(gone, "block", "left").mapInArrow(_cleaned, "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
 
 
+def drop_blocks(spark: SparkSession) -> None:
+    """Drops the tables of blocks of finished runs; a result that is still to be read needs its own."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith(_TABLE):
+            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each document."""
     n_removed = F.col("n_bytes") - F.octet_length("kept")
