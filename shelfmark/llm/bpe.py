@@ -12,9 +12,12 @@ carries the token that ends there and by how many tokens the encoding so far gro
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
+from array import array
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -58,8 +61,10 @@ class Row(dict):
 class MergeAutomaton:
     """The compiled automaton of one tokenizer file (the JSON format, byte-level BPE without a normalizer)."""
 
-    def __init__(self, source: bytes):
+    def __init__(self, source: bytes, counting: bool = False):
+        """``counting``: the byte machine's arcs carry counts, for ``emitted``; else it has fewer states."""
         spec = json.loads(source)
+        self._counting = counting
         model, split = spec["model"], spec["pre_tokenizer"]
         plain = split["type"] == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"]
         if model["type"] != "BPE" or not plain or spec["normalizer"] or model.get("dropout") or model.get("ignore_merges"):
@@ -167,8 +172,9 @@ class MergeAutomaton:
                 kept.append((node, before, tokens))
         if label < 0:
             raise ValueError("the merges accept no token sequence for this word")
-        state = (*((node, before, tokens - count) for node, before, tokens in kept), (0, label, 0))
-        return self._row(state), label, count
+        if self._counting:
+            kept = [(node, before, tokens - count) for node, before, tokens in kept]
+        return self._row((*kept, (0, label, 0))), label, count
 
     def path(self, word: bytes) -> list[int]:
         """The labels of the one accepting path that spells ``word``."""
@@ -199,6 +205,8 @@ class MergeAutomaton:
 
                 self._library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
             return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return [text]
         if self._pattern is None:
             import regex
 
@@ -253,10 +261,17 @@ class Codec:
 
     def __init__(self, source: bytes):
         self.automaton = MergeAutomaton(source)
-        self._ids = Memo(lambda piece: np.array(self.automaton.encode_piece(piece), "<i4").tobytes())
+        self._words = Memo(lambda word: array("i", self.automaton.path(word.encode())).tobytes())
+        self._ids = Memo(self._piece)
+
+    def _piece(self, piece: str | int) -> bytes:
+        if isinstance(piece, int):
+            return array("i", [piece]).tobytes()
+        words = self.automaton.words(piece)
+        return self._words[piece] if len(words) == 1 else b"".join(map(self._words.__getitem__, words))
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self._ids.__getitem__, self.automaton.pieces(text or ""))), "<i4")
+        return np.frombuffer(b"".join(map(self._ids.__getitem__, self.automaton.pieces(text or ""))), np.intc)
 
 
 _CODECS: dict[tuple[str, str], object] = {}
@@ -270,6 +285,16 @@ def in_worker(kind, source: bytes):
     return _CODECS[key]
 
 
+@contextmanager
+def no_cycles():
+    """Holds the collector of cycles back: it would walk the tables, which have none, again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def vocabulary(spark: SparkSession, path: str):
     """The tokenizer file at ``path`` (on the driver), broadcast; such files have a few MB, whatever the corpus."""
     with open(path, "rb") as f:
@@ -287,10 +312,11 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
 
     @arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
-        codec = in_worker(Codec, source.value)
-        each = [codec.encode(t.as_py()) for t in texts]
-        ends = np.cumsum([0, *map(len, each)], dtype="<i4")
-        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, "<i4"), *each])))
+        with no_cycles():
+            codec = in_worker(Codec, source.value)
+            each = [codec.encode(t.as_py()) for t in texts]
+        ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *each])))
 
     return docs.withColumn(ids, encoded(F.col(text)))
 

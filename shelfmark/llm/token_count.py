@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from shelfmark.llm.bpe import Memo, MergeAutomaton, in_worker, vocabulary
+from shelfmark.llm.bpe import Memo, MergeAutomaton, in_worker, no_cycles, vocabulary
 
 CHUNK = 16_384
 _WORD_END = re.compile(r"(?<=\S)(?=\s)")
@@ -35,7 +35,7 @@ class CountTransducer:
     """Token counts with the composition of chunk maps; one for each worker."""
 
     def __init__(self, source: bytes):
-        self._automaton = MergeAutomaton(source)
+        self._automaton = MergeAutomaton(source, counting=True)
         self._emitted = Memo(self._automaton.count_piece)
 
     def count(self, text: str) -> int:
@@ -79,8 +79,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", into: str
 
     @arrow_udf("bigint")
     def counted(texts: pa.Array) -> pa.Array:
-        transducer = in_worker(CountTransducer, source.value)
-        return pa.array([transducer.total(t.as_py()) for t in texts], pa.int64())
+        with no_cycles():
+            transducer = in_worker(CountTransducer, source.value)
+            return pa.array([transducer.total(t.as_py()) for t in texts], pa.int64())
 
     return docs.withColumn(into, counted(F.col(text)))
 
