@@ -7,8 +7,7 @@ with few templates. Most texts lack all the words of which a match must hold one
 
 from __future__ import annotations
 
-import functools
-import operator
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +15,8 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.8
 MOST_TEMPLATES = 1000
 _WORD = "[A-Za-z0-9]+"
+#: Frequent English words, which anchor templates only if nothing else does.
+FREQUENT = frozenset("a all and any are as at be by can for from has have in is it may not of on or that the this to under use with without work you your".split())
 
 #: Public notices and short licence texts, by SPDX identifier.
 TEMPLATES = (
@@ -65,19 +66,19 @@ def compiled(templates: DataFrame) -> list[tuple[str, list[str]]]:
 def anchors(ready: list[tuple[str, list[str]]], threshold: float) -> list[str]:
     """Words of which every matching unit holds at least one.
 
-    A match shares threshold / (2 - threshold) of a template's bigrams or more. Of each template the longest words
-    are taken until fewer bigrams than that hold none of them.
+    A match shares threshold / (2 - threshold) of a template's bigrams or more, so words are taken until each template
+    has fewer bigrams than that without one of them; always the word in most of the bigrams still to be covered,
+    frequent words last.
     """
+    left = [[b.split(" ") for b in bigrams] for _, bigrams in ready]
+    needed = [threshold / (2 - threshold) * len(pairs) - 1e-9 for pairs in left]
     out: set[str] = set()
-    for _, bigrams in ready:
-        pairs = [b.split(" ") for b in bigrams]
-        needed = threshold / (2 - threshold) * len(pairs)
-        for word in sorted({w for p in pairs for w in p}, key=lambda w: (w not in out, -len(w), w)):
-            if len(pairs) < needed - 1e-9:
-                break
-            out.add(word)
-            pairs = [p for p in pairs if word not in p]
-    return sorted(w for w in out if not any(o != w and o in w for o in out))
+    while open_ones := [pairs for pairs, n in zip(left, needed, strict=True) if len(pairs) >= n]:
+        counts = Counter(w for pairs in open_ones for p in pairs for w in {*p})
+        word = min(counts, key=lambda w: (w in FREQUENT or len(w) < 2, -counts[w], w))
+        out.add(word)
+        left = [[p for p in pairs if word not in p] for pairs in left]
+    return sorted(out)
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -95,12 +96,13 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
     narrow = threshold / (2 - threshold)
     kinds = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for name, b in ready))
     text = F.coalesce("text", F.lit(""))
-    possible = functools.reduce(operator.or_, (F.lower(text).contains(w) for w in anchors(ready, threshold)))
-    units = docs.where(possible).select("doc_id", F.concat(F.array(text), F.split(text, "\n")).alias("__units"))
-    parsed = units.select("doc_id", F.transform("__units", lambda u, k: F.struct(k.alias("unit"), _words(u).alias("words"))).alias("__units"))
-    least = min(sizes) * narrow  # a unit has no more bigrams than words
-    fitting = parsed.select("doc_id", F.explode_outer(F.filter("__units", lambda u: F.size(u["words"]) > least)).alias("u"))
-    pairs = fitting.select("doc_id", "u.unit", _bigrams(F.col("u.words")).alias("b")).where(F.size("b").between(least, max(sizes) / narrow))
+    lines = docs.select("doc_id", F.transform(F.split(text, "\n"), lambda u, k: F.struct((k + 1).alias("unit"), _words(u).alias("words"))).alias("__lines"))
+    whole = F.struct(F.lit(0).alias("unit"), F.flatten(F.transform("__lines", lambda u: u["words"])).alias("words"))  # no word crosses lines
+    held = F.array(*map(F.lit, anchors(ready, threshold)))
+    units = F.filter(F.concat(F.array(whole), "__lines"), lambda u: F.arrays_overlap(u["words"], held))
+    # explode_outer: for explode, Spark would push a filter with the whole expression down into the scan
+    likely = lines.select("doc_id", F.explode_outer(units).alias("u")).where("u IS NOT NULL").select("doc_id", "u.unit", "u.words")
+    pairs = likely.select("doc_id", "unit", F.explode_outer(F.array(_bigrams(F.col("words")))).alias("b")).where(F.size("b").between(min(sizes) * narrow, max(sizes) / narrow))
     near = F.filter(kinds, lambda t: (F.size("b") >= t["n"] * narrow) & (t["n"] >= F.size("b") * narrow))
     scored = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect(F.col("b"), t["bigrams"])) / (F.size("b") + t["n"])).alias("minus"), t["license_id"].alias("license_id")))
     best = pairs.select("doc_id", "unit", F.array_min(scored).alias("best")).where(F.col("best.minus") <= -threshold)
