@@ -64,7 +64,7 @@ def _item_seeds(items: DataFrame) -> DataFrame:
     long_ones = kept.select("item_id", "item", F.lit(0).alias("n"), "hash", F.explode_outer(at).alias("q"))
     few = items.where(f"size(item) BETWEEN 1 AND {WINDOW - 1}")
     by_size = F.coalesce(*(F.when(F.size("item") == m, _grams("item", m)[0]) for m in range(1, WINDOW)))
-    return long_ones.unionByName(few.select("item_id", "item", F.size("item").alias("n"), by_size.alias("hash"), F.lit(0).alias("q")))
+    return long_ones.unionByName(few.select("item_id", "item", F.size("item").alias("n"), F.explode_outer(F.array(by_size)).alias("hash"), F.lit(0).alias("q")))
 
 
 def _hits(words: str, seeds: str) -> Column:
@@ -110,7 +110,9 @@ def contaminated(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFram
     joined = docs.join(met, docs["doc_id"].eqNullSafe(F.col("__doc")) & (F.xxhash64(docs["text"]) == F.col("__text")), "left")
     parsed = joined.withColumn("__words", item_words("text")).withColumn("n_words", F.size("__words").cast("long"))
     nothing = F.array().cast("array<struct<item_id:string,at:array<int>>>")
-    found = parsed.withColumn("__hits", F.when(F.col("__seeds").isNull(), nothing).otherwise(F.filter(_hits("__words", "__seeds"), lambda h: F.size(h["at"]) > 0)))
+    hits = F.when(F.col("__seeds").isNull(), nothing).otherwise(F.filter(_hits("__words", "__seeds"), lambda h: F.size(h["at"]) > 0))
+    # generated, so that a caller's filter on what follows isn't pushed down with the whole expression, lambdas and all
+    found = parsed.select("*", F.explode_outer(F.array(hits)).alias("__hits"))
     out = found.withColumn("n_hit", F.size(F.array_distinct(F.flatten(F.transform("__hits", lambda h: h["at"])))).cast("long"))
     out = out.withColumn("items", F.array_sort(F.array_distinct(F.transform("__hits", lambda h: h["item_id"]))))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).drop("__doc", "__text", "__seeds", "__words", "__hits")
