@@ -84,6 +84,7 @@ class MergeAutomaton:
         self._compile(model["vocab"], merges)
         self._sizes = [len(b) for b in self.labels]
         self._arcs: dict[int, bool] = {}
+        self._fits: dict[int, bool] = {}
         self._rows: dict[tuple, Row] | None = None
         self._pattern = None
         self._library = None
@@ -105,6 +106,7 @@ class MergeAutomaton:
         self._child: dict[int, int] = {}
         self._token_at = [-1]
         self._inner = [True]
+        self._below: list[list[int]] = [[]]
         for i in live:
             node = 0
             for byte in self.labels[i]:
@@ -113,6 +115,8 @@ class MergeAutomaton:
                     self._child[key] = len(self._token_at)
                     self._token_at.append(-1)
                     self._inner.append(False)
+                    self._below[node].append(self._child[key])
+                    self._below.append([])
                 self._inner[node] = True
                 node = self._child[key]
             self._token_at[node] = i
@@ -158,6 +162,21 @@ class MergeAutomaton:
             found = self._rows[pending] = Row(self, pending)
         return found
 
+    def _viable(self, node: int, before: int) -> bool:
+        """Whether some label whose first bytes led to ``node``, and which goes on, may follow ``before``."""
+        key = node << 20 | before
+        found = self._fits.get(key)
+        if found is None:
+            if len(self._fits) > 2_000_000:
+                self._fits.clear()
+            found, open_nodes = False, [*self._below[node]]
+            while open_nodes and not found:
+                at = open_nodes.pop()
+                found = self._token_at[at] >= 0 and self._open(before, self._token_at[at])
+                open_nodes += self._below[at]
+            self._fits[key] = found
+        return found
+
     def _step(self, pending: tuple, byte: int) -> tuple[Row, int, int]:
         """Next state, the label that ends here on the one accepting path, and by how much that path's length differs."""
         label, count, kept = -1, 0, []
@@ -168,7 +187,7 @@ class MergeAutomaton:
             ends = self._token_at[node]
             if label < 0 <= ends and (before < 0 or self.arc(before, ends)):
                 label, count = ends, tokens + 1
-            if self._inner[node]:
+            if self._inner[node] and (before < 0 or self._viable(node, before)):
                 kept.append((node, before, tokens))
         if label < 0:
             raise ValueError("the merges accept no token sequence for this word")
@@ -301,6 +320,11 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def _lists(each: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *each])))
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with ``ids`` array<int>, the tokens of each whole text.
 
@@ -315,8 +339,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids"
         with no_cycles():
             codec = in_worker(Codec, source.value)
             each = [codec.encode(t.as_py()) for t in texts]
-        ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
-        return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int32), *each])))
+        return _lists(each)
 
     return docs.withColumn(ids, encoded(F.col(text)))
 
@@ -335,9 +358,28 @@ def decode(docs: DataFrame, tokenizer: str, ids: str = "ids", text: str = "decod
     return docs.withColumn(text, decoded(F.col(ids)))
 
 
+def transcode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with the tokens of each whole text and what they spell, as ``encode`` and ``decode`` give them.
+
+    One function makes both columns: of two, Spark would run the first twice, for its column and for the second.
+    """
+    source = vocabulary(docs.sparkSession, tokenizer)
+
+    @arrow_udf("struct<ids:array<int>, decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        with no_cycles():
+            codec = in_worker(Codec, source.value)
+            each = [codec.encode(t.as_py()) for t in texts]
+            spelled = pa.array([codec.automaton.decode(x.tolist()) for x in each], pa.string())
+        return pa.StructArray.from_arrays([_lists(each), spelled], ["ids", "decoded"])
+
+    coded = docs.withColumn("__coded", both(F.col(text)))
+    return coded.withColumns({ids: F.col("__coded.ids"), decoded: F.col("__coded.decoded")}).drop("__coded")
+
+
 def digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
-    coded = decode(encode(docs.select("doc_id", "text"), tokenizer), tokenizer)
+    coded = transcode(docs.select("doc_id", "text"), tokenizer)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -59,6 +59,7 @@ def test_frames_with_nulls_repeats_and_clashing_columns(spark, library):
     assert out.columns == ["doc_id", "text", "ids", "decoded"]
     for r in out.collect():
         assert r.ids == library.encode(r.text or "", add_special_tokens=False).ids and r.decoded == (r.text or "")
+    assert sorted(map(str, bpe.transcode(docs, PATH).collect())) == sorted(map(str, out.collect()))
     counted = token_count.budget(docs, PATH).collect()
     assert sorted(r.n_tokens for r in counted) == sorted(len(library.encode(t or "", add_special_tokens=False).ids) for _, t, _ in rows)
     assert bpe.digests(docs.limit(0), PATH).count() == 0 == token_count.budget(docs.limit(0), PATH).count()
