@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from shelfmark.llm.worker import resident
+
 #: Fixed value: the split pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Scripts whose character classes are the same in every Unicode version; others are split by the library.
@@ -293,15 +295,9 @@ class Codec:
         return np.frombuffer(b"".join(map(self._ids.__getitem__, self.automaton.pieces(text or ""))), np.intc)
 
 
-_CODECS: dict[tuple[str, str], object] = {}
-
-
 def in_worker(kind, source: bytes):
-    """One ``kind(source)`` for each worker process and file."""
-    key = (kind.__name__, hashlib.sha256(source).hexdigest())
-    if key not in _CODECS:
-        _CODECS[key] = kind(source)
-    return _CODECS[key]
+    """The worker's ``kind(source)``."""
+    return resident((kind.__name__, hashlib.sha256(source).hexdigest()), lambda: kind(source))
 
 
 @contextmanager

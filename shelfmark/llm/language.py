@@ -9,6 +9,7 @@ of phrases is computed once for each worker.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
@@ -16,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from shelfmark.llm.worker import resident
+
 _WORD = re.compile(r"[^\W\d_]+")
 _LANE = 44  # bits for one language's phrases in a packed sum
-_MEMO_ENTRIES = 300_000
+_MEMO_ENTRIES = 150_000
 UNKNOWN = "und"
 
 
@@ -130,9 +133,6 @@ def fit(labelled: DataFrame, docs_per_language: int = 150, chars_per_doc: int =
     return {lang: [*lexicon] for lang, lexicon in lexicons.items()}
 
 
-_MODELS: dict[int, tuple] = {}
-
-
 def predicted(docs: DataFrame, lexicons: dict[str, list[str]], text: str = "text") -> Column:
     """A column struct<lang_pred, score> for each whole text; ``und`` and 0 where it is null or has no letter.
 
@@ -140,14 +140,12 @@ def predicted(docs: DataFrame, lexicons: dict[str, list[str]], text: str = "text
     first wins. The lexicons have a bounded size for each language and are broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+    key = ("language", uuid.uuid4().hex)
 
     @arrow_udf("struct<lang_pred:string, score:double>")
     def of(texts: pa.Array) -> pa.Array:
-        lexicons = shared.value
-        held = _MODELS.get(0)
-        if held is None or held[0] != lexicons:
-            held = _MODELS[0] = (lexicons, Model(lexicons))
-        found = [held[1].predict(t) for t in texts.to_pylist()]
+        model = resident(key, lambda: Model(shared.value))
+        found = [model.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["lang_pred", "score"])
 
     return of(F.col(text))
