@@ -1,12 +1,14 @@
 """Licence notices and texts, by the Dice coefficient of word bigrams; DataFrame functions only.
 
-The whole of a text and each of its lines are compared with templates. Two sets of bigrams can only reach a
+The whole of a text, each of its lines and, for notices that stand in a longer line or over several lines, runs of
+its words are compared with templates. Two sets of bigrams can only reach a
 coefficient t if the smaller has at least t / (2 - t) times the bigrams of the larger, so a unit is compared
 with few templates. Most texts lack all the words of which a match must hold one, and aren't cut at all.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -81,12 +83,73 @@ def anchors(ready: list[tuple[str, list[str]]], threshold: float) -> list[str]:
     return sorted(out)
 
 
-def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def _let(value: Column, f) -> Column:
+    """``f(value)``, with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _apart(runs: Column) -> Column:
+    """Of runs in order of preference, those that share no bigram with one preferred to them."""
+    clear = lambda kept, r: ~F.exists(kept, lambda k: (k["start"] <= r["end"]) & (r["start"] <= k["end"]))
+    return F.aggregate(runs, F.slice(runs, 1, 0), lambda kept, r: F.when(clear(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
+
+
+def _best_end(run: Column, kind: Column, threshold: float) -> Column:
+    """minus (the score) and size of the best match among the beginnings of a run of bigrams; null if none reaches ``threshold``."""
+    # 0: came before, 1: new, 2: new and in the template
+    marks = F.transform(run, lambda b, k: F.when(F.array_position(run, b) <= k, 0).when(F.array_contains(kind["bigrams"], b), 2).otherwise(1))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("all"), F.lit(0).alias("shared"), F.lit(0.0).alias("score"), F.lit(0).alias("size"), F.lit(0).alias("of"))
+
+    def step(s: Column, mark: Column) -> Column:
+        at, every, shared = s["at"] + 1, s["all"] + F.least(mark, F.lit(1)), s["shared"] + F.greatest(mark - 1, F.lit(0))
+        score = F.when(mark == 2, 2.0 * shared / (every + kind["n"])).otherwise(0.0)
+        better = score > s["score"]
+        held = (F.when(better, new).otherwise(s[old]).alias(old) for old, new in (("score", score), ("size", at), ("of", shared)))
+        return F.struct(at.alias("at"), every.alias("all"), shared.alias("shared"), *held)
+
+    return _let(F.aggregate(marks, start, step), lambda s: F.when(s["score"] >= threshold, s))
+
+
+def _runs(words: Column, kinds: Column, vocabulary: list[str], threshold: float) -> Column:
+    """The runs of words, wherever they stand, that match: minus_shared, minus (the score), license_id, start, end (bigrams, from 1).
+
+    A run that matches best begins and ends with bigrams of the template, of which it has ``need`` at least; runs of up
+    to ``most`` bigrams are tried. Of runs that overlap, the best of a template stays, then that which shares most
+    bigrams with its template.
+    """
+    none = F.array().cast("array<struct<minus_shared:int,minus:double,license_id:string,start:int,end:int>>")
+    at = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+
+    def of_kind(kind: Column, bigrams: Column, hits: Column) -> Column:
+        def dense(own: Column) -> Column:
+            return F.filter(own, lambda p, k: F.coalesce(F.get(own, k + kind["need"] - 1) - p < kind["most"], F.lit(False)))
+
+        def run(p: Column) -> Column:
+            found = _let(F.slice(bigrams, p, kind["most"]), lambda r: _best_end(r, kind, threshold))
+            return _let(found, lambda s: F.when(s.isNotNull(), F.struct((-s["score"]).alias("minus"), p.alias("start"), (p + s["size"] - 1).alias("end"), s["of"].alias("of"))))
+
+        own = F.transform(F.filter(hits, lambda h: F.array_contains(kind["bigrams"], h["b"])), lambda h: h["p"])
+        starts = _let(own, dense)
+        kept = _let(F.array_sort(F.filter(F.transform(starts, run), lambda r: r.isNotNull())), _apart)
+        return F.transform(kept, lambda r: F.struct((-r["of"]).alias("minus_shared"), r["minus"].alias("minus"), kind["license_id"].alias("license_id"), r["start"].alias("start"), r["end"].alias("end")))
+
+    def of_text(bigrams: Column) -> Column:
+        hits = F.filter(F.transform(bigrams, lambda b, k: F.struct((k + 1).alias("p"), b.alias("b"))), lambda h: h["b"].isin(vocabulary))
+        every = _let(hits, lambda hs: F.flatten(F.transform(kinds, lambda kind: of_kind(kind, bigrams, hs))))
+        return _let(F.array_sort(every), _apart)
+
+    return F.coalesce(_let(F.transform(at, lambda i: F.concat_ws(" ", F.slice(words, i, 2))), of_text), none)
+
+
+def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD, runs: bool = False) -> DataFrame:
     """doc_id, unit (0: the whole text, n: its n-th line), license_id, score: every unit that matches a template.
 
     ``score`` is the Dice coefficient of the sets of bigrams of ASCII words, at ``threshold`` or more; of a unit's
     templates the best is given, ties to the id that sorts first. Null, empty and wordless texts match nothing.
     Repeated rows give repeated matches; extra columns of ``docs`` are not looked at.
+
+    With ``runs``, also runs of words that match wherever they stand, in a line or over several; their unit is -n if
+    they begin with the n-th word. A run in a line or text that matches as a whole with the same license is left out.
     """
     spark = docs.sparkSession
     ready = compiled(templates if templates is not None else spark.createDataFrame(TEMPLATES, "license_id string, text string"))
@@ -94,23 +157,49 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
         return docs.select("doc_id", F.lit(0).alias("unit"), F.lit("").alias("license_id"), F.lit(0.0).alias("score")).limit(0)
     sizes = [len(b) for _, b in ready]
     narrow = threshold / (2 - threshold)
-    kinds = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for name, b in ready))
+    bounds = lambda n: (F.lit(max(1, math.ceil(n * narrow - 1e-9))).alias("need"), F.lit(math.floor(n / narrow + 1e-9)).alias("most"))
+    kinds = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(len(b)).alias("n"), *bounds(len(b)), F.array(*map(F.lit, b)).alias("bigrams")) for name, b in ready))
     text = F.coalesce("text", F.lit(""))
-    lines = docs.select("doc_id", F.transform(F.split(text, "\n"), lambda u, k: F.struct((k + 1).alias("unit"), _words(u).alias("words"))).alias("__lines"))
-    whole = F.struct(F.lit(0).alias("unit"), F.flatten(F.transform("__lines", lambda u: u["words"])).alias("words"))  # no word crosses lines
+    lines = docs.select("doc_id", F.transform(F.split(text, "\n"), lambda u, k: F.struct((k + 1).alias("unit"), _words(u).alias("words"), F.lit(None).cast("array<int>").alias("sizes"))).alias("__lines"))
+    lengths = F.transform("__lines", lambda u: F.size(u["words"]))
+    whole = F.struct(F.lit(0).alias("unit"), F.flatten(F.transform("__lines", lambda u: u["words"])).alias("words"), lengths.alias("sizes"))  # no word crosses lines
     held = F.array(*map(F.lit, anchors(ready, threshold)))
     units = F.filter(F.concat(F.array(whole), "__lines"), lambda u: F.arrays_overlap(u["words"], held))
     # explode_outer: for explode, Spark would push a filter with the whole expression down into the scan
-    likely = lines.select("doc_id", F.explode_outer(units).alias("u")).where("u IS NOT NULL").select("doc_id", "u.unit", "u.words")
-    pairs = likely.select("doc_id", "unit", F.explode_outer(F.array(_bigrams(F.col("words")))).alias("b")).where(F.size("b").between(min(sizes) * narrow, max(sizes) / narrow))
-    near = F.filter(kinds, lambda t: (F.size("b") >= t["n"] * narrow) & (t["n"] >= F.size("b") * narrow))
-    scored = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect(F.col("b"), t["bigrams"])) / (F.size("b") + t["n"])).alias("minus"), t["license_id"].alias("license_id")))
-    best = pairs.select("doc_id", "unit", F.array_min(scored).alias("best")).where(F.col("best.minus") <= -threshold)
-    return best.select("doc_id", "unit", "best.license_id", (-F.col("best.minus")).alias("score"))
+    likely = lines.select("doc_id", F.explode_outer(units).alias("u")).where("u IS NOT NULL").select("doc_id", "u.unit", "u.words", "u.sizes")
+
+    def best(b: Column) -> Column:
+        """minus (the score) and license_id of the best template for a set of bigrams; null if none reaches the threshold."""
+        near = F.filter(kinds, lambda t: (F.size(b) >= t["n"] * narrow) & (t["n"] >= F.size(b) * narrow))
+        scored = F.transform(near, lambda t: F.struct((-2.0 * F.size(F.array_intersect(b, t["bigrams"])) / (F.size(b) + t["n"])).alias("minus"), t["license_id"].alias("license_id")))
+        found = _let(F.array_min(scored), lambda x: F.when(x["minus"] <= -threshold, x))
+        return F.when(F.size(b).between(min(sizes) * narrow, max(sizes) / narrow), found)
+
+    def row(unit: Column, found: Column) -> Column:
+        return F.struct(unit.cast("int").alias("unit"), found["license_id"].alias("license_id"), (-found["minus"]).alias("score"))
+
+    def loose(r: Column, over: Column) -> Column:
+        """Neither the whole text, whose match is ``over``, nor the line around a run matches with the run's license."""
+        def line(p: Column) -> Column:  # of the p-th word: the words before it and the number of its own
+            return F.aggregate("sizes", F.struct(F.lit(0).alias("sum"), F.lit(0).alias("own")), lambda s, n: F.when(s["sum"] + s["own"] < p, F.struct((s["sum"] + s["own"]).alias("sum"), n.alias("own"))).otherwise(s))
+
+        def within(x: Column) -> Column:
+            return (r["end"] + 1 <= x["sum"] + x["own"]) & F.coalesce(_let(_bigrams(F.slice("words", x["sum"] + 1, x["own"])), best)["license_id"] == r["license_id"], F.lit(False))
+
+        return ~(F.coalesce(over["license_id"] == r["license_id"], F.lit(False)) | _let(line(r["start"]), within))
+
+    own = _let(_bigrams(F.col("words")), best)
+    matched = lambda x: F.when(x.isNotNull(), F.array(row(F.col("unit"), x))).otherwise(F.array().cast("array<struct<unit:int,license_id:string,score:double>>"))
+    found = _let(own, matched)
+    if runs:
+        vocabulary = sorted({b for _, bigrams in ready for b in bigrams})
+        inside = lambda x: F.transform(F.filter(_runs(F.col("words"), kinds, vocabulary, threshold), lambda r: loose(r, x)), lambda r: row(-r["start"], r))
+        found = _let(own, lambda x: F.when(F.col("unit") == 0, F.concat(matched(x), inside(x))).otherwise(matched(x)))
+    return likely.select("doc_id", F.explode_outer(found).alias("m")).where("m IS NOT NULL").select("doc_id", "m.unit", "m.license_id", "m.score")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_units, licenses (distinct ids, sorted, joined by commas) and best_score of each document."""
-    found = scan(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n_units"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"), F.max("score").alias("best_score"))
+    """doc_id, n_units (runs too), licenses (distinct ids, sorted, joined by commas) and best_score of each document."""
+    found = scan(docs.select("doc_id", "text"), runs=True).groupBy("doc_id").agg(F.count("*").alias("n_units"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"), F.max("score").alias("best_score"))
     named = docs.select("doc_id").join(found, "doc_id", "left")
     return named.select("doc_id", F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))

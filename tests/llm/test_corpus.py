@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -266,6 +267,46 @@ def test_licences_by_force(spark):
     assert licences.scan(frame(spark, texts), empty).count() == 0
 
 
+def test_licences_in_prose_and_over_lines(spark):
+    rng = random.Random(11)
+    filler = lambda n: textwrap.fill(noise(rng, n), 76)
+    texts, want = [], []
+    for k, (name, t) in enumerate(licences.TEMPLATES):
+        for j, wrapped in enumerate((textwrap.fill(t, 72), textwrap.fill("// " + t, 78), f"{noise(rng, 30)}. {t} {noise(rng, 30)}")):
+            texts.append((10 * k + j, f"{filler(200)}\n{wrapped}\n\n{filler(200)}"))
+            want.append((10 * k + j, name))
+    texts += [(900, filler(400)), (901, f"{filler(50)} Released under the MIT License. {filler(50)}\nLicensed under CC BY 4.0.\n{filler(9)} Licensed under CC BY 4.0. {filler(40)}")]
+    got = {r.doc_id: r for r in licences.digests(frame(spark, texts)).collect()}
+    assert [(d, got[d].licenses) for d, _ in want] == want
+    assert {got[d].best_score for d, _ in want if d % 10 < 2} == {1.0}
+    assert {got[d].n_units for d, _ in want} == {1, 2}  # 2: the first line matches a shorter template too
+    assert tuple(got[900])[1:] == (0, "", 0.0)
+    assert tuple(got[901])[1:] == (3, "CC-BY-4.0,MIT", 1.0)
+
+
+def test_licence_runs_by_force(spark):
+    rng = random.Random(12)
+    kinds = [("A", "a b c d e"), ("B", "b c b d a c"), ("C", "e d c b a e b")]
+    texts = [(k, "".join(rng.choice("abcdexyz") + rng.choice("  \n") for _ in range(60))) for k in range(60)]
+    bigrams = lambda w: {*zip(w, w[1:])}
+    score = lambda a, b: 2 * len(a & b) / (len(a) + len(b))
+    sets = [(name, bigrams(t.split())) for name, t in kinds]
+    templates = spark.createDataFrame(kinds, "license_id string, text string")
+    rows = licences.scan(frame(spark, texts), templates, runs=True).collect()
+    assert any(r.unit < 0 for r in rows)
+    for d, t in texts:
+        w, lines = t.split(), [x.split() for x in t.split("\n")]
+        ours = [r for r in rows if r.doc_id == d]
+        top = max((score(bigrams(w[i : i + n + 1]), b) for _, b in sets for n in range(1, int(1.5 * len(b)) + 1) for i in range(len(w) - n)), default=0)
+        assert (max((r.score for r in ours), default=0) == pytest.approx(top)) if top >= 0.8 else not ours, t
+        for r in ours:
+            near = [b for name, b in sets if name == r.license_id]
+            if r.unit < 0:
+                assert any(score(bigrams(w[-r.unit - 1 : -r.unit + n]), b) == pytest.approx(r.score) for b in near for n in range(1, 20))
+            else:
+                assert any(score(bigrams(lines[r.unit - 1] if r.unit else w), b) == pytest.approx(r.score) for b in near)
+
+
 # Language and quality
 
 
