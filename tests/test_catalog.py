@@ -311,6 +311,31 @@ def test_streams(spark, tmp_path):
     assert windowed_counts(events).first().n == 2
 
 
+def store_tables(spark, folder, **tables):
+    for name, (rows, columns) in tables.items():
+        spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def vector_tables(spark, folder, n=8):
+    """n documents, each nearer to the third the nearer its number; labels for all of them."""
+    angle = lambda k: [float(np.cos((k - 3) / 10)), float(np.sin((k - 3) / 10))]
+    return store_tables(
+        spark,
+        folder,
+        documents=([(k, "text", "en", "src", 100 + k) for k in range(n)], "doc_id long, text string, lang string, source string, n_chars long"),
+        labels=([(k, 0, 0) for k in range(n)], "doc_id long, quality int, toxic int"),
+        embeddings=([(k, angle(k), k) for k in range(n)], "vec_id long, embedding array<float>, label int"),
+    )
+
+
+def test_registered_page_ranks_all_rows(spark, tmp_path):
+    from shelfmark.plans.catalog_queries import QUERIES
+
+    got = QUERIES["paged_with_total"](spark, vector_tables(spark, tmp_path)).collect()
+    assert sorted((-r.score, r.path, r.n) for r in got) == [(pytest.approx(-np.cos(gap / 10), abs=1e-6), f"lib/src/{k}.wav", 7) for gap, k in ((1, 2), (1, 4), (2, 1), (2, 5), (3, 0))]
+
+
 def test_registry_is_whole(spark):
     import __spark_entry__
 
