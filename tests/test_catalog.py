@@ -336,6 +336,16 @@ def test_registered_page_ranks_all_rows(spark, tmp_path):
     assert sorted((-r.score, r.path, r.n) for r in got) == [(pytest.approx(-np.cos(gap / 10), abs=1e-6), f"lib/src/{k}.wav", 7) for gap, k in ((1, 2), (1, 4), (2, 1), (2, 5), (3, 0))]
 
 
+def test_registered_metrics_are_the_last_of_all(spark, tmp_path):
+    from shelfmark.plans.catalog_queries import QUERIES
+
+    rows = [(k, f"2024-01-01 00:{k % 60:02}:00", 0.5 + k, f'{{"k": {k}}}') for k in range(40, 60)]
+    events = spark.createDataFrame(rows, "event_id long, t string, value double, props string").select("event_id", F.to_timestamp("t").alias("ts"), "value", "props")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in QUERIES["metrics_json"](spark, str(tmp_path)).collect()]
+    assert got == [(str(k), 0.5 + k, float(k)) for k in range(50, 60)]
+
+
 def test_registry_is_whole(spark):
     import __spark_entry__
 
