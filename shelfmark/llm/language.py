@@ -108,11 +108,11 @@ class Model:
         return self.languages[order[0]], second / (best + second)
 
 
-def fit(labelled: DataFrame, docs_per_language: int = 150, chars_per_doc: int = 20_000, lexicon_chars: int = 60_000) -> dict[str, list[str]]:
+def fit(labelled: DataFrame, docs_per_language: int = 150, lexicon_chars: int = 60_000) -> dict[str, list[str]]:
     """Each language's lexicon, from ``labelled`` (doc_id, text, lang).
 
-    The bound of the sample: about ``docs_per_language`` documents of each language, those of smallest hashed id,
-    with ``chars_per_doc`` characters of each; of their distinct words, in that order, ``lexicon_chars`` characters.
+    The bound of the sample: about ``docs_per_language`` documents of each language, those of smallest hashed id, read
+    whole; of their distinct words, in that order, ``lexicon_chars`` characters.
     Rows with a null text or lang are left out. No rows give an empty model, which calls everything unknown.
     """
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("__at", F.xxhash64(F.col("doc_id")))
@@ -125,7 +125,7 @@ def fit(labelled: DataFrame, docs_per_language: int = 150, chars_per_doc: int =
         taken = taken | ((F.col("lang") == lang) & (F.col("__at") <= F.lit(cut).cast("long")))
     lexicons: dict[str, dict[str, None]] = defaultdict(dict)
     room = dict.fromkeys(sizes, lexicon_chars)
-    for r in labelled.where(taken).select("lang", F.left("text", F.lit(chars_per_doc)).alias("text"), "__at").orderBy("__at", "text").toLocalIterator():
+    for r in labelled.where(taken).select("lang", "text", "__at").orderBy("__at", "text").toLocalIterator():
         for word in words(r.text):
             if word not in lexicons[r.lang] and room[r.lang] > len(word):
                 lexicons[r.lang][word] = None

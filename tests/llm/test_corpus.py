@@ -316,6 +316,11 @@ def language_rows(n, seed):
     return [(k, " ".join(rng.choices(lexicon[x := rng.choice([*lexicon])], k=30)), x) for k in range(n)]
 
 
+def test_language_learns_from_whole_texts(spark):
+    docs = frame(spark, [(1, "the same " * 3000 + "last"), (2, None)], {1: "en", 2: "en"})
+    assert language.fit(docs.select("doc_id", "text", "lang")) == {"en": ["the", "same", "last"]}
+
+
 def test_language_on_held_out_rows(spark):
     rows = language_rows(300, 11)
     docs = frame(spark, [*((k, t) for k, t, _ in rows), (900, None), (901, "123 !? \n"), (902, ""), (903, "der " * 50_000), (None, "the water of the house")], {k: x for k, _, x in rows})
