@@ -596,14 +596,14 @@ def unit_vectors(spark, d):
 @query(f"SELECT CAST(vec_id AS VARCHAR) AS path, 128::INT AS dim, round(sqrt({_DOT.format('vec', 'vec')}), 3) AS length FROM @vectors WHERE vec_id % 2 = 0")
 def concat_features(spark, d):
     rows = view(spark, d, "vectors").select(F.col("vec_id").cast("string").alias("path"), "vec", "vec_id")
-    both = rows.withColumn("model", F.lit("panns")).unionByName(rows.where("vec_id % 2 = 0").withColumn("model", F.lit("clap"))).select("path", "model", "vec")
+    both = rows.withColumn("model", F.lit("panns")).unionByName(rows.withColumn("model", F.lit("clap"))).select("path", "model", "vec")
     done = feature_tables.load_concat(both, "panns", "clap")
     return done.select("path", F.size("vec").alias("dim"), F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) / 2), 3).alias("length"))
 
 
 @query("SELECT CAST(v.vec_id AS VARCHAR) AS id, coalesce(s.human_instrument, '') AS human_instrument, coalesce(s.label_source, '') AS label_source, coalesce(CAST(s.is_val AS INT), 0) AS is_val FROM @vectors v LEFT JOIN @samples s ON s.row_id = v.vec_id AND s.row_id % 2 = 0")
 def features_with_labels(spark, d):
-    samples = view(spark, d, "samples").where("row_id % 2 = 0").withColumn("path", F.col("row_id").cast("string"))
+    samples = view(spark, d, "samples").withColumn("path", F.col("row_id").cast("string"))
     rows = view(spark, d, "vectors").select(F.col("vec_id").cast("string").alias("path"))
     return feature_tables.with_labels(rows, samples).select(F.col("path").alias("id"), "human_instrument", "label_source", "is_val")
 

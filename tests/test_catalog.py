@@ -346,6 +346,14 @@ def test_registered_metrics_are_the_last_of_all(spark, tmp_path):
     assert got == [(str(k), 0.5 + k, float(k)) for k in range(50, 60)]
 
 
+def test_registered_features_are_of_all_rows(spark, tmp_path):
+    from shelfmark.plans.catalog_queries import QUERIES
+
+    d = vector_tables(spark, tmp_path)
+    assert sorted(r.path for r in QUERIES["concat_features"](spark, d).collect()) == [str(k) for k in range(8)]
+    assert sorted((r.id, r.human_instrument) for r in QUERIES["features_with_labels"](spark, d).collect()) == [(str(k), "fr") for k in range(8)]
+
+
 def test_registry_is_whole(spark):
     import __spark_entry__
 
