@@ -1,17 +1,20 @@
-"""Language identification by cross-parsing against suffix automata of labelled text.
+"""Language identification by cross-parsing entropy, with suffix automata of running labelled text.
 
-A language's automaton accepts every substring of its labelled words. A text's words are parsed greedily into
-the longest phrases that the automaton knows; what it doesn't know is a phrase of one character. The language
-that needs the fewest phrases for the same characters wins. Phrases don't run across words, so a word's number
-of phrases is computed once for each worker.
+A language's automaton accepts every substring of its sample. A text is parsed greedily into the longest phrases that
+the automaton knows, across words; a byte that it doesn't know is a phrase. A phrase is named by a place in the
+sample, so it costs log2 of the sample's length; the language whose phrases cost least wins. The automata are
+completed to one table: where an arc is missing, the arc from the start state is put, marked as the beginning of a
+phrase. A parse is then one table look-up for each byte, and many stretches of text are parsed in lockstep.
 """
 
 from __future__ import annotations
 
-import re
+import math
 import uuid
 from collections import defaultdict
+from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,21 +22,35 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from shelfmark.llm.worker import resident
 
-_WORD = re.compile(r"[^\W\d_]+")
-_LANE = 44  # bits for one language's phrases in a packed sum
-_MEMO_ENTRIES = 150_000
+#: Texts are parsed in stretches of so many bytes, at whose ends phrases end; and so many bytes at once.
+STRETCH, TOGETHER = 1024, 4 << 20
 UNKNOWN = "und"
 
 
-def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+class _Letters(dict):
+    """For ``str.translate``: letters in lower case, a space for everything else, found out when first met."""
+
+    def __missing__(self, code: int) -> str:
+        if len(self) > 1 << 16:
+            self.clear()
+        out = self[code] = chr(code).lower() if chr(code).isalpha() else " "
+        return out
+
+
+_LETTERS = _Letters()
+
+
+def running(text: str) -> bytes:
+    """``text`` in lower case, with one space for whatever isn't a letter and at both ends; empty without letters."""
+    words = text.translate(_LETTERS).split()
+    return f" {' '.join(words)} ".encode("utf-8", "replace") if words else b""
 
 
 class SuffixAutomaton:
-    """The smallest automaton of all substrings of a text."""
+    """The smallest automaton of all substrings of a text (characters) or of bytes."""
 
-    def __init__(self, text: str):
-        self.arcs: list[dict[str, int]] = [{}]
+    def __init__(self, text: str | bytes):
+        self.arcs: list[dict[str | int, int]] = [{}]
         link, size, last = [-1], [0], 0
         arcs = self.arcs
         for c in text:
@@ -60,7 +77,7 @@ class SuffixAutomaton:
                     link[q] = link[new] = copy
             last = new
 
-    def phrases(self, text: str) -> int:
+    def phrases(self, text: str | bytes) -> int:
         """The number of phrases of the greedy parse, each the longest match from where the last one ended."""
         arcs, n, k = self.arcs, 0, 0
         while k < len(text):
@@ -73,79 +90,130 @@ class SuffixAutomaton:
         return n
 
 
-class _Counts(dict):
-    """The phrases of a word in every language, one lane of bits for each."""
-
-    def __init__(self, automata: list[SuffixAutomaton]):
-        super().__init__()
-        self._automata = automata
-
-    def __missing__(self, word: str) -> int:
-        marked, out = f" {word} ", 0
-        for k, automaton in enumerate(self._automata):
-            out |= automaton.phrases(marked) << _LANE * k
-        if len(self) < _MEMO_ENTRIES and len(word) < 64:
-            self[word] = out
-        return out
-
-
 class Model:
-    """Automata by language, ready to parse; ``lexicons`` has each language's distinct words."""
-
-    def __init__(self, lexicons: dict[str, list[str]]):
-        self.languages = sorted(lexicons)
-        self._counts = _Counts([SuffixAutomaton(" " + " ".join(lexicons[x]) + " ") for x in self.languages])
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and how far the runner-up lies behind: its share of both phrase counts."""
-        found = words(text or "")
-        if not found or not self.languages:
-            return UNKNOWN, 0.0
-        packed = sum(map(self._counts.__getitem__, found))
-        counts = [(packed >> _LANE * k) & ((1 << _LANE) - 1) for k in range(len(self.languages))]
-        order = sorted(range(len(counts)), key=lambda k: (counts[k], k))
-        best, second = counts[order[0]], counts[order[1]] if len(order) > 1 else sum(map(len, found))
-        return self.languages[order[0]], second / (best + second)
-
-
-def fit(labelled: DataFrame, docs_per_language: int = 150, lexicon_chars: int = 60_000) -> dict[str, list[str]]:
-    """Each language's lexicon, from ``labelled`` (doc_id, text, lang).
-
-    The bound of the sample: about ``docs_per_language`` documents of each language, those of smallest hashed id, read
-    whole; of their distinct words, in that order, ``lexicon_chars`` characters.
+    """The automata of all languages as one table, ready to parse; ``samples`` has texts (``running``) by language."""
+
+    def __init__(self, samples: dict[str, list[bytes]]):
+        self.languages = sorted(samples)
+        joined = [b"".join(samples[x]) for x in self.languages]
+        self._bits = np.array([math.log2(2 + len(x)) for x in joined])
+        seen = np.unique(np.frombuffer(b"".join(joined), np.uint8))
+        self._width = len(seen) + 1  # the first column is for all other bytes
+        self._column = np.zeros(256, np.int32)
+        self._column[seen] = np.arange(1, self._width)
+        tables, self._starts, base = [], [], 0
+        for text in joined:
+            tables.append(self._completed(SuffixAutomaton(text).arcs, base))
+            self._starts.append(base * self._width)
+            base += len(tables[-1])
+        self._table = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
+
+    def _completed(self, arcs: list[dict[int, int]], base: int) -> np.ndarray:
+        """Cells by state and column: twice the place of the next state's row, plus one if a phrase begins there."""
+        fresh = np.full(self._width, base * self._width * 2 + 1, np.int32)
+        for byte, to in arcs[0].items():
+            fresh[self._column[byte]] = (base + to) * self._width * 2 + 1
+        table = np.tile(fresh, (len(arcs), 1))
+        states = np.fromiter((s for s, out in enumerate(arcs) if s for _ in out), np.int64)
+        into = np.fromiter((to for out in arcs[1:] for to in out.values()), np.int64)
+        if len(into):
+            over = self._column[np.fromiter((byte for out in arcs[1:] for byte in out), np.int64)]
+            table[states, over] = (base + into) * self._width * 2
+        return table
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """The number of phrases of each text (column) in each language (row)."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        pieces = -(-sizes // STRETCH)
+        owner = np.repeat(np.arange(len(texts)), pieces)
+        within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = np.repeat(np.cumsum(sizes) - sizes, pieces) + within * STRETCH
+        length = np.minimum(STRETCH, sizes[owner] - within * STRETCH)
+        order = np.argsort(-length, kind="stable")
+        owner, first, length = owner[order], first[order], length[order]
+        columns = self._column[np.frombuffer(b"".join(texts), np.uint8)]
+        state = np.repeat(np.array(self._starts, np.int32)[:, None], len(owner), axis=1)
+        count = np.zeros(state.shape, np.int32)
+        for k in range(int(length.max(initial=0))):
+            active = int(np.searchsorted(-length, -k, "left"))  # those longer than k
+            cell = self._table.take(state[:, :active] + columns.take(first[:active] + k))
+            count[:, :active] += cell & 1
+            state[:, :active] = cell >> 1
+        return np.stack([np.bincount(owner, weights=c, minlength=len(texts)) for c in count]) if len(count) else np.empty((0, len(texts)))
+
+    def predict(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """The language of each text, and the runner-up's share of the two least costs."""
+        out: list[tuple[str, float]] = []
+        waiting: list[bytes] = []
+        held = 0
+        for text in texts:
+            waiting.append(running(text or ""))
+            held += len(waiting[-1])
+            if held >= TOGETHER:
+                out += self._judged(waiting)
+                waiting, held = [], 0
+        return out + self._judged(waiting)
+
+    def _judged(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        costs = self.phrases(texts) * self._bits[:, None]
+        worst = np.fromiter(map(len, texts), float, len(texts)) * self._bits.max()  # every byte a phrase
+        best = np.argmin(costs, axis=0)
+        least = costs[best, np.arange(len(texts))]
+        costs[best, np.arange(len(texts))] = worst
+        second = costs.min(axis=0)
+        return [(self.languages[b], float(y / (x + y))) if t else (UNKNOWN, 0.0) for t, b, x, y in zip(texts, best, least, second, strict=True)]
+
+
+def fit(labelled: DataFrame, docs_per_language: int = 150, sample_bytes: int = 240_000) -> dict[str, list[bytes]]:
+    """Each language's sample, from ``labelled`` (doc_id, text, lang).
+
+    The bounds of the sample: about ``docs_per_language`` documents of each language, those of smallest hashed id among
+    those that fit; and ``sample_bytes`` in all, of which each language has an equal share and takes, in that order,
+    documents whole as long as they fit. A language all of whose documents are longer than its share gets the first
+    ``share`` characters of the shortest one.
     Rows with a null text or lang are left out. No rows give an empty model, which calls everything unknown.
     """
-    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("__at", F.xxhash64(F.col("doc_id")))
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("__at", F.xxhash64(F.col("doc_id"))).withColumn("__size", F.octet_length("text"))
+    n = labelled.select(F.count_distinct("lang").alias("n")).first().n
+    if not n:
         return {}
+    share = max(1, sample_bytes // n)
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count_if(F.col("__size") <= share).alias("n")).collect()} if n <= sample_bytes else {}
     taken = F.lit(False)
-    for lang, n in sorted(sizes.items()):
-        cut = -(1 << 63) + int((1 << 64) * min(1.0, docs_per_language / n)) - 1
-        taken = taken | ((F.col("lang") == lang) & (F.col("__at") <= F.lit(cut).cast("long")))
-    lexicons: dict[str, dict[str, None]] = defaultdict(dict)
-    room = dict.fromkeys(sizes, lexicon_chars)
-    for r in labelled.where(taken).select("lang", "text", "__at").orderBy("__at", "text").toLocalIterator():
-        for word in words(r.text):
-            if word not in lexicons[r.lang] and room[r.lang] > len(word):
-                lexicons[r.lang][word] = None
-                room[r.lang] -= len(word) + 1
-    return {lang: [*lexicon] for lang, lexicon in lexicons.items()}
-
-
-def predicted(docs: DataFrame, lexicons: dict[str, list[str]], text: str = "text") -> Column:
+    for lang, some in sorted(sizes.items()):
+        if some:
+            cut = -(1 << 63) + int((1 << 64) * min(1.0, docs_per_language / some)) - 1
+            taken = taken | ((F.col("lang") == lang) & (F.col("__at") <= F.lit(cut).cast("long")))
+    samples: dict[str, list[bytes]] = defaultdict(list)
+    room = dict.fromkeys(sizes, share)
+    for r in labelled.where(taken & (F.col("__size") <= share)).select("lang", "text", "__at").orderBy("__at", "text").toLocalIterator():
+        text = running(r.text)
+        if text and len(text) <= room[r.lang]:
+            samples[r.lang].append(text)
+            room[r.lang] -= len(text)
+    if lacking := sorted({*sizes} - {*samples}):
+        shortest = F.min(F.struct("__size", "__at", F.left("text", F.lit(share)).alias("text")))
+        for r in labelled.where(F.col("lang").isin(lacking)).groupBy("lang").agg(shortest.alias("s")).select("lang", "s.text").collect():
+            if text := running(r.text):
+                samples[r.lang].append(text)
+    return dict(samples)
+
+
+def predicted(docs: DataFrame, samples: dict[str, list[bytes]], text: str = "text") -> Column:
     """A column struct<lang_pred, score> for each whole text; ``und`` and 0 where it is null or has no letter.
 
-    The score is the runner-up's share of the two best phrase counts: 0.5 for a tie, which the language that sorts
-    first wins. The lexicons have a bounded size for each language and are broadcast.
+    The score is the runner-up's share of the two least costs: 0.5 for a tie, which the language that sorts first
+    wins; with one language, the runner-up is a parse into single bytes. The samples are bounded and broadcast.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lexicons)
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
     key = ("language", uuid.uuid4().hex)
 
     @arrow_udf("struct<lang_pred:string, score:double>")
     def of(texts: pa.Array) -> pa.Array:
         model = resident(key, lambda: Model(shared.value))
-        found = [model.predict(t.as_py()) for t in texts]
+        found = model.predict(t.as_py() for t in texts)
         return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], ["lang_pred", "score"])
 
     return of(F.col(text))
@@ -158,6 +226,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document; a null doc_id is neither learned from nor held out."""
+    docs = docs.select("doc_id", "text", "lang")
     out = docs.select("doc_id", predicted(docs, fit(training_rows(docs))).alias("p"))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "p.lang_pred", "p.score")

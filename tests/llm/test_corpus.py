@@ -5,13 +5,16 @@ import random
 import re
 import textwrap
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 
 from shelfmark.llm import components, contamination, language, licences, line_dedup, quality, registry, simhash, suffix_dedup, topk
+from shelfmark.sources.tables import table
 
+SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, keep string, ids string"
 
 
@@ -318,7 +321,47 @@ def language_rows(n, seed):
 
 def test_language_learns_from_whole_texts(spark):
     docs = frame(spark, [(1, "the same " * 3000 + "last"), (2, None)], {1: "en", 2: "en"})
-    assert language.fit(docs.select("doc_id", "text", "lang")) == {"en": ["the", "same", "last"]}
+    assert language.fit(docs.select("doc_id", "text", "lang")) == {"en": [b" " + b"the same " * 3000 + b"last "]}
+
+
+def test_language_sample_is_bounded_and_takes_documents_whole(spark):
+    docs = frame(spark, [(k, f"doc {'x' * k} end") for k in range(60)] + [(k, "y" * 500) for k in (100, 101)] + [(200, "12")], {**dict.fromkeys(range(60), "en"), 100: "de", 101: "de", 200: "fr"})
+    got = language.fit(docs.select("doc_id", "text", "lang"), sample_bytes=900)
+    assert sum(map(len, got["en"])) <= 300 and all(t.startswith(b" doc ") and t.endswith(b" end ") for t in got["en"])
+    assert got["de"] == [b" " + b"y" * 300 + b" "] and "fr" not in got
+
+
+def test_phrases_in_lockstep_match_the_automaton(monkeypatch):
+    rng = random.Random(15)
+    samples = {x: [("".join(rng.choice(letters) for _ in range(200))).encode()] for x, letters in (("a", "abc "), ("b", "bcdé "), ("c", "xyz"))}
+    model, stretch = language.Model(samples), 16
+    monkeypatch.setattr(language, "STRETCH", stretch)
+    texts = ["".join(rng.choice("abcdexyzé ü") for _ in range(rng.randint(0, 90))).encode() for _ in range(200)]
+    got = model.phrases(texts)
+    for row, x in zip(got, model.languages):
+        automaton = language.SuffixAutomaton(samples[x][0])
+        assert row.tolist() == [sum(automaton.phrases(t[k : k + stretch]) for k in range(0, len(t), stretch)) for t in texts]
+    assert model.phrases([]).shape == (3, 0) and language.Model({}).predict(["a", None]) == [("und", 0.0)] * 2
+
+
+def test_only_letters_have_a_language(spark):
+    docs = frame(spark, [(1, "the house"), (2, "½ ② ⅷ 12 ²"), (3, "\u0301 _ 中"), (4, "ª")], {1: "en"})
+    assert {r.doc_id: r.lang_pred for r in language.identify(docs.withColumn("score", docs["text"])).collect()} == {1: "en", 2: "und", 3: "en", 4: "en"}
+
+
+def test_language_ties_go_to_the_first_name():
+    found = language.Model({"b": [b" one two "], "a": [b" one two "]}).predict(["one two", "\ud800x"])
+    assert found[0] == ("a", 0.5) and found[1][0] == "a"
+
+
+@pytest.mark.skipif(not Path(SF).exists(), reason="needs the synthetic tables")
+def test_held_out_accuracy_on_the_synthetic_documents(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    by_lang = language.identify(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang IS NOT NULL")
+    assert by_lang.agg({"doc_id": "count"}).first()[0] > 100
+    assert by_lang.selectExpr("avg(int(lang_pred = lang)) AS x").first().x >= 0.97
+    by_quality = quality.classify(docs, labels).where("held_out").join(labels.select("doc_id", "quality"), "doc_id")
+    assert by_quality.selectExpr("avg(int(predicted = quality)) AS x").first().x >= 0.95
 
 
 def test_language_on_held_out_rows(spark):
