@@ -33,9 +33,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Scripts whose character classes are the same in every Unicode version; others are split by the library.
 _SETTLED = re.compile("[^\x00-Ɂɐ-ͯЀ-Ԥ -⁣₠-₵]")
 _LOOSE_SPACE = re.compile(r"\s ")
-_MEMO_ENTRIES = 300_000
+#: What a worker keeps at most: results by piece, states of the byte machine, cells of half a table of the automaton.
+_MEMO_ENTRIES, _MACHINE_STATES, _CELLS = 200_000, 120_000, 150_000
 _MEMO_WORD = 64
-_MACHINE_STATES = 200_000
 _NEVER = 1 << 60
 
 
@@ -85,8 +85,7 @@ class MergeAutomaton:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self._compile(model["vocab"], merges)
         self._sizes = [len(b) for b in self.labels]
-        self._arcs: dict[int, bool] = {}
-        self._fits: dict[int, bool] = {}
+        self._arcs, self._old_arcs, self._fits, self._old_fits = {}, {}, {}, {}
         self._rows: dict[tuple, Row] | None = None
         self._pattern = None
         self._library = None
@@ -141,18 +140,23 @@ class MergeAutomaton:
             before, owner = born[owner], right[owner]
 
     def arc(self, entered: int, label: int) -> bool:
-        """The transition table, filled as its cells are first used."""
+        """The transition table, filled as its cells are first used; of its two halves the older one is given up when full."""
         key = entered << 20 | label
         found = self._arcs.get(key)
         if found is None:
-            if len(self._arcs) > 2_000_000:
-                self._arcs.clear()
-            found = self._arcs[key] = self._open(entered, label)
+            found = self._old_arcs.get(key)
+            if found is None:
+                found = self._open(entered, label)
+            if len(self._arcs) >= _CELLS:
+                self._arcs, self._old_arcs = {}, self._arcs
+            self._arcs[key] = found
         return found
 
     def start(self) -> Row:
         """The byte machine's start state. It is built anew when it has grown over a bound, between two words."""
         if self._rows is None or len(self._rows) > _MACHINE_STATES:
+            for row in (self._rows or {}).values():
+                row.clear()  # states lead to each other; so they are freed without the collector
             self._rows = {}
             self._start = self._row(((0, -1, 0),))
         return self._start
@@ -169,13 +173,15 @@ class MergeAutomaton:
         key = node << 20 | before
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            found, open_nodes = False, [*self._below[node]]
-            while open_nodes and not found:
-                at = open_nodes.pop()
-                found = self._token_at[at] >= 0 and self._open(before, self._token_at[at])
-                open_nodes += self._below[at]
+            found = self._old_fits.get(key)
+            if found is None:
+                found, open_nodes = False, [*self._below[node]]
+                while open_nodes and not found:
+                    at = open_nodes.pop()
+                    found = self._token_at[at] >= 0 and self._open(before, self._token_at[at])
+                    open_nodes += self._below[at]
+            if len(self._fits) >= _CELLS:
+                self._fits, self._old_fits = {}, self._fits
             self._fits[key] = found
         return found
 
