@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from shelfmark.llm import components, contamination, language, licences, line_dedup, quality, registry, simhash, suffix_dedup, topk
 from shelfmark.sources.tables import table
@@ -238,6 +239,21 @@ def test_decontamination_matches_brute_force(spark):
     assert contamination.digests(frame(spark, docs).limit(0), df).count() == 0
 
 
+def test_decontamination_of_a_long_item_and_clashing_columns(spark):
+    rng = random.Random(16)
+    words = noise(rng, 20_000).split()
+    items = [(1, " ".join(words)), (2, " ".join(words[500:520])), (3, "only three words")]
+    docs = [(1, " ".join(words[100:160])), (2, noise(rng, 40) + " " + " ".join(words[495:530])), (3, "x only three words y " * 3), (None, "only three words")]
+    whole = (4, " ".join(words))
+    df = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination.digests(frame(spark, docs), df)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(((d, *x[1:]) for d, x in zip([r[0] for r in docs], (hits_by_force([(0, t)], items)[0] for _, t in docs))), key=str)
+    assert [tuple(r)[1:4] for r in contamination.digests(frame(spark, [whole]), df).collect()] == [(20_000, 20_000, 2)]
+    clash = frame(spark, docs).withColumns({c: F.lit("mine") for c in ("n_words", "items", "words", "key", "hash")})
+    out = contamination.contaminated(clash, df)
+    assert out.columns.count("items") == 1 and {r.words for r in out.collect()} == {"mine"}
+
+
 def test_decontamination_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(contamination, "BROADCAST_ROWS", 0)
     rng = random.Random(9)
