@@ -81,7 +81,7 @@ def propagate_candidates(spark, d):
     return retrieve.propagate_candidates(_path_vectors(spark, d).select("path", "vec"), view(spark, d, "samples"), "lib/src0/0.wav", 24, CLOSE)
 
 
-@query(f"SELECT path, (SELECT count(*) FROM @points) - 1 AS n, score FROM (SELECT b.path, round({_DOT.format('b.vec', 'a.vec')}, 6) AS score FROM {_PV} b, {_PV} a WHERE a.row_id = 3 AND b.row_id <> 3 AND b.row_id % 2 = 0) ORDER BY score DESC, path LIMIT 5")
+@query(f"SELECT path, (SELECT count(*) FROM @points) - 1 AS n, score FROM (SELECT b.path, round({_DOT.format('b.vec', 'a.vec')}, 6) AS score FROM {_PV} b, {_PV} a WHERE a.row_id = 3 AND b.row_id <> 3) ORDER BY score DESC, path LIMIT 5")
 def paged_with_total(spark, d):
     rows = _path_vectors(spark, d)
     asked = rows.where("row_id = 3").select(F.col("vec").alias("qvec"))
@@ -150,7 +150,7 @@ def event_histogram(spark, d):
     return rows.groupBy("event_type", "bucket").agg(F.count("*").alias("n"), F.max("k").alias("top"))
 
 
-@query("SELECT version, macro_f1, per_class_f1 FROM (SELECT CAST(event_id AS VARCHAR) AS version, value AS macro_f1, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS per_class_f1, ts FROM events WHERE event_id % 50 = 0 ORDER BY ts DESC, version LIMIT 10)")
+@query("SELECT version, macro_f1, per_class_f1 FROM (SELECT CAST(event_id AS VARCHAR) AS version, value AS macro_f1, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS per_class_f1, ts FROM events ORDER BY ts DESC, version LIMIT 10)")
 def metrics_json(spark, d):
     rows = table(spark, d, "events")
     metrics = rows.select(F.col("event_id").cast("string").alias("version"), F.col("ts"), F.lit(1).alias("val_n"), F.col("value").alias("macro_f1"), F.col("props").alias("per_class_f1"), F.col("props").alias("coverage"), F.lit(None).cast("string").alias("notes"))
@@ -593,7 +593,7 @@ def unit_vectors(spark, d):
     return rows.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x), 5).alias("norm2"))
 
 
-@query(f"SELECT CAST(vec_id AS VARCHAR) AS path, 128::INT AS dim, round(sqrt({_DOT.format('vec', 'vec')}), 3) AS length FROM @vectors WHERE vec_id % 2 = 0")
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS path, 128::INT AS dim, round(sqrt({_DOT.format('vec', 'vec')}), 3) AS length FROM @vectors")
 def concat_features(spark, d):
     rows = view(spark, d, "vectors").select(F.col("vec_id").cast("string").alias("path"), "vec", "vec_id")
     both = rows.withColumn("model", F.lit("panns")).unionByName(rows.withColumn("model", F.lit("clap"))).select("path", "model", "vec")
@@ -601,7 +601,7 @@ def concat_features(spark, d):
     return done.select("path", F.size("vec").alias("dim"), F.round(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")) / 2), 3).alias("length"))
 
 
-@query("SELECT CAST(v.vec_id AS VARCHAR) AS id, coalesce(s.human_instrument, '') AS human_instrument, coalesce(s.label_source, '') AS label_source, coalesce(CAST(s.is_val AS INT), 0) AS is_val FROM @vectors v LEFT JOIN @samples s ON s.row_id = v.vec_id AND s.row_id % 2 = 0")
+@query("SELECT CAST(v.vec_id AS VARCHAR) AS id, coalesce(s.human_instrument, '') AS human_instrument, coalesce(s.label_source, '') AS label_source, coalesce(CAST(s.is_val AS INT), 0) AS is_val FROM @vectors v LEFT JOIN @samples s ON s.row_id = v.vec_id")
 def features_with_labels(spark, d):
     samples = view(spark, d, "samples").withColumn("path", F.col("row_id").cast("string"))
     rows = view(spark, d, "vectors").select(F.col("vec_id").cast("string").alias("path"))
