@@ -200,6 +200,8 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_units (runs too), licenses (distinct ids, sorted, joined by commas) and best_score of each document."""
-    found = scan(docs.select("doc_id", "text"), runs=True).groupBy("doc_id").agg(F.count("*").alias("n_units"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"), F.max("score").alias("best_score"))
-    named = docs.select("doc_id").join(found, "doc_id", "left")
+    # by id and text, so that rows that repeat an id keep to themselves; units are counted once if a whole row repeats
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_id")).alias("doc_id"), "text")
+    found = scan(keyed, runs=True).groupBy(F.col("doc_id").alias("key")).agg(F.count_distinct("unit").alias("n_units"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("licenses"), F.max("score").alias("best_score"))
+    named = keyed.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("key")), "left").select("doc_id.doc_id", "n_units", "licenses", "best_score")
     return named.select("doc_id", F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("best_score", F.lit(0.0)).alias("best_score"))
