@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUERY_ROWS, SHARD_ROWS, PARTS = 2048, 2048, 16
+#: Queries of a group; each block of candidates is dealt once to every group.
+GROUP_ROWS = 1 << 17
 _SELF = -(1 << 62)
 _PACKED = "dim int, lot long, kind string, ids binary, cells binary"
 
@@ -86,8 +88,11 @@ def _tiles(k: int):
                 order = np.argsort(ids, kind="stable")
                 ids, c = ids[order], c[order]
                 most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * dim
-                exact = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64  # of these sums
-                scores = (q.astype(exact) @ c.astype(exact).T).astype(np.int64)
+                exact = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64 if most < 2**62 else object  # of these sums
+                products = q.astype(exact) @ c.astype(exact).T
+                if exact is object and products.size and max(abs(products.min()), abs(products.max())) >= -_SELF:
+                    raise OverflowError("an inner product is too large for a score")
+                scores = products.astype(np.int64)
                 for row, (a, b) in enumerate(zip(np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right"), strict=True)):
                     scores[row, a:b] = _SELF
                 columns = best(scores, ids, k)
@@ -116,12 +121,12 @@ def search(queries: DataFrame, shards: DataFrame, k: int = 5) -> DataFrame:
     Both frames have ``id`` long and ``cells`` array<long>. Ties go to the smaller id; candidates with the query's
     own id are left out. Only vectors of the same number of components are compared. Null ids, and null or empty
     cells, take no part; a query without candidates has no rows. Queries that repeat an id ask once; candidates
-    that repeat an id are candidates each. No frame is collected or broadcast.
+    that repeat an id are candidates each. A product of 2^62 or more raises. No frame is collected or broadcast.
     """
     sane = lambda df: df.where("id IS NOT NULL AND size(cells) > 0")
     asked = sane(queries).select("id", "cells").dropDuplicates(["id"])
-    groups = max(1, -(-asked.count() // QUERY_ROWS))
-    parts = max(PARTS, groups)
+    groups = max(1, -(-asked.count() // GROUP_ROWS))
+    parts = max(PARTS, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups)
     asked = asked.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(groups))).repartition(groups, "lot").mapInArrow(_packing(QUERY_ROWS), _PACKED)
     held = sane(shards).select("id", "cells", F.lit(0).cast("long").alias("lot")).mapInArrow(_packing(SHARD_ROWS), _PACKED)
     asked = asked.select("dim", F.col("lot").alias("group"), F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))

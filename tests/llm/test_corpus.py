@@ -110,6 +110,19 @@ def test_topk_is_exact_for_huge_values(spark):
     assert got == [(2, big * big + 3), (1, big * big + 2)]
 
 
+def test_topk_in_groups_and_past_64_bits(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, [int(x) for x in v]) for k, v in enumerate(rng.integers(-9, 9, (120, 4)))]
+    df = spark.createDataFrame(rows, "id long, cells array<long>")
+    whole = sorted(tuple(r) for r in topk.search(df, df, 3).collect())
+    monkeypatch.setattr(topk, "GROUP_ROWS", 25)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 10)
+    assert sorted(tuple(r) for r in topk.search(df, df, 3).collect()) == whole and len(whole) == 360
+    big = spark.createDataFrame([(0, [1 << 40]), (1, [1 << 40])], "id long, cells array<long>")
+    with pytest.raises(Exception, match="too large for a score"):
+        topk.search(big, big, 1).collect()
+
+
 # SimHash
 
 
@@ -303,6 +316,12 @@ def test_licences_in_prose_and_over_lines(spark):
     assert tuple(got[901])[1:] == (3, "CC-BY-4.0,MIT", 1.0)
 
 
+def test_licences_of_repeated_and_null_ids(spark):
+    rows = [(2, "Released under the MIT License."), (2, "nothing"), (3, "Licensed under CC BY 4.0."), (3, "Licensed under CC BY 4.0."), (None, "Licensed under CC BY 4.0."), (None, None)]
+    got = sorted((str(r.doc_id), r.n_units, r.licenses) for r in licences.digests(frame(spark, rows)).collect())
+    assert got == [("2", 0, ""), ("2", 2, "MIT"), ("3", 2, "CC-BY-4.0"), ("3", 2, "CC-BY-4.0"), ("None", 0, ""), ("None", 2, "CC-BY-4.0")]
+
+
 def test_licence_runs_by_force(spark):
     rng = random.Random(12)
     kinds = [("A", "a b c d e"), ("B", "b c b d a c"), ("C", "e d c b a e b")]
