@@ -72,7 +72,8 @@ def greedy(rows: DataFrame, limit: int = 80, too_close: float = TOO_CLOSE) -> Da
             kept.append((path, rn))
         yield pd.DataFrame(kept, columns=["path", "rn"])
 
-    return rows.select("path", "rn", "vec").coalesce(1).mapInPandas(pick, "path string, rn int")
+    # dealt to one task, not coalesced: that would run the plan of ``rows`` in this task too
+    return rows.select("path", "rn", "vec").repartition(1).mapInPandas(pick, "path string, rn int")
 
 
 def queue(samples: DataFrame, model_labels: DataFrame, labels: DataFrame, features: DataFrame, words: DataFrame, mode: str = "disagree", limit: int = 80, too_close: float = TOO_CLOSE) -> tuple[DataFrame, DataFrame]:
