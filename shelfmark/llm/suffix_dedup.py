@@ -3,26 +3,28 @@
 Every 50-byte string has an anchor, the least hashed of the 16-byte strings in it, which depends on its bytes alone.
 Documents are packed into blocks. A block asks, by buckets of hashes, which of its anchors other blocks have too; only
 around those does it send the bytes of the strings they anchor, dealt by the anchor's hash. A task takes its rows in
-order of doc_id, in batches. A batch's 50-byte suffixes are sorted, merge-scanned against the levels of the index,
-which hold suffixes of earlier documents, and what is new becomes a level; levels of one size merge. Suffixes are
-ordered by a 64-bit hash of their 50 bytes, since only matches of that length count.
+order of doc_id, in batches. A batch's 50-byte suffixes become a suffix array (a text and sorted places in it), which
+is merge-scanned against the levels of the index, arrays of suffixes of earlier documents; what is new becomes a
+level, and levels of one size merge. As only matches of 50 bytes count, arrays are sorted by a 64-bit hash of these
+bytes; the bytes themselves are compared wherever hashes agree, so a chance agreement can't remove anything.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.sources.tables import checkpoint_dir
+
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
-BLOCK_BYTES, SEGMENT, BATCH_ROWS = 4 << 20, 1 << 23, 8192
+BLOCK_BYTES, SEGMENT, BATCH_ROWS, BUCKETS = 4 << 20, 1 << 20, 1 << 14, 256
 _PLACE_BITS, _ASKED_BITS = 24, 48
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _BLOCK = "block long, ids binary, known binary, sizes binary, body binary"
@@ -175,10 +177,10 @@ def _first_of(groups: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows for the index: a shared anchor's strings, for the smallest document of the block that has them so.
+    """Rows for the index: each distinct run of a shared anchor's strings, once a block.
 
-    ``body`` is the number of places, the places, and the bytes. What a larger document of the same block repeats,
-    bytes and all, is known to go: such spans come out as the body of a row without doc_id.
+    ``doc_id`` is the smallest that has the run here. ``body`` is the number of its places in that document, the number
+    of its places in larger ones, these places, and the bytes.
     """
     for block, *packed, answers in _rows(batches):
         one = Block(*packed)
@@ -190,91 +192,147 @@ def _sending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         elsewhere = np.concatenate([np.empty(0, bool), *flags])
         within = _first_of(group, ids, n) < -_first_of(group, -ids, n)
         keep = np.flatnonzero((elsewhere | within)[group]) if n else np.empty(0, int)
-        body, by_bytes = one.data.tobytes(), {}
-        for k, a, b, i in zip(keep.tolist(), first[keep].tolist(), last[keep].tolist(), ids[keep].tolist(), strict=True):
-            by_bytes.setdefault(body[a : b + LENGTH], []).append((i, a, k))
-        anchors, docs, bodies, gone = [], [], [], []
-        for text, found in by_bytes.items():
-            smallest = min(found)[0]
-            gone += [(a, a + len(text)) for i, a, _ in found if i > smallest]
-            places = array("i", [a for i, a, _ in found if i == smallest])
-            anchors.append(found[0][2])
-            docs.append(smallest)
-            bodies.append(len(places).to_bytes(4, "little") + places.tobytes() + text)
-        anchors = hashes[np.array(anchors, int)].view(np.int64).tolist()
-        if gone:
-            anchors, docs, bodies = [*anchors, None], [*docs, None], [*bodies, np.array(gone, "<i8").tobytes()]
-        columns = [pa.array(anchors, pa.int64()), pa.array(docs, pa.int64()), pa.array([block] * len(docs), pa.int64()), pa.array(bodies, pa.binary())]
+        first, last, hashes, ids = first[keep], last[keep] + LENGTH, hashes[keep].view(np.int64), ids[keep]
+        body = one.data.tobytes()
+        coded = pa.array([body[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()).dictionary_encode()
+        codes, texts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        order = np.lexsort((first, ids, codes))
+        starts = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        sizes = np.diff(np.append(starts, len(order)))
+        docs = ids[order[starts]]
+        same = np.add.reduceat(ids[order] == np.repeat(docs, sizes), starts, dtype=np.int64) if len(starts) else sizes
+        heads, places = np.stack([same, sizes - same], 1).astype("<u4").tobytes(), first[order].astype("<u4").tobytes()
+        bodies = [heads[8 * k : 8 * k + 8] + places[4 * a : 4 * (a + m)] + text for k, (a, m, text) in enumerate(zip(starts.tolist(), sizes.tolist(), texts, strict=True))]
+        columns = [pa.array(hashes[order[starts]]), pa.array(docs, pa.int64()), pa.array([block] * len(docs), pa.int64()), pa.array(bodies, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["anchor", "doc_id", "block", "body"])
 
 
+def _strings(text: np.ndarray) -> np.ndarray:
+    """The 50-byte string that starts at each place; as all are of one length, zeros at their ends don't confuse them."""
+    return np.ndarray(max(0, len(text) - LENGTH + 1), f"S{LENGTH}", text, strides=(1,))
+
+
+def _hashed(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hash of the 50 bytes from each of some places on."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    words = _words_at(text)
+    return _mixed([words[at + k] for k in (*range(0, LENGTH - 8, 8), LENGTH - 8)])
+
+
+class Suffixes:
+    """A suffix array: places in a text in order of the hashes of their 50 bytes, and the smallest document of each."""
+
+    def __init__(self, text: np.ndarray, at: np.ndarray, hashes: np.ndarray, docs: np.ndarray):
+        self.text, self.at, self.hashes, self.docs = text, at, hashes, docs
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def only(self, chosen: np.ndarray) -> Suffixes:
+        """Some of the suffixes, and of the text only what they cover."""
+        at = self.at[chosen]
+        depth = np.bincount(at, minlength=len(self.text) + 1) - np.bincount(at + LENGTH, minlength=len(self.text) + 1)
+        covered = np.cumsum(depth[:-1]) > 0
+        return Suffixes(self.text[covered], np.cumsum(covered)[at] - 1, self.hashes[chosen], self.docs[chosen])
+
+    def merged(self, other: Suffixes) -> Suffixes:
+        """Both arrays, which have no hash in common, in one pass over either."""
+        theirs = np.searchsorted(self.hashes, other.hashes) + np.arange(len(other))
+        ours = np.ones(len(self) + len(other), bool)
+        ours[theirs] = False
+
+        def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            out = np.empty(len(ours), a.dtype)
+            out[ours], out[theirs] = a, b
+            return out
+
+        return Suffixes(np.concatenate([self.text, other.text]), both(self.at, other.at + len(self.text)), both(self.hashes, other.hashes), both(self.docs, other.docs))
+
+
 class Levels:
-    """Sorted arrays of suffix hashes with the smallest document of each; sizes at least halve from one to the next."""
+    """Suffix arrays whose sizes at least halve from one to the next.
+
+    A hash stands in one level, for the string that came with it first. Other strings of the same hash, if there ever
+    are any, are kept apart with their bytes.
+    """
 
     def __init__(self):
-        self._levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self._levels: list[Suffixes] = []
+        self._others: dict[bytes, int] = {}
 
-    def add(self, hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    def add(self, text: np.ndarray, at: np.ndarray, docs: np.ndarray) -> np.ndarray:
         """Whether each suffix of a batch was met in a smaller document, here or before; then the batch is added."""
-        distinct, group = np.unique(hashes, return_inverse=True)
-        least = _first_of(group, docs, len(distinct))
-        new = np.ones(len(distinct), bool)
-        for known, owners in self._levels:
-            at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-            same = known[at] == distinct
-            least[same] = np.minimum(least[same], owners[at[same]])
-            new &= ~same
+        if not len(at):
+            return np.empty(0, bool)
+        hashes, strings = _hashed(text, at), _strings(text)
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        group = np.empty(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))
+        distinct, chosen = ranked[starts], at[order[starts]]
+        standing, new, owners = strings[chosen], np.ones(len(starts), bool), np.full(len(starts), np.iinfo(np.int64).max)
+        for level in self._levels:
+            found = np.minimum(np.searchsorted(level.hashes, distinct), len(level) - 1)
+            same = np.flatnonzero(level.hashes[found] == distinct)
+            found = found[same]
+            standing[same], owners[same], new[same] = _strings(level.text)[level.at[found]], level.docs[found], False
+        odd = strings[at] != standing[group]
+        least = np.minimum(owners, np.minimum.reduceat(np.where(odd, np.iinfo(np.int64).max, docs)[order], starts))
+        met = least[group] < docs
+        if odd.any():
+            apart = [*zip(strings[at[odd]].tolist(), docs[odd].tolist(), strict=True)]
+            for string, doc in apart:
+                self._others[string] = min(doc, self._others.get(string, doc))
+            met[odd] = [self._others[string] < doc for string, doc in apart]
         if new.any():
-            self._levels.append((distinct[new], least[new]))
-        while len(self._levels) > 1 and len(self._levels[-2][0]) < 2 * len(self._levels[-1][0]):
-            (a, x), (b, y) = self._levels.pop(), self._levels.pop()
-            known = np.concatenate([a, b])
-            order = np.argsort(known, kind="stable")
-            self._levels.append((known[order], np.concatenate([x, y])[order]))
-        return least[group] < docs
-
-
-def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hash, the row and the offset of every 50-byte string in short texts."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    cells = np.zeros((len(texts), LENGTH + SPAN + 7), np.uint8)
-    for row, text in enumerate(texts):
-        cells[row, : len(text)] = np.frombuffer(text, np.uint8)
-    hashes, rows, offsets = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for offset in range(int(sizes.max(initial=0)) - LENGTH + 1):
-        has = np.flatnonzero(sizes >= offset + LENGTH)
-        window = np.ascontiguousarray(cells[has, offset : offset + LENGTH + 6])
-        window[:, LENGTH:] = 0
-        hashes.append(_mixed([*window.view("<u8").T]))
-        rows.append(has)
-        offsets.append(np.full(len(has), offset))
-    return np.concatenate(hashes), np.concatenate(rows), np.concatenate(offsets)
+            self._levels.append(Suffixes(text, chosen, distinct, least).only(new))
+        while len(self._levels) > 1 and len(self._levels[-2]) < 2 * len(self._levels[-1]):
+            last = self._levels.pop()
+            self._levels.append(self._levels.pop().merged(last))
+        return met
+
+
+def _ragged(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of these sizes, one after another: the row of each element and its place in the row."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _judged(levels: Levels, part: pa.RecordBatch) -> pa.RecordBatch:
+    """The intervals to remove, by block, that the index finds for a batch of rows."""
+    docs, blocks, bodies = part["doc_id"].to_numpy(), part["block"].to_numpy(), part["body"].cast(pa.large_binary())
+    bounds = np.frombuffer(bodies.buffers()[1], np.int64)[bodies.offset : bodies.offset + len(bodies) + 1]
+    data = np.frombuffer(bodies.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    head, end = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
+    numbers = np.ndarray(len(data) - 3, "<u4", data, strides=(1,))
+    same, more = numbers[head].astype(np.int64), numbers[head + 4].astype(np.int64)
+    text = head + 8 + 4 * (same + more)
+    row, offset = _ragged(end - text - LENGTH + 1)
+    met = levels.add(data, text[row] + offset, docs[row])
+    row, offset = row[met], offset[met]
+    starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(offset, prepend=-LENGTH) > LENGTH))
+    lasts = np.append(starts[1:], len(row))[: len(starts)] - 1
+    # the runs met, at each of their places in the row's document; whole rows, met there, at their places in larger ones
+    run, k = _ragged(same[row[starts]])
+    of, low, high = row[starts][run], offset[starts][run], offset[lasts][run] + LENGTH
+    again, m = _ragged(more)
+    place = numbers[np.concatenate([head[of] + 8 + 4 * k, head[again] + 8 + 4 * (same[again] + m)])].astype(np.int64)
+    spans = np.stack([place + np.append(low, np.zeros(len(again), np.int64)), place + np.append(high, (end - text)[again])], 1).astype("<i8")
+    block = blocks[np.append(of, again)]
+    order = np.argsort(block, kind="stable")
+    cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0)) if len(order) else order
+    gone = [spans[x].tobytes() for x in np.split(order, cuts[1:])] if len(order) else []
+    return pa.RecordBatch.from_arrays([pa.array(block[order[cuts]], pa.int64()), pa.array(gone, pa.binary())], ["block", "gone"])
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Intervals to remove, by block. Rows come in order of doc_id, those of known spans first."""
+    """Intervals to remove, by block. Rows come in order of doc_id."""
     levels = Levels()
     for batch in batches:
         for k in range(0, batch.num_rows, BATCH_ROWS):
-            part = batch.slice(k, BATCH_ROWS)
-            known = part.filter(pa.compute.is_null(part["doc_id"]))
-            yield known.select(["block", "body"]).rename_columns(["block", "gone"])
-            part = part.filter(pa.compute.is_valid(part["doc_id"]))
-            docs, blocks, bodies = part["doc_id"].to_numpy(), part["block"].to_pylist(), part["body"].to_pylist()
-            heads = [4 + 4 * int.from_bytes(x[:4], "little") for x in bodies]
-            hashes, row, offset = _windows([x[h:] for x, h in zip(bodies, heads, strict=True)])
-            met = levels.add(hashes, docs[row])
-            row, offset = row[met], offset[met]
-            order = np.lexsort((offset, row))
-            row, offset = row[order], offset[order]
-            starts = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(offset, prepend=-LENGTH) > LENGTH))
-            spans: dict[int, list] = {}
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(row)], strict=True) if len(row) else ():
-                r = int(row[a])
-                places = np.frombuffer(bodies[r][4 : heads[r]], np.intc).tolist()
-                spans.setdefault(blocks[r], []).extend((p + int(offset[a]), p + int(offset[b - 1]) + LENGTH) for p in places)
-            columns = [pa.array([*spans], pa.int64()), pa.array([np.array(x, "<i8").tobytes() for x in spans.values()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "gone"])
+            yield _judged(levels, batch.slice(k, BATCH_ROWS))
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,30 +363,36 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     everything and take nothing from others. Rows that repeat an id are one document for this, so take nothing from
     each other, but each has its row. Extra columns are not looked at; an empty table gives an empty result.
 
-    The packed blocks are a bucketed table in the warehouse, which all executors must share; see ``drop_blocks``.
+    The packed blocks are a bucketed table in the shared checkpoint folder; see ``drop_blocks``.
     """
     spark = docs.sparkSession
-    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{_TABLE}_{uuid.uuid4().hex}"
+    parts, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{_prefix(spark)}_{uuid.uuid4().hex}"
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, _BLOCK)
-    packed.repartition(parts, "block").write.bucketBy(parts, "block").saveAsTable(name)
+    packed.repartition(parts, "block").write.bucketBy(parts, "block").option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
     blocks = spark.table(name)  # bucketed, so that joins by block don't deal the text again
-    n = blocks.count()
-    buckets = max(min(n, 256), n // 64, 1)
+    buckets = max(BUCKETS, blocks.count() // 64)
     asked = blocks.mapInArrow(_asking(buckets), "bucket int, block long, hashes binary")
     answers = asked.groupBy("bucket").applyInArrow(_answered, "block long, bucket int, n int, flags binary")
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "flags")).alias("answers"))
     sent = blocks.join(by_block, "block", "left").mapInArrow(_sending, "anchor long, doc_id long, block long, body binary")
-    dealt = sent.repartition(parts, "anchor", F.when(F.col("anchor").isNull(), F.col("block")))
-    spans = dealt.select("doc_id", "block", "body").sortWithinPartitions(F.asc_nulls_first("doc_id")).mapInArrow(_indexed, "block long, gone binary")
+    dealt = sent.repartition(parts, "anchor").select("doc_id", "block", "body")
+    spans = dealt.sortWithinPartitions("doc_id").mapInArrow(_indexed, "block long, gone binary")
     gone = spans.groupBy("block").agg(F.collect_list("gone").alias("gone"))
     return blocks.join(gone, "block", "left").mapInArrow(_cleaned, "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
 
 
+def _prefix(spark: SparkSession) -> str:
+    return f"{_TABLE}_{re.sub('[^a-z0-9]', '_', spark.sparkContext.applicationId.lower())}"
+
+
 def drop_blocks(spark: SparkSession) -> None:
-    """Drops the tables of blocks of finished runs; a result that is still to be read needs its own."""
+    """Drops the tables of blocks that this application made, files too; a result that is still to be read needs its own."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for t in spark.catalog.listTables():
-        if t.name.startswith(_TABLE):
+        if t.name.startswith(_prefix(spark)):
             spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+            path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark)}/{t.name}")
+            path.getFileSystem(conf).delete(path, True)
 
 
 def digests(docs: DataFrame) -> DataFrame:

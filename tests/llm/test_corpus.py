@@ -70,9 +70,28 @@ def test_suffix_dedup_of_nothing_and_null_ids(spark):
 def test_levels_shrink_geometrically():
     levels, rng = suffix_dedup.Levels(), np.random.default_rng(1)
     for k in range(40):
-        levels.add(rng.integers(0, 1 << 60, 1000).astype(np.uint64), np.full(1000, k))
-    sizes = [len(h) for h, _ in levels._levels]
+        levels.add(rng.integers(0, 256, 1049).astype(np.uint8), np.arange(1000), np.full(1000, k))
+    sizes = [len(x) for x in levels._levels]
     assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == 40_000
+    assert all((np.diff(x.hashes.astype(object)) > 0).all() for x in levels._levels)
+
+
+@pytest.mark.parametrize("bits", [64, 8, 0])
+def test_levels_are_exact_whatever_the_hash(monkeypatch, bits):
+    mixed = suffix_dedup._mixed
+    monkeypatch.setattr(suffix_dedup, "_mixed", lambda words: mixed(words) & np.uint64((1 << bits) - 1))
+    rng, levels, seen = np.random.default_rng(bits), suffix_dedup.Levels(), {}
+    passages = [rng.integers(0, 3, 90).astype(np.uint8) for _ in range(12)]
+    for k in range(0, 60, 4):
+        texts = [np.append(passages[rng.integers(12)][rng.integers(30) :], rng.integers(0, 3, 20).astype(np.uint8)) for _ in range(4)]
+        text = np.concatenate(texts)
+        ends = np.cumsum([len(x) for x in texts])
+        at = np.concatenate([np.arange(e - len(x), e - 49) for e, x in zip(ends, texts)])
+        docs = k + np.searchsorted(ends, at, "right")
+        strings = [text[p : p + 50].tobytes() for p in at]
+        for s, d in zip(strings, docs):
+            seen[s] = min(d, seen.get(s, d))
+        assert levels.add(text, at, docs).tolist() == [seen[s] < d for s, d in zip(strings, docs)]
 
 
 def test_long_data_is_anchored_alike_in_segments(monkeypatch):
