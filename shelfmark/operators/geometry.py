@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import hue
 from shelfmark.functions.vectors import unit
+from shelfmark.sources.tables import checkpointed
 
 TYPES = ("oneshot", "loop")
 PROVENANCE = ("single", "cluster", "map", "propagate", "llm")
@@ -62,14 +63,18 @@ def map_rows(projection: DataFrame, samples: DataFrame, taxonomy: DataFrame, n_f
 
 
 def numbered(rows: DataFrame, by: str, into: str) -> DataFrame:
-    """``rows`` numbered from 0 in order of ``by``, without bringing them into one task: ranges, their sizes, offsets."""
-    ranged = rows.repartitionByRange(by).withColumn("__part", F.spark_partition_id())
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min(by).alias("__low"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(sizes.select(F.col("__low"), before.alias("__before"), F.lead("__low").over(Window.orderBy("__low")).alias("__next")))
-    placed = rows.join(offsets, (rows[by] >= F.col("__low")) & (F.col("__next").isNull() | (rows[by] < F.col("__next"))))
-    within = F.row_number().over(Window.partitionBy("__low").orderBy(by))
-    return placed.withColumn(into, (F.col("__before") + within - 1).cast("int")).drop("__low", "__before", "__next")
+    """``rows`` numbered from 0 in order of ``by``, nulls first, without bringing them into one task.
+
+    Sorted ranges are written once, as places in them must not change when they are counted; their offsets, one for
+    each partition, are broadcast.
+    """
+    ranged = rows.repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", F.monotonically_increasing_id())
+    placed = checkpointed(ranged).withColumn("__part", F.shiftright("__at", 33))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("__part", before.alias("__before")))
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(offsets, "__part").withColumn(into, (F.col("__before") + within).cast("int")).select(*rows.columns, into)
 
 
 def shown(categories: list[int], types: list[int], provenance: list[int], low: float = 0, high: float = 0, field: str = "instrument") -> Column:

@@ -13,26 +13,35 @@ def sample(samples: DataFrame, model_labels: DataFrame, per_class: int = 25, inc
     """``samples`` with more gold_candidate rows: ``per_class`` of each predicted label, ``include_none`` without one.
 
     Additive: what a label already has counts. Rows are taken in the order of a hash of seed and path, each for the
-    first label (by name) that still needs it; rows people have labelled aren't taken. Labels are few, so they are
-    filled one after another.
+    first label (by name) that still needs it; rows people have labelled aren't taken. A label can lose to the ones
+    before it as many rows as they need, so one ranked pass brings enough of each to choose from: with L labels at
+    most L * (L + 1) / 2 * ``per_class`` paths, and ``include_none``.
     """
     if not (1 <= per_class <= 500 and 0 <= include_none <= 2000):
         raise ValueError("per_class is 1 to 500, include_none 0 to 2000")
+    spark = samples.sparkSession
     state = samples.where(active()).select("path", "gold_candidate", blank(F.col("human_instrument")).alias("free"))
-    pool = model_labels.select("path", "label").distinct().join(state, "path")
-    have = {r.label: r.n for r in pool.where("gold_candidate").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    needs = {r.label: max(0, per_class - have.get(r.label, 0)) for r in pool.select("label").distinct().orderBy("label").collect()}
-    order = F.xxhash64(F.lit(seed), F.col("path"))
-    taken: list[str] = []
+    pool = state.join(model_labels.where("label IS NOT NULL").select("path", "label").distinct(), "path", "left")
+    have = {r.label: r.n for r in pool.groupBy("label").agg(F.count_if(F.col("gold_candidate")).alias("n")).collect()}  # labels are few
+    needs = {name: max(0, per_class - have[name]) for name in sorted(n for n in have if n is not None)}
+    reach, total = {}, 0
     for name, need in needs.items():
-        if need:  # at most per_class paths for each label come to the driver
-            rows = pool.where((F.col("label") == name) & ~F.col("gold_candidate") & F.col("free") & ~F.col("path").isin(taken)).orderBy(order, "path").limit(need)
-            taken += [r.path for r in rows.select("path").collect()]
-    bare = state.join(model_labels.select("path").distinct(), "path", "left_anti")
-    missing = include_none - bare.where("gold_candidate").count()
-    if missing > 0:
-        taken += [r.path for r in bare.where(~F.col("gold_candidate") & F.col("free")).orderBy(order, "path").limit(missing).collect()]
-    return samples.withColumn("gold_candidate", F.col("gold_candidate") | F.col("path").isin(taken) if taken else F.col("gold_candidate"))
+        reach[name] = total = total + need
+    if None in have:
+        needs[None] = reach[None] = max(0, include_none - have[None])
+    if not any(needs.values()):
+        return samples
+    most = F.broadcast(spark.createDataFrame([*reach.items()], "name string, reach int"))
+    order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), F.col("path")), "path")
+    ranked = pool.where(~F.col("gold_candidate") & F.col("free")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max(reach.values()))
+    choices: dict[str | None, list[str]] = {name: [] for name in needs}
+    for r in ranked.join(most, F.col("label").eqNullSafe(F.col("name"))).where("rn <= reach").orderBy("label", "rn").collect():
+        choices[r.label].append(r.path)
+    taken: set[str] = set()
+    for name, need in needs.items():
+        taken.update([p for p in choices[name] if p not in taken][:need])
+    chosen = F.broadcast(spark.createDataFrame([(p, True) for p in sorted(taken)], "path string, __taken boolean"))
+    return samples.join(chosen, "path", "left").withColumn("gold_candidate", F.col("gold_candidate") | F.coalesce("__taken", F.lit(False))).select(*samples.columns)
 
 
 def pool_sizes(samples: DataFrame, model_labels: DataFrame) -> DataFrame:

@@ -16,11 +16,6 @@ def label_sets(labels: DataFrame, key: str = "path", into: str = "labels") -> Da
     return labels.groupBy(key).agg(F.transform(ordered, lambda x: x["label"]).alias(into))
 
 
-def clean_labels(labels: Column) -> Column:
-    """Without empty labels and repeats; the first of a kind stays."""
-    return F.array_distinct(F.filter(labels, lambda x: x.isNotNull() & (x != "")))
-
-
 def resolve_interactive(human: Column, model: Column, panns: Column, path: Column) -> list[Column]:
     """instrument and source right after a person's label: the first that there is."""
     source = F.when(human.isNotNull(), "human").when(model.isNotNull(), "model").when(panns.isNotNull(), "panns").when(path.isNotNull(), "path").otherwise("none")

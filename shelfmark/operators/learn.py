@@ -10,13 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from shelfmark.functions.scalars import blank, mapped
 from shelfmark.functions.vectors import argmax
 from shelfmark.operators.labels import label_sets, resolve_predict
+from shelfmark.schema import schema
+from shelfmark.sources.store import Store
 
 #: The parameters a fresh store starts with, and its weak-label map.
 PARAMS = {"weak_weight": 0.007, "bulk_weight": 0.5, "conf_threshold": 0.6, "target_precision": 0.9, "feature_model": "panns"}
@@ -81,15 +83,30 @@ def fit_ovr(train: DataFrame, classes: list[str], dim: int, max_iter: int = 1000
     return heads
 
 
+def _matrix(vecs: pa.Array, dim: int) -> np.ndarray:
+    """The vectors that aren't null, as rows."""
+    return vecs.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _lists(rows: np.ndarray, like: pa.Array) -> pa.Array:
+    """Rows as lists, null where ``like`` is."""
+    known = like.is_valid().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(np.where(known, rows.shape[1], 0))
+    offsets = pa.array(np.append(0, ends), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.float64()), mask=pa.array(~known))
+
+
 def score(vectors: DataFrame, heads: list[Head], into: str = "probs") -> DataFrame:
-    """``vectors`` (…, vec) with the probability of every head, in the heads' order; one matrix product per batch."""
+    """``vectors`` (…, vec) with the probability of every head, in the heads' order; one matrix product per batch.
+
+    A null vector has null for its probabilities.
+    """
     weights, bias = np.array([h.weights for h in heads]), np.array([h.bias for h in heads])
 
     @arrow_udf("array<double>")
     def of(vecs: pa.Array) -> pa.Array:
-        rows = np.array(vecs.to_pylist(), np.float64).reshape(-1, weights.shape[1])
-        probs = 1 / (1 + np.exp(-np.clip(rows @ weights.T + bias, -700, 700)))
-        return pa.array(list(probs), pa.list_(pa.float64()))
+        rows = _matrix(vecs, weights.shape[1])
+        return _lists(1 / (1 + np.exp(-np.clip(rows @ weights.T + bias, -700, 700))), vecs)
 
     return vectors.withColumn(into, of(F.col("vec")))
 
@@ -120,13 +137,15 @@ def emitted_labels(predicted: DataFrame, key: str = "path") -> DataFrame:
     return predicted.select(key, F.explode("emitted").alias("e")).select(key, "e.label", "e.conf")
 
 
-def write_back(samples: DataFrame, predicted: DataFrame, version: str, classes: list[str], weak_map: dict[str, str]) -> DataFrame:
-    """``samples`` with the model's columns and the resolution of every predicted row; the others stay."""
+def write_back(samples: DataFrame, predicted: DataFrame, version: str) -> DataFrame:
+    """``samples`` with the model's columns and the resolution of every predicted row; the others stay.
+
+    The path's label counts as it stands.
+    """
     fresh = predicted.select("path", F.lit(True).alias("__new"), "top1", "top1_conf", "top1_threshold", "margin", "margin_label")
     joined, new = samples.join(fresh, "path", "left"), F.coalesce("__new", F.lit(False))
-    weak = F.coalesce("path_instrument", F.lit(None))
-    instrument, source = resolve_predict(F.col("human_instrument"), F.col("top1"), F.col("top1_conf"), F.col("top1_threshold"), weak)
-    changed = {"model_instrument": F.col("top1"), "model_conf": F.round("top1_conf", 4), "model_version": F.lit(version), "model_margin": F.round("margin", 4), "model_margin_label": F.col("margin_label"), "instrument": instrument, "source": source}
+    instrument, source = resolve_predict(F.col("human_instrument"), F.col("top1"), F.col("top1_conf"), F.col("top1_threshold"), F.col("path_instrument"))
+    changed = {"model_instrument": F.col("top1"), "model_conf": F.col("top1_conf"), "model_version": F.lit(version), "model_margin": F.col("margin"), "model_margin_label": F.col("margin_label"), "instrument": instrument, "source": source}
     return joined.select(*(F.when(new, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in samples.columns))
 
 
@@ -155,8 +174,8 @@ def calibrate(scores: DataFrame, target: float = 0.9, fallback: float = 0.6, low
 
 def report(scores: DataFrame, thresholds: DataFrame, key: str = "path") -> DataFrame:
     """class, tp, fp, fn, precision, recall, f1; a row's best class counts as predicted whenever it has any probability."""
-    best = scores.groupBy(key).agg(F.max_by("class", F.struct("p", F.col("class"))).alias("best"))
-    judged = scores.join(F.broadcast(thresholds), "class").join(best, key)
+    best = F.max_by("class", F.struct("p", "class")).over(Window.partitionBy(key))
+    judged = scores.withColumn("best", best).join(F.broadcast(thresholds), "class")
     on = (F.col("p") >= F.col("threshold")) | ((F.col("class") == F.col("best")) & (F.col("p") > 0))
     sums = judged.groupBy("class").agg(F.count_if(on & F.col("y")).alias("tp"), F.count_if(on & ~F.col("y")).alias("fp"), F.count_if(~on & F.col("y")).alias("fn"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
@@ -181,7 +200,7 @@ def zero_shot(vectors: DataFrame, anchors: dict[str, list[float] | None]) -> Dat
 
     @arrow_udf("array<double>")
     def of(vecs: pa.Array) -> pa.Array:
-        return pa.array(list(np.array(vecs.to_pylist(), np.float64).reshape(-1, dim) @ rows.T), pa.list_(pa.float64()))
+        return _lists(_matrix(vecs, dim) @ rows.T, vecs)
 
     return vectors.withColumn("probs", of(F.col("vec")))
 
@@ -219,18 +238,33 @@ def train(features: DataFrame, samples: DataFrame, labels: DataFrame, classes: l
     return heads, metrics
 
 
-def predict(features: DataFrame, samples: DataFrame, heads: list[Head], version: str, weak_map: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+def predict(features: DataFrame, samples: DataFrame, heads: list[Head], version: str) -> tuple[DataFrame, DataFrame]:
     """(samples, model_labels) after the heads have judged every feature row."""
     if not heads:
         raise ValueError("no model")
     done = predictions(score(features.select("path", "vec"), heads), heads)
-    return write_back(samples, done, version, [h.name for h in heads], weak_map), emitted_labels(done)
+    return write_back(samples, done, version), emitted_labels(done)
 
 
 def pipeline(features: DataFrame, samples: DataFrame, labels: DataFrame, classes: list[str], weak_map: dict[str, str], params: dict | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Train, predict, write back: (samples, model_labels, metrics)."""
     heads, metrics = train(features, samples, labels, classes, weak_map, params)
-    return *predict(features, samples, heads, metrics["version"], weak_map), metrics
+    return *predict(features, samples, heads, metrics["version"]), metrics
+
+
+def save(store: Store, heads: list[Head], metrics: dict) -> None:
+    """Writes the heads as the model that ``load`` finds, and appends the metrics row to the ones before."""
+    rows = [(h.name, list(h.weights), h.bias, h.threshold, metrics["version"]) for h in heads]
+    store.write("head", store.spark.createDataFrame(rows, schema("head")))
+    store.write("metrics", store.read("metrics").unionByName(store.spark.createDataFrame([metrics], schema("metrics"))))
+
+
+def load(store: Store, default: float = PARAMS["conf_threshold"]) -> tuple[list[Head], str]:
+    """(the saved heads by name, their version); a head saved without a threshold has ``default``."""
+    rows = store.read("head").orderBy("class").collect()  # one row for each class
+    if not rows:
+        raise ValueError("no model")
+    return [Head(r["class"], tuple(r.w), r.b, default if r.threshold is None else r.threshold) for r in rows], rows[0].version
 
 
 def compare(candidates: dict[str, DataFrame], classes: list[str], target: float = 0.9, fallback: float = 0.6) -> DataFrame:

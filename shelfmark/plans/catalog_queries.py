@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,8 @@ from shelfmark.functions.vectors import unit
 from shelfmark.operators import catalog, geometry, gold, labels, learn, retrieve, review, sonic, stats
 from shelfmark.plans.standins import CLASSES, WEAK_MAP, oracle, view
 from shelfmark.sources import features as feature_tables
-from shelfmark.sources.tables import table
+from shelfmark.sources.store import Store
+from shelfmark.sources.tables import checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -331,6 +333,35 @@ def _scored(spark, d):
     return learn.score(rows, heads), heads
 
 
+@query(f"WITH {_SCORES} SELECT vec_id, CAST(cls AS VARCHAR) AS class, round(p, 6) AS p FROM p")
+def model_roundtrip(spark, d):
+    """Scores by heads that were saved to a store and loaded again."""
+    scored, heads = _scored(spark, d)
+    store = Store(spark, f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}")
+    learn.save(store, heads, {"version": "ovr_v0", "ts": 0.0})
+    again, _ = learn.load(store)
+    rows = learn.long_scores(learn.score(scored, again), [h.name for h in again])
+    return rows.select(F.col("path").alias("vec_id"), "class", F.round("p", 6).alias("p"))
+
+
+_HITS = f"h AS (SELECT s.path, round({_DOT.format('b.vec', 'a.vec')}, 6) AS score FROM @vectors a JOIN @vectors b ON a.vec_id <> b.vec_id JOIN @samples s ON s.row_id = b.vec_id WHERE a.vec_id = 0 ORDER BY score DESC, path LIMIT 20)"
+_INDEX = "i AS (SELECT path, CAST(row_number() OVER (ORDER BY path) - 1 AS INT) AS map_i FROM @points)"
+
+
+@query(f"WITH {_HITS}, {_INDEX}, e AS (SELECT path, string_agg(label, ',' ORDER BY conf DESC, label) AS emitted FROM @model_labels GROUP BY path) SELECT h.path, h.score, s.instrument_source AS source, s.rating, i.map_i, e.emitted FROM h JOIN (SELECT path, source AS instrument_source, rating FROM @samples) s ON s.path = h.path JOIN i ON i.path = h.path LEFT JOIN e ON e.path = h.path")
+def hits_with_meta(spark, d):
+    """The 20 nearest items with the catalog's columns, the model's labels and their places on the map."""
+    samples = view(spark, d, "samples")
+    found = view(spark, d, "vectors").join(samples.select(F.col("row_id").alias("vec_id"), "path"), "vec_id")
+    asked = view(spark, d, "vectors").where("vec_id = 0").select(F.col("vec").alias("qvec"))
+    hits = retrieve.page(found.where("vec_id <> 0").select("path", "vec"), "path", asked, 20)
+    none = samples.select("path", F.lit("x").alias("label"), F.lit(0).alias("rank")).limit(0)
+    full = retrieve.fetch_meta(hits, samples.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (("instrument", "string"), ("panns_conf", "double")))), none, view(spark, d, "model_labels"))
+    indexed = geometry.numbered(view(spark, d, "points").select("path"), "path", "map_i")
+    names = F.concat_ws(",", F.transform("model_labels", lambda x: x["label"]))
+    return retrieve.with_map_index(full, indexed).select("path", "score", "source", "rating", "map_i", F.when(F.col("model_labels").isNotNull(), names).alias("emitted"))
+
+
 @query(f"WITH {_SCORES} SELECT vec_id, CAST(cls AS VARCHAR) AS class, round(p, 6) AS p FROM p")
 def scores_long(spark, d):
     scored, heads = _scored(spark, d)
@@ -393,7 +424,7 @@ def ovr_train_predict(spark, d):
     rows = _path_vectors(spark, d).select("path", "vec")
     none = samples.limit(0).select("path", F.lit("").alias("label"), F.lit(1).alias("rank"))
     heads, _ = learn.train(rows, samples, none, list(CLASSES), VOCABULARY, now=0.0)
-    after, _ = learn.predict(rows, samples, heads, "ovr_v0", VOCABULARY)
+    after, _ = learn.predict(rows, samples, heads, "ovr_v0")
     return after.select("path", "model_instrument", "model_conf", "model_margin", "instrument", "source")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfmark.schema import conform, schema
@@ -34,9 +37,33 @@ class Store:
         return conform(self.spark.read.parquet(f"{self.root}/{name}/v={versions[-1]}"), name)
 
     def write(self, name: str, df: DataFrame, expected: str | None = None) -> str:
-        """Writes the next version; refuses if ``expected`` isn't the token any more."""
-        if expected is not None and expected != self.token(name):
+        """Writes the next version; refuses if ``expected`` isn't the token any more, or another writer came first.
+
+        The rows go to a folder of their own, which is then renamed; a rename never replaces a version that exists.
+        """
+        before = self.token(name)
+        if expected is not None and expected != before:
             raise ValueError(f"{name} has changed")
-        version = max(self._versions(name), default=0) + 1
-        conform(df, name).write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-        return self.token(name)
+        version, made = int(before.rsplit("@", 1)[1]) + 1, f"{self.root}/{name}/.{uuid.uuid4().hex}"
+        conform(df, name).write.parquet(made)
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        source, target = hadoop.Path(made), hadoop.Path(f"{self.root}/{name}/v={version}")
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        never = self.spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+        try:
+            hadoop.FileContext.getFileContext(source.getFileSystem(conf).getUri(), conf).rename(source, target, never)
+        except Py4JJavaError as failed:
+            source.getFileSystem(conf).delete(source, True)
+            if "FileAlreadyExistsException" not in failed.java_exception.getClass().getName():
+                raise
+            raise ValueError(f"{name} has changed") from failed
+        return f"{name}@{version}"
+
+    def vacuum(self, name: str, keep: int = 2) -> list[int]:
+        """Removes all versions but the newest ``keep``, for readers still at work; returns the ones removed."""
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        old = self._versions(name)[:-keep] if keep > 0 else []
+        for version in old:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v={version}")
+            path.getFileSystem(conf).delete(path, True)
+        return old

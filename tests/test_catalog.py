@@ -300,6 +300,103 @@ def test_store_and_settings(spark, tmp_path):
     assert config.read_config(path).workers == 7
 
 
+def test_store_takes_one_of_two_writers_and_vacuums(spark, tmp_path, monkeypatch):
+    store, one = Store(spark, str(tmp_path / "store")), spark.createDataFrame([("kick", 1.0)], "name string, created_at double")
+    for k in range(3):
+        assert store.write("taxonomy", one, f"taxonomy@{k}") == f"taxonomy@{k + 1}"
+    monkeypatch.setattr(store, "token", lambda name: f"{name}@2")  # a writer that looked before the third version came
+    with pytest.raises(ValueError, match="changed"):
+        store.write("taxonomy", one.limit(0), "taxonomy@2")
+    monkeypatch.undo()
+    assert store.read("taxonomy").count() == 1 and store.vacuum("taxonomy", 1) == [1, 2] and store.token("taxonomy") == "taxonomy@3"
+    assert not [p for p in (tmp_path / "store" / "taxonomy").iterdir() if p.name.startswith(".") and p.is_dir()]
+
+
+def test_models_are_saved_and_scores_take_nulls(spark, tmp_path):
+    store, heads = Store(spark, str(tmp_path / "store")), [learn.Head("a", (1.0, 0.0), 0.5, 0.7), learn.Head("b", (0.0, -2.0), 0.0)]
+    with pytest.raises(ValueError, match="no model"):
+        learn.load(store)
+    for k in range(2):
+        learn.save(store, heads, {"version": f"v{k}", "ts": float(k), "val_n": 1, "macro_f1": None, "per_class_f1": None, "coverage": None, "notes": None})
+    assert learn.load(store) == (heads, "v1") and store.read("metrics").count() == 2
+    rows = spark.createDataFrame([("x", [1.0, 2.0]), ("none", None), ("y", [0.0, 0.0])], "path string, vec array<float>").repartition(1)
+    got = by_path(learn.score(rows, heads), "probs")
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    assert got["none"] is None and np.allclose(got["x"], [sigmoid(1.5), sigmoid(-4)]) and np.allclose(got["y"], [sigmoid(0.5), 0.5])
+    assert by_path(learn.zero_shot(rows, {"p": [1.0, 1.0], "q": None}), "probs") == {"x": [3.0, 0.0], "none": None, "y": [0.0, 0.0]}
+
+
+def test_heads_match_a_newton_solver(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 3))
+    y = (x @ [1.0, -2.0, 0.5] + rng.normal(size=120) > 0.3).astype(float)
+    w = rng.choice([0.5, 1.0], 120)
+    rows = [(v.tolist(), ["c"] if t else ["d"], float(k)) for v, t, k in zip(x, y, w)]
+    head = learn.fit_ovr(spark.createDataFrame(rows, "vec array<double>, targets array<string>, weight double"), ["c"], 3)[0]
+    balanced = w * np.where(y == 1, 120 / (2 * y.sum()), 120 / (2 * (120 - y.sum())))
+    a, beta = np.c_[x, np.ones(120)], np.zeros(4)
+    ridge = np.diag([1.0, 1.0, 1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-a @ beta))
+        beta -= np.linalg.solve((a * (balanced * p * (1 - p))[:, None]).T @ a + ridge, a.T @ (balanced * (p - y)) + ridge @ beta)
+    assert np.allclose([*head.weights, head.bias], beta, atol=1e-3)
+
+
+def test_kmeans_finds_separate_groups(spark):
+    rng = np.random.default_rng(0)
+    rows = [(f"{g}-{k}", [float(v) for v in np.eye(3)[g] * 10 + rng.normal(size=3) * 0.1]) for g in range(3) for k in range(20)]
+    found = by_path(sonic.fit_families(spark.createDataFrame(rows, "path string, vec array<float>"), 3), "cluster_l1", "cluster_d")
+    groups = [{found[f"{g}-{k}"][0] for k in range(20)} for g in range(3)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 3
+    for g in range(3):
+        own = np.array([np.float32(v) for p, v in rows if p.startswith(f"{g}-")], float)
+        gaps = np.linalg.norm(own - own.mean(0), axis=1)
+        assert np.allclose([found[f"{g}-{k}"][1] for k in range(20)], gaps, atol=1e-5)
+
+
+def test_gold_sample_matches_a_loop(spark):
+    rng = np.random.default_rng(9)
+    state = {f"p{k:03}": (bool(rng.random() < 0.1), bool(rng.random() < 0.2)) for k in range(150)}
+    emitted = [(p, c, 0.5) for p in state for c in "abc" if rng.random() < 0.25]
+    rows = samples(spark, [dict(path=p, status="ok", gold_candidate=g, human_instrument="x" if h else None) for p, (g, h) in state.items()])
+    order = by_path(spark.createDataFrame([(p,) for p in state], "path string").withColumn("h", F.xxhash64(F.lit(42), F.col("path"))), "h")
+    taken, have = set(), lambda name: {p for p, c, _ in emitted if c == name} if name else set(state) - {p for p, _, _ in emitted}
+    for name, most in (("a", 12), ("b", 12), ("c", 12), (None, 9)):
+        need = most - sum(state[p][0] for p in have(name))
+        free = sorted((p for p in have(name) if not any(state[p]) and p not in taken), key=lambda p: (order[p], p))
+        taken |= set(free[: max(0, need)])
+    got = gold.sample(rows, spark.createDataFrame(emitted, "path string, label string, conf double"), 12, 9)
+    assert {r.path for r in got.where("gold_candidate").collect()} == taken | {p for p, (g, _) in state.items() if g}
+
+
+def test_numbered_keeps_nulls_and_repeats_without_a_nested_loop(spark, capsys):
+    rows = spark.createDataFrame([(None,), ("b",), ("a",), ("b",), (None,)], "k string").repartition(3)
+    done = geometry.numbered(rows, "k", "i")
+    assert sorted((r.i, r.k) for r in done.collect()) == [(0, None), (1, None), (2, "a"), (3, "b"), (4, "b")]
+    done.explain()
+    assert "NestedLoop" not in capsys.readouterr().out
+
+
+def test_small_functions(spark):
+    one = lambda *columns: tuple(spark.range(1).select(*columns).first())
+    assert one(catalog.should_embed(F.lit(0.5)), catalog.should_embed(F.lit(1.0)), catalog.should_embed(F.lit(None).cast("double"))) == (False, True, True)
+    assert one(labels.toggled_rating(F.lit(3), F.lit(3)), labels.toggled_rating(F.lit(2), F.lit(3))) == (0, 3)
+    assert one(scalars.safe_name(F.lit("a b/c.wav"))) == ("a_b_c.wav",)
+    means = spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "v array<float>").agg(*vectors.mean_vector("v", 2)).first()
+    assert tuple(means) == (2.0, 3.0)
+    names = spark.createDataFrame([("kick",), ("keys",), ("bass",)], "name string")
+    assert retrieve.first_with_prefix(names, "k").first().name == "keys" and retrieve.first_with_prefix(names, "z").first().name is None
+    assert by_path(geometry.colors(names, {"kick": "red"}).withColumnRenamed("name", "path"), "color")["kick"] == "red"
+    points = spark.range(100).select(F.col("id").alias("map_i"))
+    assert geometry.decimated(points, 100, 30).count() == 25 and geometry.decimated(points, 100).count() == 100
+    dealt = learn.folds(spark.range(500).select(F.col("id").cast("string").alias("path"))).groupBy("fold").count().collect()
+    assert len(dealt) == 5 and sum(r["count"] for r in dealt) == 500
+    dimension = conform(spark.createDataFrame([(7, 2, 1, 3, "g"), (8, 2, 0, 9, "h"), (1, 1, None, 12, "f")], "id int, level int, parent int, size int, label string"), "sonic_clusters")
+    placed = samples(spark, [dict(path="a", cluster_id=7, cluster_d=0.5), dict(path="b", cluster_id=7, cluster_d=0.2)])
+    assert [(r.id, r.medoid) for r in sonic.grains(dimension, placed).collect()] == [(8, None), (7, "b")]
+    assert [r.id for r in sonic.grains(dimension, placed, 1).collect()] == [7]
+
+
 def test_streams(spark, tmp_path):
     source = spark.createDataFrame([("a/kick.wav", 1.0, 2), ("b.wav", 3.0, 4)], "path string, mtime double, size long")
     source.write.parquet(str(tmp_path / "in"))
