@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The catalog's tables and their columns.
 TABLES = {
     "samples": "path string, mtime double, size bigint, duration_s double, sample_type string, instrument string, tonal string, bpm int, key string, source string, status string, error string, tagged boolean, ts double, path_instrument string, panns_instrument string, panns_conf double, human_sample_type string, human_instrument string, model_instrument string, model_conf double, model_version string, model_margin double, model_margin_label string, is_val boolean, gold_candidate boolean, rating int, label_source string, cluster_id int, cluster_d double, cluster_l1 int",
     "features": "path string, model string, vec array<float>",

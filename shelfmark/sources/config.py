@@ -15,6 +15,7 @@ from shelfmark.operators.learn import PARAMS, WEAK_MAP
 class Config:
     """Settings with their defaults; the type of a default is the type of its setting."""
 
+    # The names and defaults of the settings file.
     library_path: str = ""
     workers: int = 5
     trust_db: bool = True

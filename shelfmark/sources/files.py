@@ -39,6 +39,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def progress(lines: DataFrame) -> DataFrame:
     """One row done, total, rate, eta_min: the last line of a log that tells of progress. A line of a start resets it."""
+    # The two lines of a log that tell of progress.
     start, step = r"(\d+) files to process on \d+ workers", r"(\d+)/(\d+)\s+([\d.]+)/s\s+eta\s+([\d.]+)m"
     group = lambda p, k: F.nullif(F.regexp_extract("line", p, k), F.lit(""))
     state = F.when(F.col("line").rlike(step), F.struct(group(step, 1).cast("long").alias("done"), group(step, 2).cast("long").alias("total"), group(step, 3).cast("double").alias("rate"), group(step, 4).cast("double").alias("eta_min")))
