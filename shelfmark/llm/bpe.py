@@ -34,7 +34,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _SETTLED = re.compile("[^\x00-Ɂɐ-ͯЀ-Ԥ -⁣₠-₵]")
 _LOOSE_SPACE = re.compile(r"\s ")
 #: What a worker keeps at most: results by piece, states of the byte machine, cells of half a table of the automaton.
-_MEMO_ENTRIES, _MACHINE_STATES, _CELLS = 200_000, 120_000, 150_000
+_MEMO_ENTRIES, _MACHINE_STATES, _CELLS = 200_000, 200_000, 150_000
 _MEMO_WORD = 64
 _NEVER = 1 << 60
 
