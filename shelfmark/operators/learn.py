@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from shelfmark.functions.scalars import blank, mapped
-from shelfmark.functions.vectors import argmax
+from shelfmark.functions.vectors import argmax, mean_vector, unit
 from shelfmark.operators.labels import label_sets, resolve_predict
 from shelfmark.schema import schema
 from shelfmark.sources.store import Store
@@ -193,6 +193,12 @@ def confident_share(scored: DataFrame, heads: list[Head]) -> DataFrame:
     return scored.agg(F.count("*").alias("n"), F.count_if(F.exists(F.zip_with("probs", limits, lambda p, t: p >= t), lambda x: x)).alias("covered"))
 
 
+def anchors(prompts: DataFrame, key: str, dim: int) -> DataFrame:
+    """``key``, vec: the mean of each key's vectors (vec) at length one; a zero mean stays as it is."""
+    means = prompts.groupBy(key).agg(*mean_vector("vec", dim))
+    return means.select(key, unit(F.array(*(f"v{k}" for k in range(dim)))).alias("vec"))
+
+
 def zero_shot(vectors: DataFrame, anchors: dict[str, list[float] | None]) -> DataFrame:
     """``vectors`` with a probability-like score for each anchor: the inner product; an unknown anchor scores 0."""
     dim = len(next(v for v in anchors.values() if v))

@@ -82,6 +82,12 @@ def best_label(human_set: Column, instrument: Column, model: Column, panns: Colu
     return F.coalesce(F.try_element_at(human_set, F.lit(1)), instrument, model, panns, F.lit("?"))
 
 
+def label_choices(hits: DataFrame, best: str) -> DataFrame:
+    """place, label: what a hit list can be filtered by, ``all`` first, then the hits' best labels in order."""
+    known = hits.agg(F.array_sort(F.collect_set(best)).alias("known"))
+    return known.select(F.posexplode(F.concat(F.array(F.lit("all")), "known")).alias("place", "label"))
+
+
 def hit_filter(best: Column, kind: Column, duration: Column, label: str = "all", sample_type: str = "all", longest: float = 0) -> Column:
     """The filter of a hit list by label, type (``other``: neither one-shot nor loop) and longest duration."""
     out = F.lit(True) if label == "all" else best == label

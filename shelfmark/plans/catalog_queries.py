@@ -257,6 +257,16 @@ def embed_resume(spark, d):
 # Label sets
 
 
+@query("SELECT path, coalesce(duration_s >= 1.0, true) AS embeds FROM @samples")
+def embed_gate(spark, d):
+    return view(spark, d, "samples").select("path", catalog.should_embed(F.col("duration_s")).alias("embeds"))
+
+
+@query("SELECT path, regexp_replace(path, '[^A-Za-z0-9._-]', '_', 'g') AS name FROM @paths")
+def safe_names(spark, d):
+    return view(spark, d, "paths").select("path", scalars.safe_name(F.col("path")).alias("name"))
+
+
 @query("SELECT path, list(label ORDER BY rank, label) AS labels FROM @sample_labels GROUP BY path")
 def label_set_ordered(spark, d):
     return labels.label_sets(view(spark, d, "sample_labels"))
@@ -418,6 +428,12 @@ def zero_shot_scores(spark, d):
     return scored.select("path", F.posexplode("probs").alias("k", "p")).select(F.col("path").alias("vec_id"), names[F.col("k")].alias("class"), F.round("p", 6).alias("p"))
 
 
+@query("WITH c AS (SELECT label, generate_subscripts(vec, 1) AS k, unnest(CAST(vec AS DOUBLE[])) AS x FROM @vectors), m AS (SELECT label, k, avg(x) AS x FROM c GROUP BY label, k) SELECT CAST(label AS INT) AS label, CAST(k - 1 AS INT) AS k, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) AS x FROM m")
+def mean_anchors(spark, d):
+    rows = learn.anchors(view(spark, d, "vectors").select(F.col("label").cast("int").alias("label"), "vec"), "label", 64)
+    return rows.select("label", F.posexplode("vec").alias("k", "x")).select("label", "k", F.round("x", 5).alias("x"))
+
+
 @query()
 def ovr_train_predict(spark, d):
     samples = view(spark, d, "samples").withColumns({"instrument": F.lit(None).cast("string"), "model_version": F.lit(None).cast("string")})
@@ -490,6 +506,22 @@ def hit_filter(spark, d):
     return rows.where(retrieve.hit_filter(F.col("best"), F.col("sample_type"), F.col("duration_s"), "en", "other", 3)).select("path", "best")
 
 
+@query("WITH b AS (SELECT DISTINCT coalesce(human_instrument, model_instrument, panns_instrument, '?') AS label FROM @samples) SELECT 0 AS place, 'all' AS label UNION ALL SELECT CAST(row_number() OVER (ORDER BY label) AS INT), label FROM b")
+def label_choices(spark, d):
+    best = retrieve.best_label(F.array_compact(F.array("human_instrument")), F.lit(None), F.col("model_instrument"), F.col("panns_instrument"))
+    return retrieve.label_choices(view(spark, d, "samples").select(best.alias("best")), "best")
+
+
+@query("SELECT min(name) AS name FROM @taxonomy WHERE starts_with(name, 'e')")
+def label_by_prefix(spark, d):
+    return retrieve.first_with_prefix(view(spark, d, "taxonomy"), "e")
+
+
+@query("SELECT path, CASE WHEN rating = 3 THEN 0 ELSE 3 END AS rating FROM @samples")
+def rating_toggled(spark, d):
+    return view(spark, d, "samples").select("path", labels.toggled_rating(F.col("rating"), F.lit(3)).alias("rating"))
+
+
 @query("SELECT path, rating > 0 AS rated, false AS typed, human_instrument IS NOT NULL AS labeled, false AS complete FROM @samples")
 def review_steps(spark, d):
     return retrieve.review_steps(view(spark, d, "samples").withColumn("human_sample_type", F.lit(None).cast("string")))
@@ -581,9 +613,27 @@ def label_color_hue(spark, d):
     return table(spark, d, "part").select(F.col("p_type").alias("label")).distinct().select("label", scalars.hue(F.col("label")).alias("hue"))
 
 
+@query("SELECT name, CASE WHEN name = 'en' THEN 'red' ELSE concat('hsl(', CAST(list_sum([ord(c) for c in string_split(name, '')]) * 137 % 360 AS INT), ', 60%, 55%)') END AS color FROM @taxonomy")
+def taxonomy_colors(spark, d):
+    return geometry.colors(view(spark, d, "taxonomy"), {"en": "red"})
+
+
+@query(f"WITH {_MAP} SELECT map_i, path FROM m WHERE map_i % (SELECT greatest(1, CAST(ceil(count(*) / 500.0) AS INT)) FROM m) = 0")
+def map_decimated(spark, d):
+    """What a viewport of 500 points draws: the stride is the feature."""
+    points = _map(spark, d)
+    return geometry.decimated(points, points.count(), 500).select("map_i", "path")
+
+
 # Clusters
 
 
+@query("SELECT c.id, c.parent, c.size, c.label, arg_min(s.path, {'k': s.cluster_d IS NOT NULL, 'd': s.cluster_d, 'p': s.path}) FILTER (WHERE s.path IS NOT NULL) AS medoid FROM @clusters c LEFT JOIN @samples s ON s.cluster_id = c.id WHERE c.level = 2 GROUP BY ALL")
+def cluster_grains(spark, d):
+    rows = view(spark, d, "clusters").withColumns({c: F.lit(None).cast("double") for c in ("centroid", "flatness", "attack", "duration")})
+    return sonic.grains(rows, view(spark, d, "samples")).select("id", "parent", "size", "label", "medoid")
+
+
 @query("SELECT cluster_id, arg_min(path, {'k': cluster_d IS NOT NULL, 'd': cluster_d, 'p': path}) AS medoid FROM @samples WHERE cluster_id IS NOT NULL GROUP BY cluster_id")
 def medoid_per_cluster(spark, d):
     return sonic.medoids(view(spark, d, "samples"))

@@ -457,3 +457,12 @@ def test_registry_is_whole(spark):
     found, known = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(known) <= set(found) and len(found) > 60
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+def test_anchors_and_label_choices(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), ("b", [1.0, 0.0]), ("b", [-1.0, 0.0])], "k string, vec array<double>")
+    found = {r.k: r.vec for r in learn.anchors(rows, "k", 2).collect()}
+    assert found["a"] == pytest.approx([0.5**0.5] * 2) and found["b"] == [0.0, 0.0]
+    hits = spark.createDataFrame([("snare",), ("kick",), ("snare",), (None,)], "best string")
+    assert [tuple(r) for r in retrieve.label_choices(hits, "best").collect()] == [(0, "all"), (1, "kick"), (2, "snare")]
+    assert [tuple(r) for r in retrieve.label_choices(hits.limit(0), "best").collect()] == [(0, "all")]
