@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, contamination, language, licences, line_dedup, quality, simhash, suffix_dedup, token_count, topk
+from shelfmark.llm import bpe, contamination, filter_audit, language, licences, line_dedup, quality, simhash, suffix_dedup, token_count, topk
 from shelfmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,39 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_FIRST_BIT = "CAST(1 << (instr('ABCDE', substr(filter_order, {}, 1)) - 1) AS INTEGER)"
+ORACLE["op12_filter_audit"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, doc_id > min(doc_id) OVER (PARTITION BY t) AS copy FROM t),
+g AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+      CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+      + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+      + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN copy THEN 16 ELSE 0 END AS mask
+      FROM w LEFT JOIN g USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, mask),
+l AS (SELECT unnest(string_split('A B C D E', ' ')) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, {_FIRST_BIT.format("step")} AS bit,
+      list_sum(list_transform(range(1, step), lambda j: {_FIRST_BIT.format("j")})) AS past FROM o, (SELECT unnest(range(1, 6)) AS step)),
+b AS (SELECT filter_order, step, bit, CAST(coalesce(past, 0) AS INTEGER) AS past FROM s),
+r AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, bit,
+      sum(CASE WHEN mask & (past | bit) = 0 THEN n ELSE 0 END) AS kept,
+      sum(CASE WHEN mask & past = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed,
+      sum(CASE WHEN mask & past > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+      sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+      sum(CASE WHEN mask & past = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+      sum(CASE WHEN mask & past = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM m, b GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
