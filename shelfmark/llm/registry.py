@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm import bpe, contamination, filter_audit, language, lexical, licences, line_dedup, quality, simhash, suffix_dedup, token_count, topk
+from shelfmark.llm import bpe, contamination, embedding_dedup, filter_audit, language, lexical, licences, line_dedup, quality, simhash, suffix_dedup, token_count, topk
 from shelfmark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,8 @@ s AS (SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * t
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
 """
+
+
+@query
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.groups(table(spark, sf_dir, "embeddings"))
