@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import rules, scalars
 from shelfmark.functions.vectors import unit
-from shelfmark.operators import catalog, geometry, gold, labels, learn, retrieve, review, sonic, stats
+from shelfmark.operators import catalog, geometry, gold, graph, labels, learn, retrieve, review, sonic, stats
 from shelfmark.plans.standins import CLASSES, WEAK_MAP, oracle, view
 from shelfmark.sources import features as feature_tables
 from shelfmark.sources.store import Store
@@ -695,3 +695,51 @@ def features_with_labels(spark, d):
 @query("SELECT source, label_source, count(*) AS n FROM @samples GROUP BY ROLLUP (source, label_source)")
 def coverage_rollup(spark, d):
     return view(spark, d, "samples").rollup("source", "label_source").agg(F.count("*").alias("n"))
+
+
+# Neighbour graphs
+
+
+_PAIRS = f"(SELECT a.vec_id AS query, b.vec_id AS key, b.label, round({_DOT.format('a.vec', 'b.vec')}, 6) AS score FROM @vectors a JOIN @vectors b ON a.vec_id <> b.vec_id)"
+
+
+@query(f"SELECT query, key, score FROM {_PAIRS} WHERE query % 20 = 0 AND score >= 0.3")
+def lsh_neighbors(spark, d):
+    """Close pairs of the rows asked for, by random projections; tables are as many as the driver's spread vectors need."""
+    vectors = view(spark, d, "vectors")
+    return graph.lsh_neighbors(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", graph.lsh_tables(vectors, 32, 2, 0.5), least=CLOSE)
+
+
+@query(f"SELECT query, key, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM {_PAIRS} WHERE query % 20 = 0) WHERE rank <= 10")
+def nearest_in_blocks(spark, d):
+    vectors = view(spark, d, "vectors")
+    return graph.nearest(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", 10)
+
+
+@query(f"""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM {_PAIRS} WHERE query % 3 <> 0 AND key % 3 = 0),
+v AS (SELECT query, label, count(*) AS n, sum(score) AS s FROM r WHERE rank <= 15 GROUP BY query, label),
+t AS (SELECT *, sum(n) OVER (PARTITION BY query) AS total, row_number() OVER (PARTITION BY query ORDER BY n DESC, label) AS place FROM v)
+SELECT query, label, round(n / total, 6) AS agreement, round(s / n, 6) AS similarity, round(n / total * (s / n), 6) AS weight FROM t WHERE place = 1 AND n / total >= 0.4 AND s / n >= 0.1""")
+def knn_pseudo_labels(spark, d):
+    vectors = view(spark, d, "vectors")
+    known = vectors.where("vec_id % 3 = 0")
+    found = graph.pseudo_labels(graph.nearest(vectors.where("vec_id % 3 <> 0"), known, "vec_id", 15), known.select(F.col("vec_id").alias("key"), "label"), 0.4, 0.1)
+    return found.select("query", "label", *(F.round(c, 6).alias(c) for c in ("agreement", "similarity", "weight")))
+
+
+@query(f"""
+WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM {_PAIRS}),
+e AS (SELECT src, dst, max(w) AS w FROM (SELECT query AS src, key AS dst, score AS w FROM r WHERE rank <= 6 AND score > 0 UNION ALL SELECT key, query, score FROM r WHERE rank <= 6 AND score > 0) GROUP BY src, dst),
+m AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY dst) AS w FROM e WHERE dst % 4 <> 0),
+s AS (SELECT vec_id AS node, label, CAST(1 AS DOUBLE) AS p FROM @vectors WHERE vec_id % 4 = 0),
+f AS (SELECT 0 AS n, node, label, p FROM s UNION ALL
+      (WITH prior AS (SELECT * FROM f) SELECT max(n) + 1, node, label, sum(p) FROM
+       (SELECT n, m.dst AS node, label, w * p AS p FROM prior JOIN m ON m.src = prior.node UNION ALL SELECT n, node, label, p FROM prior WHERE node % 4 = 0) x WHERE n < 4 GROUP BY node, label))
+SELECT node, label, round(p, 6) AS p FROM f WHERE n = 4""")
+def label_spread(spark, d):
+    """Four rounds along the graph of six nearest neighbours; every fourth row is labelled."""
+    vectors = view(spark, d, "vectors")
+    edges = graph.undirected(graph.nearest(vectors, vectors, "vec_id", 6))
+    shares = graph.label_spread(edges, vectors.where("vec_id % 4 = 0").select(F.col("vec_id").alias("node"), "label"), rounds=4)
+    return shares.select("node", "label", F.round("p", 6).alias("p"))

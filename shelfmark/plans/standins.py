@@ -63,4 +63,6 @@ def oracle(sql: str) -> str:
     used = [n for n in VIEWS if f"@{n}" in sql]
     defined = ", ".join(f"v_{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', VIEWS[n])})" for n in used)
     body = re.sub(r"@(\w+)", r"v_\1", sql).strip()
-    return f"WITH {defined}" + (f", {body[5:]}" if body.upper().startswith("WITH ") else f" {body}") if used else body
+    first, _, rest = body.partition(" ")
+    again = rest.startswith("RECURSIVE ")
+    return f"WITH {'RECURSIVE ' * again}{defined}" + (f", {rest.removeprefix('RECURSIVE ')}" if first.upper() == "WITH" else f" {body}") if used else body
