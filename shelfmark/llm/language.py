@@ -166,36 +166,45 @@ class Model:
         return [(self.languages[b], float(y / (x + y))) if t else (UNKNOWN, 0.0) for t, b, x, y in zip(texts, best, least, second, strict=True)]
 
 
-def fit(labelled: DataFrame, docs_per_language: int = 150, sample_bytes: int = 240_000) -> dict[str, list[bytes]]:
+def _spread_over(text: Column, share: Column) -> Column:
+    """Stretches of 1,024 characters or less, ``share`` characters in all, evenly spread over the whole text."""
+    piece = F.least(F.lit(STRETCH), share)
+    n = F.greatest(F.lit(1), F.floor(share / piece)).cast("int")
+    step = F.greatest(F.lit(0), F.length(text) - piece) / F.greatest(F.lit(1), n - 1)
+    return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(text, (1 + F.floor(k * step)).cast("int"), piece.cast("int"))), " ")
+
+
+def fit(labelled: DataFrame, docs_per_language: int = 150, sample_bytes: int = 240_000, most_languages: int = 1000) -> dict[str, list[bytes]]:
     """Each language's sample, from ``labelled`` (doc_id, text, lang).
 
-    The bounds of the sample: about ``docs_per_language`` documents of each language, those of smallest hashed id among
-    those that fit; and ``sample_bytes`` in all, of which each language has an equal share and takes, in that order,
-    documents whole as long as they fit. A language all of whose documents are longer than its share gets the first
-    ``share`` characters of the shortest one.
+    The bounds of the sample: the ``most_languages`` languages with most labelled documents; about ``docs_per_language``
+    documents of each, those of smallest hashed id among those that fit; and ``sample_bytes`` in all, of which each
+    language has an equal share and takes, in that order, documents whole as long as they fit. A language all of whose
+    documents are longer than its share gets stretches of the shortest one, evenly spread over the whole of it. The
+    bounds of all languages are one small table, joined with the documents.
     Rows with a null text or lang are left out. No rows give an empty model, which calls everything unknown.
     """
     labelled = labelled.where("text IS NOT NULL AND lang IS NOT NULL").withColumn("__at", F.xxhash64(F.col("doc_id"))).withColumn("__size", F.octet_length("text"))
-    n = labelled.select(F.count_distinct("lang").alias("n")).first().n
-    if not n:
+    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang").collect()
+    if not known:
         return {}
-    share = max(1, sample_bytes // n)
-    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count_if(F.col("__size") <= share).alias("n")).collect()} if n <= sample_bytes else {}
-    taken = F.lit(False)
-    for lang, some in sorted(sizes.items()):
-        if some:
-            cut = -(1 << 63) + int((1 << 64) * min(1.0, docs_per_language / some)) - 1
-            taken = taken | ((F.col("lang") == lang) & (F.col("__at") <= F.lit(cut).cast("long")))
+    share = max(1, sample_bytes // len(known))
+    chosen = labelled.sparkSession.createDataFrame([(r.lang,) for r in known], "lang string")
+    ours = labelled.join(F.broadcast(chosen), "lang")
+    sizes = ours.groupBy("lang").agg(F.count_if(F.col("__size") <= share).alias("__some"))
+    rank = F.col("__at").cast("double") / 2.0**64 + 0.5  # of the hash among all, from 0 to 1
     samples: dict[str, list[bytes]] = defaultdict(list)
-    room = dict.fromkeys(sizes, share)
-    for r in labelled.where(taken & (F.col("__size") <= share)).select("lang", "text", "__at").orderBy("__at", "text").toLocalIterator():
+    room = dict.fromkeys((r.lang for r in known), share)
+    fitting = ours.where(F.col("__size") <= share).join(F.broadcast(sizes), "lang").where(rank * F.col("__some") <= docs_per_language)  # a row a language
+    for r in fitting.select("lang", "text", "__at").orderBy("__at", "text").toLocalIterator():
         text = running(r.text)
         if text and len(text) <= room[r.lang]:
             samples[r.lang].append(text)
             room[r.lang] -= len(text)
-    if lacking := sorted({*sizes} - {*samples}):
-        shortest = F.min(F.struct("__size", "__at", F.left("text", F.lit(share)).alias("text")))
-        for r in labelled.where(F.col("lang").isin(lacking)).groupBy("lang").agg(shortest.alias("s")).select("lang", "s.text").collect():
+    if lacking := sorted({*room} - {*samples}):
+        rest = ours.join(F.broadcast(labelled.sparkSession.createDataFrame([(x,) for x in lacking], "lang string")), "lang")
+        shortest = rest.groupBy("lang").agg(F.min(F.struct("__size", "__at", "text")).alias("s"))
+        for r in shortest.select("lang", _spread_over(F.col("s.text"), F.lit(share)).alias("text")).collect():
             if text := running(r.text):
                 samples[r.lang].append(text)
     return dict(samples)

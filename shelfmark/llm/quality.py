@@ -87,7 +87,8 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 1500) -> Model | None:
     """The model of ``labels`` (doc_id, quality 0 or 1) on ``docs`` (doc_id, text).
 
     The bound of the sample: about ``each`` labelled documents of each label, those of smallest hashed id. Null ids,
-    labels and texts are left out; a document with several labels gets their mean. No rows give no model.
+    labels and texts are left out; a document with several labels gets their mean, and of texts that share an id the one
+    that sorts first teaches. No rows give no model.
     """
     marked = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("quality")).withColumn("side", F.col("quality") >= 0.5)
     sizes = {r.side: r.n for r in marked.groupBy("side").agg(F.count("*").alias("n")).collect()}
@@ -96,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = 1500) -> Model | None:
         cut = -(1 << 63) + int((1 << 64) * min(1.0, each / n)) - 1
         taken = taken | ((F.col("side") == side) & (F.xxhash64("doc_id") <= F.lit(cut).cast("long")))
     sample = F.broadcast(marked.where(taken).select("doc_id", "quality"))  # about twice ``each`` rows
-    rows = docs.where("text IS NOT NULL").join(sample, "doc_id").select("doc_id", "quality", _features("text").alias("counts")).orderBy("doc_id", "counts").limit(4 * each).collect()
+    texts = docs.where("text IS NOT NULL").join(sample, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = texts.select("doc_id", "quality", _features("text").alias("counts")).orderBy("doc_id").collect()
     if not rows:
         return None
     return latent(np.array([np.frombuffer(r.counts, np.float32) for r in rows]), np.array([r.quality for r in rows]))
