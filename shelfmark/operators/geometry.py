@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import hue
 from shelfmark.functions.vectors import unit
+from shelfmark.operators.retrieve import fetch_meta
+from shelfmark.operators.sonic import with_cluster_labels
 from shelfmark.sources.tables import checkpointed
 
 TYPES = ("oneshot", "loop")
@@ -77,6 +79,23 @@ def numbered(rows: DataFrame, by: str, into: str) -> DataFrame:
     return placed.join(offsets, "__part").withColumn(into, (F.col("__before") + within).cast("int")).select(*rows.columns, into)
 
 
+def write_points(indexed: DataFrame, path: str, parts: int = 16) -> None:
+    """Writes the map's rows (map_i, …) in ranges of map_i, so that a file's statistics tell which points it holds."""
+    indexed.repartitionByRange(parts, "map_i").sortWithinPartitions("map_i").write.mode("overwrite").parquet(path)
+
+
+def point(spark: SparkSession, path: str, i: int) -> DataFrame:
+    """The row of the map at ``path`` whose map_i is ``i``, if there is one; files of other ranges are passed over."""
+    return spark.read.parquet(path).where(F.col("map_i") == F.lit(i).cast("int"))
+
+
+def point_details(spark: SparkSession, path: str, i: int, samples: DataFrame, labels: DataFrame, model_labels: DataFrame, clusters: DataFrame) -> DataFrame:
+    """What the map shows of one point: path, name, the catalog's columns, label sets, and the labels of its clusters."""
+    full = fetch_meta(F.broadcast(point(spark, path, i).select("path")), samples, labels, model_labels)
+    placed = full.join(samples.select("path", "cluster_id", "cluster_l1"), "path", "left")
+    return with_cluster_labels(placed, clusters).withColumn("name", F.substring_index("path", "/", -1))
+
+
 def shown(categories: list[int], types: list[int], provenance: list[int], low: float = 0, high: float = 0, field: str = "instrument") -> Column:
     """Whether a point passes the map's filters; the duration bounds bind only known durations, and only if set."""
     d = F.col("d")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfmark.functions.scalars import blank, mapped
 from shelfmark.functions.vectors import dot
 from shelfmark.operators.labels import label_sets
+from shelfmark.sources.store import Store
 
 
 def scored(vectors: DataFrame, query: DataFrame, digits: int = 6) -> DataFrame:
@@ -60,6 +64,51 @@ def similar(vectors: DataFrame, items: DataFrame, query: str, k: int = 24) -> Da
     return others.orderBy(F.desc("score"), "path").limit(k).select("path", "score")
 
 
+def similar_report(vectors: DataFrame, items: DataFrame, samples: DataFrame, labels: DataFrame, model_labels: DataFrame, indexed: DataFrame, query: str, k: int = 24) -> DataFrame:
+    """The whole answer to a similarity search: query, matched, n, place, name, score (3 digits), map_i and the hits' metadata.
+
+    n is the number of vectors, there whether the query resolves or not; a query that resolves to nothing, or to an item
+    without a vector, has one row with its n and a null ``matched``. Hits are numbered from 1 in order of score.
+    """
+    spark = vectors.sparkSession
+    matched = resolve(items, "path", "row_id", query).join(vectors.select("path"), "path", "left_semi").select(F.col("path").alias("matched"))
+    hits = similar(vectors, items, query, k)
+    ranked = hits.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "path")))  # k rows
+    full = with_map_index(fetch_meta(ranked, samples, labels, model_labels), indexed).withColumn("score", F.round("score", 3))
+    asked = spark.range(1).select(F.lit(query).alias("query")).join(F.broadcast(matched), F.lit(True), "left").join(F.broadcast(vectors.agg(F.count("*").alias("n"))), F.lit(True))
+    named = F.substring_index("path", "/", -1)
+    return asked.join(F.broadcast(full.select("*", named.alias("name"))), F.col("matched").isNotNull(), "left")
+
+
+class Index:
+    """The vectors of a store's features, held by the executors for searches until the features change.
+
+    ``vectors`` asks for the table's token, a look at a folder; while it is the one that was loaded, searches read the
+    held rows and no Parquet. A new token, or an age over ``max_age`` seconds, gives them up and loads what is there now.
+    Rows that an executor loses are read again from the version they came from.
+    """
+
+    def __init__(self, store: Store, max_age: float = 0):
+        self.store, self.max_age = store, max_age
+        self._token, self._loaded, self._rows, self.n = None, 0.0, None, 0
+
+    def vectors(self) -> DataFrame:
+        token = self.store.token("features")
+        if token != self._token or self.max_age and time.time() - self._loaded > self.max_age:
+            self.drop()
+            self._rows = self.store.read("features").select("path", "vec").persist(StorageLevel.MEMORY_AND_DISK)
+            self._token, self._loaded, self.n = token, time.time(), self._rows.count()
+        return self._rows
+
+    def neighbors(self, path: str, k: int = 20) -> DataFrame:
+        return neighbors(self.vectors(), "path", path, k)
+
+    def drop(self) -> None:
+        if self._rows is not None:
+            self._rows.unpersist()
+        self._token, self._rows, self.n = None, None, 0
+
+
 def propagate_candidates(vectors: DataFrame, samples: DataFrame, path: str, k: int = 24, preselect: float = 0.93) -> DataFrame:
     """The k neighbours less those that people labelled, so k or fewer; the closest come selected."""
     near = neighbors(vectors, "path", path, k)

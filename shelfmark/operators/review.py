@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from shelfmark.functions.scalars import blank
 from shelfmark.operators.catalog import active
 from shelfmark.operators.labels import label_sets
+from shelfmark.operators.sonic import with_cluster_labels
+from shelfmark.sources.tables import checkpointed
 
 PER_CLASS, BONUS, TOO_CLOSE = 100, 2.0, 0.95
 
@@ -76,14 +78,20 @@ def greedy(rows: DataFrame, limit: int = 80, too_close: float = TOO_CLOSE) -> Da
     return rows.select("path", "rn", "vec").repartition(1).mapInPandas(pick, "path string, rn int")
 
 
-def queue(samples: DataFrame, model_labels: DataFrame, labels: DataFrame, features: DataFrame, words: DataFrame, mode: str = "disagree", limit: int = 80, too_close: float = TOO_CLOSE) -> tuple[DataFrame, DataFrame]:
-    """(the queue with label sets, its total before the limit as one row)."""
+def queue(samples: DataFrame, model_labels: DataFrame, labels: DataFrame, features: DataFrame, words: DataFrame, mode: str = "disagree", limit: int = 80, too_close: float = TOO_CLOSE, clusters: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the queue with label sets, its total before the limit as one row).
+
+    An item without a set has its one label as the set. With ``clusters`` each item has the labels of its grain and
+    family. The ranked rows are bounded (``PER_CLASS`` a class) and are written to the shared folder, as is the choice
+    among them; so both are made once, whatever is then attached.
+    """
     rows = candidates(samples, model_labels, mode)
-    ordered = ranked(rows, words)
-    picked = greedy(ordered.join(features.select("path", "vec"), "path", "left"), limit, too_close)
-    few = F.broadcast(picked)  # ``limit`` rows
+    ordered = checkpointed(ranked(rows, words))
+    few = F.broadcast(checkpointed(greedy(ordered.join(features.select("path", "vec"), "path", "left"), limit, too_close)))  # ``limit`` rows
     emitted = model_labels.join(few.select("path"), "path", "left_semi").groupBy("path").agg(F.sort_array(F.collect_list("label")).alias("model_set"))
     sets = label_sets(labels.join(few.select("path"), "path", "left_semi"))
     full = ordered.drop("rn").join(few, "path").join(sets, "path", "left").join(emitted, "path", "left")
     fallback = F.when(F.col("labels").isNull() & ~blank(F.col("human_instrument")), F.array("human_instrument")).otherwise(F.coalesce("labels", F.array().cast("array<string>")))
-    return full.withColumn("labels", fallback).orderBy("rn", "path"), rows.agg(F.count("*").alias("total"))
+    full = full.withColumn("labels", fallback)
+    full = full if clusters is None else with_cluster_labels(full, clusters)
+    return full.orderBy("rn", "path"), rows.agg(F.count("*").alias("total"))

@@ -7,6 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.scalars import blank
 from shelfmark.functions.vectors import dot
 
 
@@ -43,6 +44,25 @@ def with_cluster_labels(items: DataFrame, clusters: DataFrame) -> DataFrame:
     return items.join(F.broadcast(grain), "cluster_id", "left").join(F.broadcast(family), "cluster_l1", "left")
 
 
+def cluster_purity(samples: DataFrame, label: str = "human_instrument") -> DataFrame:
+    """cluster_id, n, labels, top, purity, entropy: how far the people's labels of each cluster's members agree.
+
+    n counts the labelled members and ``labels`` their different labels; purity is the share of the most frequent one
+    (``top``; of equals the one that sorts first), entropy that of the shares in nats, 0 where all agree. A cluster
+    without a labelled member has no row. Counted by cluster and label first, so a cluster may have any size.
+    """
+    known = samples.where(F.col("cluster_id").isNotNull() & ~blank(F.col(label)) & (F.col("status") != "missing"))
+    counts = known.groupBy("cluster_id", F.col(label).alias("label")).agg(F.count("*").alias("m"))
+    sums = counts.groupBy("cluster_id").agg(
+        F.sum("m").alias("n"),
+        F.count("*").alias("labels"),
+        F.min(F.struct((-F.col("m")).alias("minus"), "label")).alias("t"),
+        F.sum(F.col("m") * F.log("m")).alias("s"),
+    )
+    entropy = F.greatest(F.lit(0.0), F.log("n") - F.col("s") / F.col("n"))
+    return sums.select("cluster_id", "n", "labels", F.col("t.label").alias("top"), (-F.col("t.minus") / F.col("n")).alias("purity"), entropy.alias("entropy"))
+
+
 def fit_families(features: DataFrame, k: int = 8, seed: int = 42) -> DataFrame:
     """An extension: k-means families for the dimension that readers expect; path, cluster_l1, cluster_d."""
     rows = features.select("path", "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))

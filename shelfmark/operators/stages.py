@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.operators import learn
 from shelfmark.operators.catalog import CLASSIFIERS, active, changed_files, embed_set, label_todo, label_update, mark_missing, resume, upsert, with_hints
+from shelfmark.operators.learn import PARAMS
+from shelfmark.operators.sonic import cluster_purity
 from shelfmark.schema import conform
+from shelfmark.sources.config import load_params
 from shelfmark.sources.store import Store
 from shelfmark.sources.tables import checkpointed
 
@@ -71,3 +75,48 @@ def run_embed(store: Store, embed: Callable[[DataFrame], DataFrame], model: str,
         kept = features.join(fresh.select("path", "model"), ["path", "model"], "left_anti")
         store.write("features", conform(kept, "features").unionByName(conform(fresh, "features")), token)
     return {"known": same.count(), "selected": counts.n, "embedded": counts.embedded, "errors": counts.n - counts.embedded}
+
+
+def _sources(store: Store) -> tuple[DataFrame, dict, list[str]]:
+    params = load_params(store.read("ml_params"), store.read("weak_map"))
+    model = params.get("feature_model", PARAMS["feature_model"])
+    features = store.read("features").where(F.col("model") == model)
+    if features.isEmpty():
+        raise ValueError(f"no features of {model}: embed first")
+    return features, params, sorted(r.name for r in store.read("taxonomy").select("name").distinct().collect())  # tens of names
+
+
+def run_train(store: Store, purity: bool = False, folds: int = 5, now: float | None = None) -> dict:
+    """Trains the heads on the store's tables and saves them with their metrics row, which it returns.
+
+    ``purity`` lets bulk labels weigh by the agreement within their cluster. Raises without features or classes.
+    """
+    features, params, classes = _sources(store)
+    if not classes:
+        raise ValueError("no classes in the taxonomy")
+    samples = store.read("samples")
+    pure = cluster_purity(samples) if purity else None
+    heads, metrics = learn.train(features, samples, store.read("sample_labels"), classes, params["weak_label_map"], {k: params[k] for k in PARAMS if k in params}, now, pure, folds)
+    learn.save(store, heads, metrics)
+    return metrics
+
+
+def run_predict(store: Store) -> dict[str, int]:
+    """Predicts with the saved heads, and writes the store's samples and model labels. Returns the counts: predicted, emitted.
+
+    Raises without features, without a model, for a model of the older kind, which had one label an item, and for one
+    that was fitted to vectors of another length.
+    """
+    features, _, _ = _sources(store)
+    heads, version = learn.load(store)
+    if not version.startswith("ovr_"):
+        raise ValueError(f"{version} is a model of one label an item: train again")
+    if features.where(F.size("vec") != len(heads[0].weights)).count():
+        raise ValueError(f"{version} was fitted to vectors of {len(heads[0].weights)} components")
+    token = store.token("samples")
+    samples, emitted = learn.predict(features, store.read("samples"), heads, version)
+    emitted = _kept(emitted)
+    counts = {"predicted": features.count(), "emitted": emitted.count()}
+    store.write("samples", samples, token)
+    store.write("model_labels", emitted)
+    return counts

@@ -69,3 +69,24 @@ def dashboard(samples: DataFrame, labels: DataFrame, clusters: DataFrame) -> dic
     parts = {"totals": totals(samples), "coverage": coverage(samples), "human": set_distribution(labels), "bpm": bpm_histogram(samples), "confidence": confidence_histogram(samples), "errors": recent_errors(samples)}
     parts |= {c: distribution(samples, c) for c in ("path_instrument", "panns_instrument", "sample_type", "key", "model_instrument")}
     return parts | {"sonic": clusters.where("level = 1").orderBy(F.desc("size"), "id").select("label", "size")}
+
+
+# -- sketches of distinct counts
+
+
+def sketches(rows: DataFrame, by: list[str], value: str, precision: int = 14) -> DataFrame:
+    """by, sketch: for each group a sketch of its distinct values, some KB whatever their number.
+
+    Kept for each batch, sketches add up: the sketches of all batches together (``merged``) are the sketch of the whole.
+    """
+    return rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.hll_sketch_agg(value, precision).alias("sketch"))
+
+
+def merged(parts: DataFrame, by: list[str]) -> DataFrame:
+    """by, sketch: the sketches (by, sketch) of each group as one; parts may overlap."""
+    return parts.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def estimated(parts: DataFrame, into: str = "n") -> DataFrame:
+    """The sketches' estimates in place of them; at precision 14 within 3 % (about 0.8 % in the root mean square)."""
+    return parts.withColumn(into, F.hll_sketch_estimate("sketch")).drop("sketch")

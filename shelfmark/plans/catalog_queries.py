@@ -12,7 +12,9 @@ from shelfmark.functions import rules, scalars
 from shelfmark.functions.vectors import unit
 from shelfmark.operators import catalog, geometry, gold, graph, labels, learn, retrieve, review, sonic, stats
 from shelfmark.plans.standins import CLASSES, WEAK_MAP, oracle, view
+from shelfmark.schema import conform
 from shelfmark.sources import features as feature_tables
+from shelfmark.sources.buckets import Buckets
 from shelfmark.sources.store import Store
 from shelfmark.sources.tables import checkpoint_dir, table
 
@@ -410,7 +412,7 @@ SELECT CAST(cls AS VARCHAR) AS class, tp, fp, fn, round(CASE WHEN tp + fp > 0 TH
 def prf_report(spark, d):
     scored, heads = _scored(spark, d)
     flat = spark.createDataFrame([(h.name, 0.6) for h in heads], "class string, threshold double")
-    rows = learn.report(learn.long_scores(scored, [h.name for h in heads]), flat)
+    rows = learn.report(learn.long_scores(scored, [h.name for h in heads], best=True), flat)
     return rows.select("class", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
@@ -477,7 +479,7 @@ def review_queue_gold(spark, d):
 @query()
 def review_queue_full(spark, d):
     words = review.vocabulary(view(spark, d, "weak_map"), view(spark, d, "taxonomy"))
-    rows, _ = review.queue(view(spark, d, "samples"), view(spark, d, "model_labels"), view(spark, d, "sample_labels"), _path_vectors(spark, d), words, too_close=CLOSE)
+    rows, _ = review.queue(view(spark, d, "samples"), view(spark, d, "model_labels"), view(spark, d, "item_labels"), _path_vectors(spark, d), words, too_close=CLOSE)
     return rows.select("path", "rn", "sort_score", "labels", "model_set")
 
 
@@ -743,3 +745,137 @@ def label_spread(spark, d):
     edges = graph.undirected(graph.nearest(vectors, vectors, "vec_id", 6))
     shares = graph.label_spread(edges, vectors.where("vec_id % 4 = 0").select(F.col("vec_id").alias("node"), "label"), rounds=4)
     return shares.select("node", "label", F.round("p", 6).alias("p"))
+
+
+# Cross-validation, purity, sketches
+
+
+_FOLD_SCORES = f"""
+f AS (SELECT unnest(range(0, 5)) AS fold),
+c AS (SELECT fold, label, list(8 * m ORDER BY k) AS w FROM (SELECT fold, label, k, avg(CAST(vec[k] AS DOUBLE)) AS m FROM (SELECT f.fold, label, vec, unnest(range(1, 65)) AS k FROM @vectors v, f WHERE v.vec_id % 5 <> f.fold) GROUP BY fold, label, k) GROUP BY fold, label),
+p AS (SELECT v.vec_id, v.label AS truth, c.label AS cls, 1 / (1 + exp(-({_DOT.format("v.vec", "c.w")} + 0.1 * (c.label % 3)))) AS p FROM @vectors v JOIN c ON c.fold = v.vec_id % 5)"""
+
+
+@query(f"""
+WITH {_FOLD_SCORES}, m AS (SELECT vec_id, arg_max(cls, p) AS best FROM p GROUP BY vec_id),
+j AS (SELECT cls, cls = truth AS y, p >= 0.6 OR cls = best AS o FROM p JOIN m USING (vec_id)),
+s AS (SELECT cls, count(*) FILTER (WHERE o AND y) AS tp, count(*) FILTER (WHERE o AND NOT y) AS fp, count(*) FILTER (WHERE NOT o AND y) AS fn FROM j GROUP BY cls)
+SELECT CAST(cls AS VARCHAR) AS class, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1 FROM s""")
+def cv_report(spark, d):
+    """Every row judged by the centroids of the four folds that it isn't in."""
+    rows = view(spark, d, "vectors")
+    parts = F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda f: f != F.col("vec_id") % 5)).alias("fold")
+    means = rows.select(parts, "label", "vec").groupBy("fold", "label").agg(*(F.avg(F.col("vec")[k].cast("double")).alias(f"v{k}") for k in range(64))).orderBy("fold", "label").collect()
+    heads: dict[int, list[learn.Head]] = {}
+    for r in means:
+        heads.setdefault(r.fold, []).append(learn.Head(str(r.label), tuple(8 * r[f"v{k}"] for k in range(64)), 0.1 * (r.label % 3)))
+    dealt = rows.select(F.col("vec_id").alias("path"), "vec", F.array(F.col("label").cast("string")).alias("targets"), (F.col("vec_id") % 5).cast("int").alias("fold"))
+    report = learn.cv_report(learn.out_of_fold(dealt, heads), heads[0])
+    return report.select("class", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
+
+
+_PURITY = """
+k AS (SELECT cluster_id, human_instrument AS label, count(*) AS m FROM @samples WHERE cluster_id IS NOT NULL AND human_instrument <> '' AND status <> 'missing' GROUP BY 1, 2),
+z AS (SELECT cluster_id, CAST(sum(m) AS BIGINT) AS n, count(*) AS labels, max(m) AS most, first(label ORDER BY m DESC, label) AS top, sum(m * ln(m)) AS s FROM k GROUP BY cluster_id)"""
+
+
+@query(f"WITH {_PURITY} SELECT cluster_id, n, labels, top, round(most / n, 9) AS purity, round(greatest(0, ln(n) - s / n), 9) AS entropy FROM z")
+def cluster_purity(spark, d):
+    found = sonic.cluster_purity(view(spark, d, "samples"))
+    return found.select("cluster_id", "n", "labels", "top", F.round("purity", 9).alias("purity"), F.round("entropy", 9).alias("entropy"))
+
+
+@query(f"""
+WITH {_PURITY}, l AS (SELECT path, list(label ORDER BY rank, label) AS ls FROM @item_labels GROUP BY path),
+w AS (SELECT s.*, l.ls, (z.most / z.n) * (z.most / z.n) AS trust, CASE WHEN path_instrument {_IN} THEN path_instrument ELSE {_M.format("panns_instrument")} END AS c FROM @samples s LEFT JOIN l USING (path) LEFT JOIN z USING (cluster_id)),
+h AS (SELECT *, CASE WHEN len(ls) > 0 THEN ls WHEN human_instrument <> '' THEN [human_instrument] END AS human FROM w),
+t AS (SELECT *, CASE WHEN human IS NOT NULL THEN [x FOR x IN list_distinct(human) IF x {_IN}] WHEN NOT is_val AND c {_IN} THEN [c] END AS wanted FROM h)
+SELECT path, list_sort(wanted) AS targets, round(CASE WHEN is_val OR label_source = 'single' AND human IS NOT NULL THEN 1.0 WHEN human IS NOT NULL THEN 0.5 * coalesce(trust, 1) ELSE 0.2 END::DOUBLE, 9) AS weight, is_val FROM t WHERE len(wanted) > 0""")
+def weak_dataset_purity(spark, d):
+    """Label sets and weak labels; bulk labels weigh by the agreement within their cluster."""
+    samples = view(spark, d, "samples")
+    rows = learn.build_dataset(samples, view(spark, d, "item_labels"), list(CLASSES), VOCABULARY, purity=sonic.cluster_purity(samples))
+    return rows.select("path", F.array_sort("targets").alias("targets"), F.round("weight", 9).alias("weight"), "is_val")
+
+
+@query("SELECT m.label, count(DISTINCT m.path) AS n, true AS close FROM @model_labels m GROUP BY m.label")
+def label_sketches(spark, d):
+    """The exact distinct counts, and whether sketches kept for each source and then merged come within 3 % of them."""
+    rows = view(spark, d, "model_labels").withColumn("batch", F.split("path", "/")[1])
+    exact = rows.groupBy("label").agg(F.count_distinct("path").alias("n"))
+    guess = stats.estimated(stats.merged(stats.sketches(rows, ["batch", "label"], "path"), ["label"]), "guess")
+    return exact.join(guess, "label").select("label", "n", (F.abs(F.col("guess") - F.col("n")) <= 0.03 * F.col("n")).alias("close"))
+
+
+@query("SELECT source AS version, count(*) AS val_n, CAST(NULL AS VARCHAR) AS notes FROM documents WHERE source <> 'src0' GROUP BY source UNION ALL SELECT 'src0', count(*), 'again' FROM documents")
+def metrics_append(spark, d):
+    """A metrics row for every source; that of ``src0`` is replaced by one of the whole."""
+    docs = table(spark, d, "documents")
+    rows = conform(docs.where("source IS NOT NULL").groupBy(F.col("source").alias("version")).agg(F.count("*").alias("val_n")), "metrics")
+    fresh = {f.name: None for f in rows.schema} | {"version": "src0", "val_n": docs.count(), "notes": "again"}
+    return learn.with_metrics(rows, fresh).select("version", "val_n", "notes")
+
+
+# Buckets, held and clustered rows
+
+
+@query(ORACLE["catalog_upsert"])
+def bucket_upsert(spark, d):
+    """The catalog in hash buckets after a scan is merged into it, twice under the same number."""
+    kept = Buckets(spark, f"{checkpoint_dir(spark)}/buckets-{uuid.uuid4().hex}", count=16)
+    kept.merge(view(spark, d, "samples"), lambda old, new: new)
+    for _ in range(2):
+        kept.merge(_scan(spark, d), lambda old, new: catalog.upsert(old, new, F.lit(0.0)), "scan", 0)
+    return kept.read().select("path", "mtime", "size", "status", "path_instrument", "human_instrument")
+
+
+@query(f"SELECT b.path, round({_DOT.format('b.vec', 'a.vec')}, 6) AS score FROM {_PV} b, {_PV} a WHERE a.path = 'lib/src0/0.wav' AND a.path <> b.path ORDER BY score DESC, path LIMIT 20")
+def index_neighbors(spark, d):
+    """The nearest items by an index that is held for the version of the features that a store has."""
+    kept = Store(spark, f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    kept.write("features", _path_vectors(spark, d).select("path", "vec"))
+    return retrieve.Index(kept).neighbors("lib/src0/0.wav", 20)
+
+
+_POINTS = "i AS (SELECT *, CAST(row_number() OVER (ORDER BY path) - 1 AS INT) AS map_i FROM @points)"
+_META = [("instrument", "string"), ("panns_conf", "double")]
+
+
+def _samples_meta(spark, d):
+    return view(spark, d, "samples").select("*", *(F.lit(None).cast(t).alias(c) for c, t in _META))
+
+
+@query(f"""
+WITH {_POINTS}, l AS (SELECT path, list(label ORDER BY rank, label) AS labels FROM @item_labels GROUP BY path)
+SELECT i.map_i, i.path, s.source, s.rating, g.label AS grain, f.label AS family, array_to_string(l.labels, ',') AS labels FROM i JOIN @samples s USING (path) LEFT JOIN l USING (path)
+LEFT JOIN (SELECT * FROM @clusters WHERE level = 2) g ON g.id = s.cluster_id LEFT JOIN (SELECT * FROM @clusters WHERE level = 1) f ON f.id = s.cluster_l1 WHERE i.map_i = 77""")
+def point_lookup(spark, d):
+    """One point of a map that was written in ranges of its numbers, with what the map shows of it."""
+    path = f"{checkpoint_dir(spark)}/map-{uuid.uuid4().hex}"
+    geometry.write_points(geometry.numbered(view(spark, d, "points"), "path", "map_i"), path, 8)
+    found = geometry.point_details(spark, path, 77, _samples_meta(spark, d), view(spark, d, "item_labels"), view(spark, d, "model_labels"), view(spark, d, "clusters"))
+    return found.select(F.lit(77).alias("map_i"), "path", "source", "rating", "grain", "family", F.when(F.col("labels").isNotNull(), F.concat_ws(",", "labels")).alias("labels"))
+
+
+@query(f"""
+WITH {_POINTS}, l AS (SELECT path, list(label ORDER BY rank, label) AS labels FROM @item_labels GROUP BY path),
+a AS (SELECT * FROM {_PV} WHERE contains(path, '/5.') ORDER BY row_id LIMIT 1),
+h AS (SELECT b.path, round({_DOT.format('b.vec', 'a.vec')}, 6) AS score FROM {_PV} b, a WHERE b.path <> a.path ORDER BY score DESC, path LIMIT 24)
+SELECT a.path AS matched, (SELECT count(*) FROM {_PV}) AS n, CAST(row_number() OVER (ORDER BY h.score DESC, h.path) AS INT) AS place, h.path, list_extract(string_split(h.path, '/'), -1) AS name, round(h.score, 3) AS score,
+  coalesce(i.map_i, -1) AS map_i, s.source, array_to_string(l.labels, ',') AS labels FROM h CROSS JOIN a JOIN @samples s ON s.path = h.path LEFT JOIN i ON i.path = h.path LEFT JOIN l ON l.path = h.path""")
+def similar_report(spark, d):
+    rows = _path_vectors(spark, d)
+    indexed = geometry.numbered(view(spark, d, "points").select("path"), "path", "map_i")
+    full = retrieve.similar_report(rows, rows, _samples_meta(spark, d), view(spark, d, "item_labels"), view(spark, d, "model_labels"), indexed, "/5.", 24)
+    return full.select("matched", "n", "place", "path", "name", "score", "map_i", "source", F.when(F.col("labels").isNotNull(), F.concat_ws(",", "labels")).alias("labels"))
+
+
+@query(f"""
+WITH {_QUEUE}, l AS (SELECT path, list(label ORDER BY rank, label) AS labels FROM @item_labels GROUP BY path), e AS (SELECT path, list(label ORDER BY label) AS ms FROM @model_labels GROUP BY path)
+SELECT u.path, CAST(rn AS INT) AS rn, array_to_string(coalesce(l.labels, []), ',') AS labels, array_to_string(e.ms, ',') AS model_set, g.label AS grain, f.label AS family FROM (SELECT * FROM u WHERE rn <= 100 ORDER BY rn, path LIMIT 80) u
+LEFT JOIN l USING (path) LEFT JOIN e USING (path) LEFT JOIN (SELECT * FROM @clusters WHERE level = 2) g ON g.id = u.cluster_id LEFT JOIN (SELECT * FROM @clusters WHERE level = 1) f ON f.id = u.cluster_l1""")
+def review_queue_sets(spark, d):
+    """The queue with label sets, the model's sets and sonic labels; no pair is too close here, so that SQL can choose."""
+    words = review.vocabulary(view(spark, d, "weak_map"), view(spark, d, "taxonomy"))
+    rows, _ = review.queue(view(spark, d, "samples"), view(spark, d, "model_labels"), view(spark, d, "item_labels"), _path_vectors(spark, d), words, too_close=2.0, clusters=view(spark, d, "clusters"))
+    return rows.select("path", "rn", F.concat_ws(",", "labels").alias("labels"), F.when(F.col("model_set").isNotNull(), F.concat_ws(",", "model_set")).alias("model_set"), "grain", "family")

@@ -34,6 +34,10 @@ FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id LEFT JOIN {embedd
     "sample_labels": """
 SELECT path, label, CAST(rank AS INT) AS rank FROM (
   SELECT concat('lib/', CAST(conv_id AS STRING)) AS path, role AS label, min(turn) + 1 AS rank FROM {conversations} GROUP BY conv_id, role) x""",
+    "item_labels": """
+SELECT concat('lib/', d.source, '/', CAST(d.doc_id AS STRING), '.wav') AS path, c.label AS label, CAST((d.n_chars + c.k) % 5 AS INT) AS rank
+FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id JOIN (VALUES ('de', 1), ('en', 2), ('es', 3), ('fr', 4), ('odd', 5)) AS c(label, k) ON (d.doc_id + c.k) % 3 = 0 OR c.label = d.lang
+WHERE l.quality = 1 OR l.quality = 0 AND d.doc_id % 3 <> 0""",
     "model_labels": """
 SELECT concat('lib/', d.source, '/', CAST(d.doc_id AS STRING), '.wav') AS path, c.label AS label, CAST((d.n_chars * c.k) % 101 AS DOUBLE) / 100 AS conf
 FROM {documents} d JOIN {embeddings} e ON d.doc_id = e.vec_id JOIN (VALUES ('de', 1), ('en', 3), ('es', 7), ('fr', 11)) AS c(label, k) ON (d.n_chars * c.k) % 3 = 0""",
