@@ -17,6 +17,7 @@ import hashlib
 import json
 import re
 from array import array
+from collections.abc import Iterator
 from contextlib import contextmanager
 from itertools import chain
 
@@ -33,10 +34,14 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Scripts whose character classes are the same in every Unicode version; others are split by the library.
 _SETTLED = re.compile("[^\x00-Ɂɐ-ͯЀ-Ԥ -⁣₠-₵]")
 _LOOSE_SPACE = re.compile(r"\s ")
-#: What a worker keeps at most: results by piece, states of the byte machine, cells of half a table of the automaton.
-_MEMO_ENTRIES, _MACHINE_STATES, _CELLS = 200_000, 200_000, 150_000
+#: What a worker keeps at most: half the results by piece, states of the byte machine, cells of half a table of the automaton.
+_MEMO_ENTRIES, _MACHINE_STATES, _CELLS = 60_000, 150_000, 120_000
 _MEMO_WORD = 64
+#: Texts whose tokens a worker holds at once.
+_SLICE = 256
 _NEVER = 1 << 60
+#: Counts are differences between tokenizations of a few dozen bytes, kept in 12 bits.
+_BIAS = 1 << 11
 
 
 def byte_symbols() -> list[str]:
@@ -46,20 +51,6 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
-class Row(dict):
-    """A state of the byte machine: its transitions by byte, each determined when first taken."""
-
-    __slots__ = ("_machine", "_pending")
-
-    def __init__(self, machine: MergeAutomaton, pending: tuple):
-        super().__init__()
-        self._machine, self._pending = machine, pending
-
-    def __missing__(self, byte: int):
-        out = self[byte] = self._machine._step(self._pending, byte)
-        return out
-
-
 class MergeAutomaton:
     """The compiled automaton of one tokenizer file (the JSON format, byte-level BPE without a normalizer)."""
 
@@ -86,7 +77,9 @@ class MergeAutomaton:
         self._compile(model["vocab"], merges)
         self._sizes = [len(b) for b in self.labels]
         self._arcs, self._old_arcs, self._fits, self._old_fits = {}, {}, {}, {}
-        self._rows: dict[tuple, Row] | None = None
+        self._next: dict[int, int] = {}
+        self._numbers: dict[bytes, int] = {}
+        self._pending: list[bytes] = []
         self._pattern = None
         self._library = None
 
@@ -152,20 +145,22 @@ class MergeAutomaton:
             self._arcs[key] = found
         return found
 
-    def start(self) -> Row:
+    def start(self) -> int:
         """The byte machine's start state. It is built anew when it has grown over a bound, between two words."""
-        if self._rows is None or len(self._rows) > _MACHINE_STATES:
-            for row in (self._rows or {}).values():
-                row.clear()  # states lead to each other; so they are freed without the collector
-            self._rows = {}
-            self._start = self._row(((0, -1, 0),))
-        return self._start
-
-    def _row(self, pending: tuple) -> Row:
-        """The state with these tokens begun: (node of the trie of labels, label before it, tokens up to there)."""
-        found = self._rows.get(pending)
+        if not self._pending or len(self._pending) > _MACHINE_STATES:
+            self._next.clear()
+            self._numbers.clear()
+            self._pending.clear()
+            self._state([(0, -1, 0)])
+        return 0
+
+    def _state(self, begun: list[tuple[int, int, int]]) -> int:
+        """The number of the state with these tokens begun: (node of the trie of labels, label before it, tokens up to there)."""
+        packed = array("q", [(node << 21 | before + 1) << 12 | tokens + _BIAS for node, before, tokens in begun]).tobytes()
+        found = self._numbers.get(packed)
         if found is None:
-            found = self._rows[pending] = Row(self, pending)
+            found = self._numbers[packed] = len(self._pending)
+            self._pending.append(packed)
         return found
 
     def _viable(self, node: int, before: int) -> bool:
@@ -185,11 +180,13 @@ class MergeAutomaton:
             self._fits[key] = found
         return found
 
-    def _step(self, pending: tuple, byte: int) -> tuple[Row, int, int]:
-        """Next state, the label that ends here on the one accepting path, and by how much that path's length differs."""
+    def _step(self, state: int, byte: int) -> int:
+        """The transition, determined when first taken: next state, the label that ends here on the one accepting path,
+        and by how much that path's length differs, in 12 bits."""
         label, count, kept = -1, 0, []
-        for node, before, tokens in pending:
-            node = self._child.get(node << 8 | byte)
+        for packed in array("q", self._pending[state]):
+            before, tokens = (packed >> 12 & 0x1FFFFF) - 1, (packed & 0xFFF) - _BIAS
+            node = self._child.get(packed >> 33 << 8 | byte)
             if node is None:
                 continue
             ends = self._token_at[node]
@@ -201,14 +198,16 @@ class MergeAutomaton:
             raise ValueError("the merges accept no token sequence for this word")
         if self._counting:
             kept = [(node, before, tokens - count) for node, before, tokens in kept]
-        return self._row((*kept, (0, label, 0))), label, count
+        out = self._next[state << 8 | byte] = (self._state([*kept, (0, label, 0)]) << 20 | label) << 12 | count + _BIAS
+        return out
 
     def path(self, word: bytes) -> list[int]:
         """The labels of the one accepting path that spells ``word``."""
-        row, last = self.start(), []
+        state, known, last = self.start(), self._next, []
         for byte in word:
-            row, label, _ = row[byte]
-            last.append(label)
+            arc = known.get(state << 8 | byte) or self._step(state, byte)
+            state = arc >> 32
+            last.append(arc >> 12 & 0xFFFFF)
         out, n, sizes = [], len(word), self._sizes
         while n:
             out.append(label := last[n - 1])
@@ -218,10 +217,11 @@ class MergeAutomaton:
 
     def emitted(self, word: bytes) -> int:
         """The sum of the counts on the arcs that spell ``word``."""
-        row, total = self.start(), 0
+        state, known, total = self.start(), self._next, 0
         for byte in word:
-            row, _, count = row[byte]
-            total += count
+            arc = known.get(state << 8 | byte) or self._step(state, byte)
+            state = arc >> 32
+            total += (arc & 0xFFF) - _BIAS
         return total
 
     def words(self, text: str) -> list[str]:
@@ -270,15 +270,20 @@ class MergeAutomaton:
 
 
 class Memo(dict):
-    """Results by piece; as many as fit, and long pieces are never kept."""
+    """Results by piece, in two halves: when the younger one is full, the older one is given up. Long pieces are never kept."""
 
     def __init__(self, work):
         super().__init__()
-        self._work = work
+        self._work, self._older = work, {}
 
     def __missing__(self, piece):
-        out = self._work(piece)
-        if len(self) < _MEMO_ENTRIES and (isinstance(piece, int) or len(piece) <= _MEMO_WORD):
+        out = self._older.get(piece)
+        if out is None:
+            out = self._work(piece)
+        if isinstance(piece, int) or len(piece) <= _MEMO_WORD:
+            if len(self) >= _MEMO_ENTRIES:
+                self._older = {**self}
+                self.clear()
             self[piece] = out
         return out
 
@@ -288,14 +293,17 @@ class Codec:
 
     def __init__(self, source: bytes):
         self.automaton = MergeAutomaton(source)
-        self._words = Memo(lambda word: array("i", self.automaton.path(word.encode())).tobytes())
+        self._words = Memo(self._word)  # of pieces of several words
         self._ids = Memo(self._piece)
 
+    def _word(self, word: str) -> bytes:
+        return array("i", self.automaton.path(word.encode())).tobytes()
+
     def _piece(self, piece: str | int) -> bytes:
         if isinstance(piece, int):
             return array("i", [piece]).tobytes()
         words = self.automaton.words(piece)
-        return self._words[piece] if len(words) == 1 else b"".join(map(self._words.__getitem__, words))
+        return self._word(piece) if len(words) == 1 else b"".join(map(self._words.__getitem__, words))
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self._ids.__getitem__, self.automaton.pieces(text or ""))), np.intc)
@@ -368,12 +376,14 @@ def transcode(docs: DataFrame, tokenizer: str, text: str = "text", ids: str = "i
     source = vocabulary(docs.sparkSession, tokenizer)
 
     @arrow_udf("struct<ids:array<int>, decoded:string>")
-    def both(texts: pa.Array) -> pa.Array:
-        with no_cycles():
-            codec = in_worker(Codec, source.value)
-            each = [codec.encode(t.as_py()) for t in texts]
-            spelled = pa.array([codec.automaton.decode(x.tolist()) for x in each], pa.string())
-        return pa.StructArray.from_arrays([_lists(each), spelled], ["ids", "decoded"])
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for k in range(0, len(texts), _SLICE):  # what a batch of texts gives is never held whole
+                with no_cycles():
+                    codec = in_worker(Codec, source.value)
+                    each = [codec.encode(t.as_py()) for t in texts[k : k + _SLICE]]
+                    spelled = pa.array([codec.automaton.decode(x.tolist()) for x in each], pa.string())
+                yield pa.StructArray.from_arrays([_lists(each), spelled], ["ids", "decoded"])
 
     coded = docs.withColumn("__coded", both(F.col(text)))
     return coded.withColumns({ids: F.col("__coded.ids"), decoded: F.col("__coded.decoded")}).drop("__coded")
