@@ -26,7 +26,7 @@ from shelfmark.llm.contamination import _bounded, item_words
 from shelfmark.sources.tables import checkpoint_dir
 
 #: Postings of a block; what a shard holds at most, but for its last document; items that are searched for together.
-BLOCK, SHARD_POSTINGS, SHARD_DOCS, LOT_ITEMS = 128, 1 << 22, 1 << 16, 512
+BLOCK, SHARD_POSTINGS, SHARD_DOCS, LOT_ITEMS = 128, 1 << 20, 1 << 16, 512
 #: ``term`` is empty in a shard's directory row, whose n, heads and data are its documents, their ids and lengths.
 INDEX = "shard long, term string, n long, heads binary, data binary"
 _KEEP = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
