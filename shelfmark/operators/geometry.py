@@ -104,6 +104,16 @@ def shown(categories: list[int], types: list[int], provenance: list[int], low: f
     return F.col(field).isin(categories) & F.col("t").isin(types) & F.col("ls").isin(provenance) & long_enough & short_enough
 
 
+def to_screen(points: DataFrame, scale: float, dx: float, dy: float, width: int, height: int) -> DataFrame:
+    """``points`` with sx, sy: x and y (0..1) magnified by ``scale`` and moved, in pixels; y grows downwards."""
+    return points.select("*", (F.col("x") * scale * width + dx).alias("sx"), ((1 - F.col("y")) * scale * height + dy).alias("sy"))
+
+
+def to_map(points: DataFrame, scale: float, dx: float, dy: float, width: int, height: int) -> DataFrame:
+    """The inverse of ``to_screen``: ``points`` with x, y of sx, sy."""
+    return points.select("*", ((F.col("sx") - dx) / (scale * width)).alias("x"), (1 - (F.col("sy") - dy) / (scale * height)).alias("y"))
+
+
 def in_polygon(x: Column, y: Column, corners: list[tuple[float, float]]) -> Column:
     """Even-odd rule, behind a test of the bounding box."""
     xs, ys = [c[0] for c in corners], [c[1] for c in corners]

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from shelfmark.functions.scalars import blank
 from shelfmark.operators.catalog import active
 
+#: Paths that a choice may bring to the driver.
+MOST_CHOICES = 2_000_000
+
 
 def sample(samples: DataFrame, model_labels: DataFrame, per_class: int = 25, include_none: int = 50, seed: int = 42) -> DataFrame:
     """``samples`` with more gold_candidate rows: ``per_class`` of each predicted label, ``include_none`` without one.
@@ -15,7 +18,7 @@ def sample(samples: DataFrame, model_labels: DataFrame, per_class: int = 25, inc
     Additive: what a label already has counts. Rows are taken in the order of a hash of seed and path, each for the
     first label (by name) that still needs it; rows people have labelled aren't taken. A label can lose to the ones
     before it as many rows as they need, so one ranked pass brings enough of each to choose from: with L labels at
-    most L * (L + 1) / 2 * ``per_class`` paths, and ``include_none``.
+    most L * (L + 1) / 2 * ``per_class`` paths, and ``include_none``; more than ``MOST_CHOICES`` in all raise.
     """
     if not (1 <= per_class <= 500 and 0 <= include_none <= 2000):
         raise ValueError("per_class is 1 to 500, include_none 0 to 2000")
@@ -31,6 +34,8 @@ def sample(samples: DataFrame, model_labels: DataFrame, per_class: int = 25, inc
         needs[None] = reach[None] = max(0, include_none - have[None])
     if not any(needs.values()):
         return samples
+    if sum(reach.values()) > MOST_CHOICES:
+        raise ValueError(f"{len(needs)} labels need more than {MOST_CHOICES} rows to choose from: are they those of the taxonomy?")
     most = F.broadcast(spark.createDataFrame([*reach.items()], "name string, reach int"))
     order = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(seed), F.col("path")), "path")
     ranked = pool.where(~F.col("gold_candidate") & F.col("free")).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max(reach.values()))

@@ -80,6 +80,25 @@ def similar_report(vectors: DataFrame, items: DataFrame, samples: DataFrame, lab
     return asked.join(F.broadcast(full.select("*", named.alias("name"))), F.col("matched").isNotNull(), "left")
 
 
+def report_lines(report: DataFrame) -> DataFrame:
+    """place, line of a similarity search's whole answer, as a terminal shows it; a search without a match is one line."""
+    cell = lambda c, width: F.rpad(F.coalesce(F.col(c).cast("string"), F.lit("")), width, " ")
+    end = lambda c: F.lpad(F.coalesce(F.col(c).cast("string"), F.lit("")), 4, " ")
+    hit = F.concat(F.lpad(F.format_string("%.3f", "score"), 5, " "), F.lit("  "), cell("instrument", 7), F.lit(" "), cell("sample_type", 7), F.lit(" "), end("bpm"), F.lit(" "), end("key"), F.lit("  "), "name")
+    none = F.concat(F.lit("no sample matching '"), "query", F.lit("' (index has "), F.col("n").cast("string"), F.lit(" embeddings)"))
+    return report.select(F.coalesce("place", F.lit(0)).alias("place"), F.when(F.col("matched").isNull(), none).otherwise(hit).alias("line"))
+
+
+def with_selection(hits: DataFrame, selected: DataFrame) -> DataFrame:
+    """The hits (path, map_i, …) that are on the map, and the map's ``selected`` points (path, map_i), each once.
+
+    A point that is both counts as a hit (``hit`` true).
+    """
+    on_map = hits.where("map_i >= 0").select("path", "map_i").distinct().withColumn("hit", F.lit(True))
+    rest = selected.select("path", "map_i").distinct().join(on_map.select("path"), "path", "left_anti").withColumn("hit", F.lit(False))
+    return on_map.unionByName(rest)
+
+
 class Index:
     """The vectors of a store's features, held by the executors for searches until the features change.
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import learn
 from shelfmark.operators.catalog import CLASSIFIERS, active, changed_files, embed_set, label_todo, label_update, mark_missing, resume, upsert, with_hints
+from shelfmark.operators.geometry import project
 from shelfmark.operators.learn import PARAMS
 from shelfmark.operators.sonic import cluster_purity
 from shelfmark.schema import conform
+from shelfmark.sources import folders
 from shelfmark.sources.config import load_params
+from shelfmark.sources.features import with_labels
 from shelfmark.sources.store import Store
 from shelfmark.sources.tables import checkpointed
 
@@ -120,3 +123,27 @@ def run_predict(store: Store) -> dict[str, int]:
     store.write("samples", samples, token)
     store.write("model_labels", emitted)
     return counts
+
+
+def run_export(store: Store, force: bool = False) -> tuple[str, bool]:
+    """(folder, whether it was written now): the features of the model in use with the labels that training reads.
+
+    The folder is named by the model and the versions of both tables, so that what is there is taken as it is unless
+    they have changed; ``force`` writes it anew. Features without a catalog row have empty labels.
+    """
+    features, params, _ = _sources(store)
+    model = params.get("feature_model", PARAMS["feature_model"])
+    path = f"{store.root}/exports/{model}-{store.token('features')}-{store.token('samples')}"
+    if folders.exists(store.spark, f"{path}/_SUCCESS") and not force:
+        return path, False
+    named = {"human_instrument": "human", "path_instrument": "weak_path", "panns_instrument": "weak_panns"}
+    with_labels(features.select("path", "vec"), store.read("samples")).withColumnsRenamed(named).write.mode("overwrite").parquet(path)
+    return path, True
+
+
+def run_project(store: Store, method: str | Callable = "pca", sample: int | None = None) -> int:
+    """Projects the features of the model in use and replaces the store's projection by it; returns its rows."""
+    features, _, _ = _sources(store)
+    points = _kept(project(features.select("path", "vec"), "path", method, sample))
+    store.write("projection", points)
+    return points.count()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import rules, scalars
 from shelfmark.functions.vectors import unit
-from shelfmark.operators import catalog, geometry, gold, graph, labels, learn, retrieve, review, sonic, stats
+from shelfmark.operators import catalog, geometry, gold, graph, labels, learn, retrieve, review, sonic, stages, stats
 from shelfmark.plans.standins import CLASSES, WEAK_MAP, oracle, view
 from shelfmark.schema import conform
 from shelfmark.sources import features as feature_tables
@@ -879,3 +879,44 @@ def review_queue_sets(spark, d):
     words = review.vocabulary(view(spark, d, "weak_map"), view(spark, d, "taxonomy"))
     rows, _ = review.queue(view(spark, d, "samples"), view(spark, d, "model_labels"), view(spark, d, "item_labels"), _path_vectors(spark, d), words, too_close=2.0, clusters=view(spark, d, "clusters"))
     return rows.select("path", "rn", F.concat_ws(",", "labels").alias("labels"), F.when(F.col("model_set").isNotNull(), F.concat_ws(",", "model_set")).alias("model_set"), "grain", "family")
+
+
+@query(f"""
+WITH a AS (SELECT * FROM {_PV} WHERE contains(path, '/5.') ORDER BY row_id LIMIT 1),
+h AS (SELECT b.path, round({_DOT.format('b.vec', 'a.vec')}, 6) AS score FROM {_PV} b, a WHERE b.path <> a.path ORDER BY score DESC, path LIMIT 24)
+SELECT CAST(row_number() OVER (ORDER BY h.score DESC, h.path) AS INT) AS place, printf('%.3f', h.score) || '  ' || repeat(' ', 7) || ' ' || rpad(coalesce(s.sample_type, ''), 7, ' ') || ' ' || lpad(coalesce(CAST(s.bpm AS VARCHAR), ''), 4, ' ') || ' '
+  || lpad(coalesce(s.key, ''), 4, ' ') || '  ' || list_extract(string_split(h.path, '/'), -1) AS line FROM h JOIN @samples s ON s.path = h.path""")
+def sim_lines(spark, d):
+    rows = _path_vectors(spark, d)
+    indexed = geometry.numbered(view(spark, d, "points").select("path"), "path", "map_i")
+    return retrieve.report_lines(retrieve.similar_report(rows, rows, _samples_meta(spark, d), view(spark, d, "item_labels"), view(spark, d, "model_labels"), indexed, "/5.", 24))
+
+
+@query(f"""
+WITH {_POINTS}, {_HITS} SELECT i.path, i.map_i, h.path IS NOT NULL AS hit FROM i LEFT JOIN h USING (path) WHERE h.path IS NOT NULL OR i.x < 0.05 AND i.y > 0.9""")
+def hits_and_selection(spark, d):
+    """The 20 nearest items that are on the map, and the points of a corner."""
+    points = geometry.numbered(view(spark, d, "points"), "path", "map_i")
+    rows = view(spark, d, "samples").select("path", "row_id").join(view(spark, d, "vectors").select(F.col("vec_id").alias("row_id"), "vec"), "row_id")
+    asked = view(spark, d, "vectors").where("vec_id = 0").select(F.col("vec").alias("qvec"))
+    hits = retrieve.with_map_index(retrieve.page(rows.where("row_id <> 0").select("path", "vec"), "path", asked, 20), points)
+    return retrieve.with_selection(hits, points.where("x < 0.05 AND y > 0.9"))
+
+
+@query("SELECT path, round(x * 2.5 * 800 - 40, 6) AS sx, round((1 - y) * 2.5 * 600 + 25, 6) AS sy, true AS back FROM @points")
+def screen_points(spark, d):
+    """The map's points on a screen, and whether they come back from it."""
+    there = geometry.to_screen(view(spark, d, "points"), 2.5, -40, 25, 800, 600)
+    again = geometry.to_map(there.select("path", F.col("x").alias("x0"), F.col("y").alias("y0"), "sx", "sy"), 2.5, -40, 25, 800, 600)
+    near = (F.abs(F.col("x") - F.col("x0")) < 1e-9) & (F.abs(F.col("y") - F.col("y0")) < 1e-9)
+    return again.select("path", F.round("sx", 6).alias("sx"), F.round("sy", 6).alias("sy"), near.alias("back"))
+
+
+@query(f"SELECT p.path, coalesce(s.human_instrument, '') AS human, coalesce(s.path_instrument, '') AS weak_path, coalesce(s.panns_instrument, '') AS weak_panns, coalesce(s.label_source, '') AS label_source, CAST(coalesce(s.is_val, false) AS INT) AS is_val FROM {_PV} p LEFT JOIN @samples s USING (path)")
+def exported_features(spark, d):
+    """What the export of a store's features holds beside the vectors."""
+    kept = Store(spark, f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex}")
+    kept.write("features", _path_vectors(spark, d).select("path", F.lit("panns").alias("model"), "vec"))
+    kept.write("samples", view(spark, d, "samples"))
+    path, _ = stages.run_export(kept)
+    return spark.read.parquet(path).select("path", "human", "weak_path", "weak_panns", "label_source", "is_val")

@@ -241,3 +241,27 @@ def test_train_and_predict_drivers_with_their_guards(spark, tmp_path):
     learn.save(store, [learn.Head("c0", (1.0,), 0.0)], metrics | {"version": "ovr_v8"})
     with pytest.raises(ValueError, match="components"):
         stages.run_predict(store)
+
+
+def test_export_and_projection_drivers(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.write("features", separable(spark, 12).select("path", F.lit("panns").alias("model"), "vec"))
+    store.write("samples", samples(spark, [dict(path="p000", status="ok", human_instrument="kick", is_val=True)]))
+    path, made = stages.run_export(store)
+    got = {r.path: (r.human, r.weak_path, r.is_val) for r in spark.read.parquet(path).collect()}
+    assert made and len(got) == 12 and got["p000"] == ("kick", "", 1) and got["p001"] == ("", "", 0)
+    assert stages.run_export(store) == (path, False) and stages.run_export(store, force=True) == (path, True)
+    store.write("samples", samples(spark, [dict(path="p001", status="ok", human_instrument="tom")]))
+    again, made = stages.run_export(store)
+    assert made and again != path and {r.path for r in spark.read.parquet(again).where("human <> ''").collect()} == {"p001"}
+    assert stages.run_project(store) == 12 and stages.run_project(store, sample=5) == 5  # replaced, not added to
+    points = store.read("projection")
+    assert points.count() == 5 and points.where("x BETWEEN 0 AND 1 AND y BETWEEN 0 AND 1").count() == 5
+
+
+def test_lines_and_selection_of_a_search(spark):
+    none = spark.createDataFrame([("nothing'", None, 7, None, None, None, None, None, None, None)], "query string, matched string, n long, place int, score double, instrument string, sample_type string, bpm int, key string, name string")
+    assert [(r.place, r.line) for r in retrieve.report_lines(none).collect()] == [(0, "no sample matching 'nothing'' (index has 7 embeddings)")]
+    hits = spark.createDataFrame([("a", 3), ("b", -1), ("a", 3)], "path string, map_i int")
+    chosen = spark.createDataFrame([("a", 3), ("c", 5), ("c", 5)], "path string, map_i int")
+    assert sorted(map(tuple, retrieve.with_selection(hits, chosen).collect())) == [("a", 3, True), ("c", 5, False)]
