@@ -13,6 +13,7 @@ from shelfmark.functions.scalars import hue
 from shelfmark.functions.vectors import unit
 from shelfmark.operators.retrieve import fetch_meta
 from shelfmark.operators.sonic import with_cluster_labels
+from shelfmark.sources.store import Store
 from shelfmark.sources.tables import checkpointed
 
 TYPES = ("oneshot", "loop")
@@ -64,6 +65,11 @@ def map_rows(projection: DataFrame, samples: DataFrame, taxonomy: DataFrame, n_f
     return numbered(coded, "path", "map_i")
 
 
+def map_of(points: Store, catalog: Store, n_families: int = 0) -> DataFrame:
+    """The map's rows of a projection in one store and the catalog in another, as they are now."""
+    return map_rows(points.read("projection"), catalog.read("samples"), catalog.read("taxonomy"), n_families)
+
+
 def numbered(rows: DataFrame, by: str, into: str) -> DataFrame:
     """``rows`` numbered from 0 in order of ``by``, nulls first, without bringing them into one task.
 

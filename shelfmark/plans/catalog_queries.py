@@ -14,6 +14,7 @@ from shelfmark.operators import catalog, geometry, gold, graph, labels, learn, r
 from shelfmark.plans.standins import CLASSES, WEAK_MAP, oracle, view
 from shelfmark.schema import conform
 from shelfmark.sources import features as feature_tables
+from shelfmark.sources import files
 from shelfmark.sources.buckets import Buckets
 from shelfmark.sources.store import Store
 from shelfmark.sources.tables import checkpoint_dir, table
@@ -920,3 +921,48 @@ def exported_features(spark, d):
     kept.write("samples", view(spark, d, "samples"))
     path, _ = stages.run_export(kept)
     return spark.read.parquet(path).select("path", "human", "weak_path", "weak_panns", "label_source", "is_val")
+
+
+# Scores by category, logs, two stores
+
+
+_HEARD = ("Cowbell", "Silence", "Singing", "Piano", "Music", "Engine")
+_CATEGORY = "CASE name WHEN 'Cowbell' THEN 'perc' WHEN 'Singing' THEN 'vocal' WHEN 'Piano' THEN 'tonal' WHEN 'Engine' THEN 'fx' END"
+
+
+@query(f"""
+WITH s AS (SELECT vec_id, unnest([{", ".join(f"'{n}'" for n in _HEARD)}]) AS name, unnest(vec[1:6]) AS score FROM @vectors),
+r AS (SELECT *, {_CATEGORY} AS category, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, name DESC) AS place FROM s),
+b AS (SELECT vec_id, first(category ORDER BY place) AS category, first(score ORDER BY place) AS score FROM r WHERE place <= 3 AND category IS NOT NULL GROUP BY vec_id)
+SELECT v.vec_id, b.category, round(CAST(b.score AS DOUBLE), 6) AS score FROM @vectors v LEFT JOIN b USING (vec_id)""")
+def category_of_scores(spark, d):
+    """The category of the best of three scores that has one; the scores are vectors' first components."""
+    rows = view(spark, d, "vectors")
+    best = rules.score_category(F.slice("vec", 1, len(_HEARD)), F.array(*map(F.lit, _HEARD)), 3)
+    return rows.select("vec_id", best.alias("b")).select("vec_id", "b.category", F.round(F.col("b.score").cast("double"), 6).alias("score"))
+
+
+@query("SELECT CAST(o_orderkey AS BIGINT) AS done, CAST(o_orderkey * 2 AS BIGINT) AS total, CAST(o_custkey AS DOUBLE) AS rate, 1.5::DOUBLE AS eta_min, 50.0::DOUBLE AS pct FROM orders ORDER BY o_orderkey DESC LIMIT 1")
+def log_progress(spark, d):
+    """Where a job is by its log: here a line for each order, among others."""
+    orders = table(spark, d, "orders")
+    told = F.concat(F.col("o_orderkey").cast("string"), F.lit("/"), (F.col("o_orderkey") * 2).cast("string"), F.lit("  "), F.col("o_custkey").cast("string"), F.lit("/s  eta  1.5m  err=0"))
+    lines = orders.select((F.col("o_orderkey") * 2).alias("line_no"), told.alias("line")).unionByName(orders.select((F.col("o_orderkey") * 2 + 1).alias("line_no"), F.lit("something else").alias("line")))
+    return files.progress(lines)
+
+
+@query("SELECT label, CAST(size AS INT) AS size FROM @clusters WHERE level = 1")
+def dashboard_sonic(spark, d):
+    parts = stats.dashboard(view(spark, d, "samples"), view(spark, d, "sample_labels"), view(spark, d, "clusters"))
+    return parts["sonic"]
+
+
+@query(f"SELECT i.path, i.map_i, round(i.x, 4) AS x, round(i.y, 4) AS y, CASE s.human_instrument WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 ELSE 4 END AS human, CASE s.sample_type WHEN 'oneshot' THEN 0 WHEN 'loop' THEN 1 ELSE 2 END AS t FROM (SELECT *, CAST(row_number() OVER (ORDER BY path) - 1 AS INT) AS map_i FROM @points) i JOIN @samples s USING (path)")
+def map_of_two_stores(spark, d):
+    """The map of a projection in one store and the catalog in another."""
+    root = f"{checkpoint_dir(spark)}/stores-{uuid.uuid4().hex}"
+    points, kept = Store(spark, f"{root}/points"), Store(spark, f"{root}/catalog")
+    points.write("projection", view(spark, d, "points"))
+    kept.write("samples", view(spark, d, "samples"))
+    kept.write("taxonomy", view(spark, d, "taxonomy"))
+    return geometry.map_of(points, kept).select("path", "map_i", "x", "y", "human", "t")

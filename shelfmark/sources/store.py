@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -59,11 +60,19 @@ class Store:
             raise ValueError(f"{name} has changed") from failed
         return f"{name}@{version}"
 
-    def vacuum(self, name: str, keep: int = 2) -> list[int]:
-        """Removes all versions but the newest ``keep``, for readers still at work; returns the ones removed."""
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+    def vacuum(self, name: str, keep: int = 2, abandoned: float = 86_400) -> list[int]:
+        """Removes all versions but the newest ``keep``, for readers still at work; returns the ones removed.
+
+        Folders that a writer left behind, unfinished for ``abandoned`` seconds, go too.
+        """
+        hadoop, conf = self.spark.sparkContext._jvm.org.apache.hadoop.fs, self.spark.sparkContext._jsc.hadoopConfiguration()
         old = self._versions(name)[:-keep] if keep > 0 else []
         for version in old:
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v={version}")
+            path = hadoop.Path(f"{self.root}/{name}/v={version}")
             path.getFileSystem(conf).delete(path, True)
+        table = hadoop.Path(f"{self.root}/{name}")
+        fs = table.getFileSystem(conf)
+        for s in fs.listStatus(table) if fs.exists(table) else []:
+            if s.getPath().getName().startswith(".") and s.isDirectory() and time.time() - s.getModificationTime() / 1000 >= abandoned:
+                fs.delete(s.getPath(), True)
         return old

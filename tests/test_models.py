@@ -265,3 +265,14 @@ def test_lines_and_selection_of_a_search(spark):
     hits = spark.createDataFrame([("a", 3), ("b", -1), ("a", 3)], "path string, map_i int")
     chosen = spark.createDataFrame([("a", 3), ("c", 5), ("c", 5)], "path string, map_i int")
     assert sorted(map(tuple, retrieve.with_selection(hits, chosen).collect())) == [("a", 3, True), ("c", 5, False)]
+
+
+def test_vacuum_removes_what_a_dead_writer_left(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for _ in range(3):
+        store.write("taxonomy", spark.createDataFrame([("a", 0.0)], "name string, created_at double"))
+    left = tmp_path / "store" / "taxonomy" / ".0123abcd"
+    left.mkdir()
+    assert store.vacuum("taxonomy") == [1] and left.exists()  # it may still be at work
+    assert store.vacuum("taxonomy", abandoned=0) == [] and not left.exists()
+    assert store.read("taxonomy").count() == 1 and store.vacuum("nothing") == []
