@@ -3,10 +3,11 @@
 Every 50-byte string has an anchor, the least hashed of the 16-byte strings in it, which depends on its bytes alone.
 Documents are packed into blocks. A block asks, by buckets of hashes, which of its anchors other blocks have too; only
 around those does it send the bytes of the strings they anchor, dealt by the anchor's hash. A task takes its rows in
-order of doc_id, in batches. A batch's 50-byte suffixes become a suffix array (a text and sorted places in it), which
-is merge-scanned against the levels of the index, arrays of suffixes of earlier documents; what is new becomes a
-level, and levels of one size merge. As only matches of 50 bytes count, arrays are sorted by a 64-bit hash of these
-bytes; the bytes themselves are compared wherever hashes agree, so a chance agreement can't remove anything.
+order of doc_id, in batches. A batch's 50-byte suffixes become a suffix array (a text and sorted places in it), whose
+suffixes are looked up, in order, in each level of the index, arrays of suffixes of earlier documents; what is new
+becomes a level, and levels of one size merge in one pass. As only matches of 50 bytes count, arrays are sorted by a
+64-bit hash of these bytes, so neighbours in them share nothing and no longer match is carried from one to the next; the
+bytes themselves are compared wherever hashes agree, so a chance agreement can't remove anything.
 """
 
 from __future__ import annotations
