@@ -35,7 +35,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _SETTLED = re.compile("[^\x00-Ɂɐ-ͯЀ-Ԥ -⁣₠-₵]")
 _LOOSE_SPACE = re.compile(r"\s ")
 #: What a worker keeps at most: half the results by piece, states of the byte machine, cells of half a table of the automaton.
-_MEMO_ENTRIES, _MACHINE_STATES, _CELLS = 60_000, 150_000, 120_000
+_MEMO_ENTRIES, _MACHINE_STATES, _CELLS = 100_000, 200_000, 200_000
 _MEMO_WORD = 64
 #: Texts whose tokens a worker holds at once.
 _SLICE = 256
@@ -80,6 +80,8 @@ class MergeAutomaton:
         self._next: dict[int, int] = {}
         self._numbers: dict[bytes, int] = {}
         self._pending: list[bytes] = []
+        self._ended: list[int] = []  # the label that ends where a state begins
+        self._counts: dict[int, int] = {}
         self._pattern = None
         self._library = None
 
@@ -148,21 +150,41 @@ class MergeAutomaton:
     def start(self) -> int:
         """The byte machine's start state. It is built anew when it has grown over a bound, between two words."""
         if not self._pending or len(self._pending) > _MACHINE_STATES:
-            self._next.clear()
-            self._numbers.clear()
-            self._pending.clear()
+            for table in (self._next, self._numbers, self._pending, self._ended, self._counts):
+                table.clear()
             self._state([(0, -1, 0)])
         return 0
 
     def _state(self, begun: list[tuple[int, int, int]]) -> int:
-        """The number of the state with these tokens begun: (node of the trie of labels, label before it, tokens up to there)."""
-        packed = array("q", [(node << 21 | before + 1) << 12 | tokens + _BIAS for node, before, tokens in begun]).tobytes()
+        """The number of the state with these tokens begun: (node of the trie of labels, label before it, tokens up to there).
+
+        The last one begins at the state, so the label before it is the one that ends there.
+        """
+        return self._adopted(array("q", [(node << 21 | before + 1) << 12 | tokens + _BIAS for node, before, tokens in begun]).tobytes())
+
+    def _adopted(self, packed: bytes) -> int:
         found = self._numbers.get(packed)
         if found is None:
             found = self._numbers[packed] = len(self._pending)
             self._pending.append(packed)
+            self._ended.append((int.from_bytes(packed[-8:], "little") >> 12 & 0x1FFFFF) - 1)
         return found
 
+    def run(self, word: bytes, state: bytes | None = None) -> tuple[int, bytes]:
+        """The sum of the counts on the arcs that spell ``word`` from ``state``, and the state they lead to.
+
+        States are given as what is begun in them, which means the same in every worker; None is the start. So the
+        counts of a word's parts, each from where the last one ended, add up to that of the word.
+        """
+        now, known, counts, total = self.start(), self._next.get, self._counts, 0
+        if state is not None:
+            now = self._adopted(state)
+        for byte in word:
+            arc = now << 8 | byte
+            now = known(arc) or self._step(now, byte)
+            total += counts[arc]
+        return total, self._pending[now]
+
     def _viable(self, node: int, before: int) -> bool:
         """Whether some label whose first bytes led to ``node``, and which goes on, may follow ``before``."""
         key = node << 20 | before
@@ -181,8 +203,7 @@ class MergeAutomaton:
         return found
 
     def _step(self, state: int, byte: int) -> int:
-        """The transition, determined when first taken: next state, the label that ends here on the one accepting path,
-        and by how much that path's length differs, in 12 bits."""
+        """The next state, found out when first asked for; and, kept aside, by how much the accepting path's length differs."""
         label, count, kept = -1, 0, []
         for packed in array("q", self._pending[state]):
             before, tokens = (packed >> 12 & 0x1FFFFF) - 1, (packed & 0xFFF) - _BIAS
@@ -198,30 +219,30 @@ class MergeAutomaton:
             raise ValueError("the merges accept no token sequence for this word")
         if self._counting:
             kept = [(node, before, tokens - count) for node, before, tokens in kept]
-        out = self._next[state << 8 | byte] = (self._state([*kept, (0, label, 0)]) << 20 | label) << 12 | count + _BIAS
+            self._counts[state << 8 | byte] = count
+        out = self._next[state << 8 | byte] = self._state([*kept, (0, label, 0)])
         return out
 
     def path(self, word: bytes) -> list[int]:
         """The labels of the one accepting path that spells ``word``."""
-        state, known, last = self.start(), self._next, []
+        state, known, seen = self.start(), self._next.get, []
         for byte in word:
-            arc = known.get(state << 8 | byte) or self._step(state, byte)
-            state = arc >> 32
-            last.append(arc >> 12 & 0xFFFFF)
-        out, n, sizes = [], len(word), self._sizes
+            state = known(state << 8 | byte) or self._step(state, byte)  # no arc leads to the start, which is 0
+            seen.append(state)
+        out, n, sizes, ended = [], len(word), self._sizes, self._ended
         while n:
-            out.append(label := last[n - 1])
+            out.append(label := ended[seen[n - 1]])
             n -= sizes[label]
         out.reverse()
         return out
 
     def emitted(self, word: bytes) -> int:
         """The sum of the counts on the arcs that spell ``word``."""
-        state, known, total = self.start(), self._next, 0
+        state, known, counts, total = self.start(), self._next.get, self._counts, 0
         for byte in word:
-            arc = known.get(state << 8 | byte) or self._step(state, byte)
-            state = arc >> 32
-            total += (arc & 0xFFF) - _BIAS
+            arc = state << 8 | byte
+            state = known(arc) or self._step(state, byte)
+            total += counts[arc]
         return total
 
     def words(self, text: str) -> list[str]:

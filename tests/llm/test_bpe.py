@@ -63,3 +63,54 @@ def test_frames_with_nulls_repeats_and_clashing_columns(spark, library):
     counted = token_count.budget(docs, PATH).collect()
     assert sorted(r.n_tokens for r in counted) == sorted(len(library.encode(t or "", add_special_tokens=False).ids) for _, t, _ in rows)
     assert bpe.digests(docs.limit(0), PATH).count() == 0 == token_count.budget(docs.limit(0), PATH).count()
+
+
+def unbroken(rng, n):
+    """A text almost without places where it can surely be cut."""
+    kind = rng.choice(["letters", "digits", "marks", "spaces", "wide", "mixed", "unsettled"])
+    if kind == "mixed":
+        return "".join(rng.choice(PARTS) * rng.choice([1, 1, 40]) for _ in range(n // 20))
+    alphabet = {"letters": "etaoinshrdlucmfwypvbgkjqxzé", "digits": "0123456789", "marks": "!-=.,'*#", "spaces": " \n\t", "wide": "中文字符測試語言", "unsettled": "กขคงจ՘"}[kind]
+    return rng.choice(["", "a ", "'s", "<|endoftext|>"]) + "".join(rng.choices(alphabet, k=n)) + rng.choice(["", " z", "<|endoftext|>", "'ll", "  x"])
+
+
+def test_maps_of_chunks_add_up_to_the_library_s_count(library):
+    rng, counter = random.Random(5), token_count.CountTransducer(open(PATH, "rb").read())
+    inside = 0
+    for k in range(260):
+        text, size = unbroken(rng, rng.choice([60, 300, 900])), rng.choice([3, 8, 40, 150])
+        parts = [*token_count.chunks(text, [*counter.automaton.added], size)]
+        assert "".join(c.text for c in parts) == text and not parts[0].entered and not parts[-1].left
+        assert all(a.left == b.entered for a, b in zip(parts, parts[1:], strict=False))
+        state, total = None, 0
+        for c in parts:
+            e = token_count.entry(counter, c, state)
+            state, total = e.state, total + e.head + e.rest
+            inside += c.entered
+        assert total == len(library.encode(text, add_special_tokens=False).ids), (k, text[:80], size)
+    assert inside > 500
+
+
+def test_a_state_means_the_same_in_another_worker():
+    source = open(PATH, "rb").read()
+    one, other = (token_count.CountTransducer(source).automaton for _ in range(2))
+    word = b"antidisestablishmentarianism" * 9
+    for k in (1, 7, 30, 100):
+        other.run(b"quite another word first")
+        a, state = one.run(word[:k])
+        b, _ = other.run(word[k:], state)
+        assert a + b == one.run(word)[0] == one.emitted(word)
+
+
+def test_long_texts_are_counted_over_tasks(spark, library):
+    rng = random.Random(8)
+    long = "".join(rng.choices("etaoinshrdlucmfwypvbgkjqxz", k=400_000))
+    texts = [long, long, "short one", None, "", "0123456789" * 9_000, " " * 70_000 + "x", "word " * 30_000, "中文字" * 20_000, "a<|endoftext|>" * 9_000]
+    docs = spark.createDataFrame([(k, t, "n") for k, t in enumerate(texts)], "doc_id long, text string, n string").repartition(3)
+    docs = docs.withColumns({"total": docs.doc_id * 2, "id": docs.n, "__of": docs.n})
+    rows = token_count.count_tokens(docs, PATH).collect()
+    assert token_count.count_tokens(docs, PATH).columns == [*docs.columns, "n_tokens"]
+    want = {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.n_tokens for r in rows} == want and all(r.total == 2 * r.doc_id and r.n == "n" for r in rows)
+    pieces = [*token_count.chunks(long, [])]
+    assert len(pieces) == 25 and all(len(c.text) < 2 * token_count.CHUNK for c in pieces)  # a row each, in whatever task
