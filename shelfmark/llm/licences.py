@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -41,11 +41,20 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
 )
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)``, with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
 
@@ -53,7 +62,7 @@ def _words(text: Column) -> Column:
 def _bigrams(words: Column) -> Column:
     """The distinct pairs of neighbouring words; none if there are fewer than two words."""
     at = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.slice(words, i, 2))))
+    return _let(words, lambda ws: F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.get(ws, i - 1), F.get(ws, i)))))  # slice() would copy all words
 
 
 def compiled(templates: DataFrame) -> list[tuple[str, list[str]]]:
@@ -83,21 +92,17 @@ def anchors(ready: list[tuple[str, list[str]]], threshold: float) -> list[str]:
     return sorted(out)
 
 
-def _let(value: Column, f) -> Column:
-    """``f(value)``, with ``value`` worked out once."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
 def _apart(runs: Column) -> Column:
     """Of runs in order of preference, those that share no bigram with one preferred to them."""
     clear = lambda kept, r: ~F.exists(kept, lambda k: (k["start"] <= r["end"]) & (r["start"] <= k["end"]))
     return F.aggregate(runs, F.slice(runs, 1, 0), lambda kept, r: F.when(clear(kept, r), F.concat(kept, F.array(r))).otherwise(kept))
 
 
-def _best_end(run: Column, kind: Column, threshold: float) -> Column:
-    """minus (the score) and size of the best match among the beginnings of a run of bigrams; null if none reaches ``threshold``."""
-    # 0: came before, 1: new, 2: new and in the template
-    marks = F.transform(run, lambda b, k: F.when(F.array_position(run, b) <= k, 0).when(F.array_contains(kind["bigrams"], b), 2).otherwise(1))
+def _best_end(marks: Column, kind: Column, threshold: float) -> Column:
+    """minus (the score) and size of the best match among the beginnings of a run of bigrams; null if none reaches ``threshold``.
+
+    ``marks`` of the run's bigrams: 0 came before, 1 new, 2 new and in the template.
+    """
     start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("all"), F.lit(0).alias("shared"), F.lit(0.0).alias("score"), F.lit(0).alias("size"), F.lit(0).alias("of"))
 
     def step(s: Column, mark: Column) -> Column:
@@ -110,35 +115,69 @@ def _best_end(run: Column, kind: Column, threshold: float) -> Column:
     return _let(F.aggregate(marks, start, step), lambda s: F.when(s["score"] >= threshold, s))
 
 
-def _runs(words: Column, kinds: Column, vocabulary: list[str], threshold: float) -> Column:
+def _neighbours(codes: Column) -> Column:
+    """For each place (from 1) of ``codes`` the last place before it and the first after it with the same code; 0 and 2^31 - 1 without one."""
+    placed = F.array_sort(F.transform(codes, lambda c, k: F.struct(c.alias("c"), (k + 1).alias("p"))))
+
+    def linked(order: Column) -> Column:
+        same = lambda x, j, none: F.coalesce(F.when(F.get(order, j)["c"] == x["c"], F.get(order, j)["p"]), F.lit(none))
+        found = F.transform(order, lambda x, j: F.struct(x["p"].alias("p"), same(x, j - 1, 0).alias("before"), same(x, j + 1, (1 << 31) - 1).alias("after")))
+        return F.array_sort(found)
+
+    return _let(placed, linked)
+
+
+def _runs(words: Column, kinds: Column, vocabulary: list[int], threshold: float) -> Column:
     """The runs of words, wherever they stand, that match: minus_shared, minus (the score), license_id, start, end (bigrams, from 1).
 
     A run that matches best begins and ends with bigrams of the template, of which it has ``need`` at least; runs of up
     to ``most`` bigrams are tried. Of runs that overlap, the best of a template stays, then that which shares most
-    bigrams with its template.
+    bigrams with its template. Bigrams are compared by a hash of 64 bits; where each one stands next is worked out once
+    for the text, so that a run costs its length. Of places of the template's bigrams that follow each other, only the
+    first begins a run, unless a bigram comes again near by: a run from it is better than one from the next place.
     """
     none = F.array().cast("array<struct<minus_shared:int,minus:double,license_id:string,start:int,end:int>>")
     at = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
 
-    def of_kind(kind: Column, bigrams: Column, hits: Column) -> Column:
-        def dense(own: Column) -> Column:
-            return F.filter(own, lambda p, k: F.coalesce(F.get(own, k + kind["need"] - 1) - p < kind["most"], F.lit(False)))
+    def of_kind(kind: Column, codes: Column, near: Column, hits: Column) -> Column:
+        def alone(p: Column) -> Column:
+            return _let(F.get(near, p - 1), lambda x: (p - x["before"] > kind["most"]) & (x["after"] - p > kind["most"]))
 
-        def run(p: Column) -> Column:
-            found = _let(F.slice(bigrams, p, kind["most"]), lambda r: _best_end(r, kind, threshold))
+        def dense(own: Column) -> Column:
+            enough = lambda p, k: F.coalesce(F.get(own, k + kind["need"] - 1) - p < kind["most"], F.lit(False))
+            follows = lambda p, k: F.coalesce(F.get(own, k - 1) == p - 1, F.lit(False)) & alone(p) & alone(p - 1)
+            return F.filter(own, lambda p, k: enough(p, k) & ~follows(p, k))
+
+        def run(p: Column, ours: Column) -> Column:
+            places = F.sequence(p, F.least(p + kind["most"] - 1, F.size(ours)))  # slice() would copy the whole text for each run
+            marks = F.transform(places, lambda i: _let(F.get(ours, i - 1), lambda x: F.when(x["before"] >= p, 0).otherwise(x["mark"])))
+            found = _let(marks, lambda r: _best_end(r, kind, threshold))
             return _let(found, lambda s: F.when(s.isNotNull(), F.struct((-s["score"]).alias("minus"), p.alias("start"), (p + s["size"] - 1).alias("end"), s["of"].alias("of"))))
 
-        own = F.transform(F.filter(hits, lambda h: F.array_contains(kind["bigrams"], h["b"])), lambda h: h["p"])
-        starts = _let(own, dense)
-        kept = _let(F.array_sort(F.filter(F.transform(starts, run), lambda r: r.isNotNull())), _apart)
+        def matches(starts: Column) -> Column:
+            mark = lambda c: F.when(c.isin(vocabulary) & F.array_contains(kind["codes"], c), 2).otherwise(1)
+            ours = F.zip_with(codes, near, lambda c, x: F.struct(x["before"].alias("before"), mark(c).alias("mark")))
+            found = _let(ours, lambda o: F.filter(F.transform(starts, lambda p: run(p, o)), lambda r: r.isNotNull()))
+            return _let(F.array_sort(F.when(F.size(starts) > 0, found).otherwise(F.array().cast("array<struct<minus:double,start:int,end:int,of:int>>"))), _apart)
+
+        own = F.transform(F.filter(hits, lambda h: F.array_contains(kind["codes"], h["c"])), lambda h: h["p"])
+        kept = _let(_let(own, dense), matches)
         return F.transform(kept, lambda r: F.struct((-r["of"]).alias("minus_shared"), r["minus"].alias("minus"), kind["license_id"].alias("license_id"), r["start"].alias("start"), r["end"].alias("end")))
 
-    def of_text(bigrams: Column) -> Column:
-        hits = F.filter(F.transform(bigrams, lambda b, k: F.struct((k + 1).alias("p"), b.alias("b"))), lambda h: h["b"].isin(vocabulary))
-        every = _let(hits, lambda hs: F.flatten(F.transform(kinds, lambda kind: of_kind(kind, bigrams, hs))))
-        return _let(F.array_sort(every), _apart)
+    def of_text(codes: Column) -> Column:
+        hits = F.filter(F.transform(codes, lambda c, k: F.struct((k + 1).alias("p"), c.alias("c"))), lambda h: h["c"].isin(vocabulary))
+        every = lambda near, hs: F.flatten(F.transform(kinds, lambda kind: of_kind(kind, codes, near, hs)))
+        found = _let(hits, lambda hs: F.when(F.size(hs) > 0, _let(_neighbours(codes), lambda near: every(near, hs))).otherwise(none))
+        return _let(F.array_sort(found), _apart)
+
+    codes = _let(words, lambda ws: F.transform(at, lambda i: F.xxhash64(F.get(ws, i - 1), F.get(ws, i))))
+    return F.coalesce(_let(codes, of_text), none)
+
 
-    return F.coalesce(_let(F.transform(at, lambda i: F.concat_ws(" ", F.slice(words, i, 2))), of_text), none)
+def _codes(spark: SparkSession, bigrams: list[str]) -> dict[str, int]:
+    """The hash of each bigram, as ``_runs`` has it."""
+    rows = spark.createDataFrame([(b, *b.split(" ")) for b in bigrams], "b string, first string, second string")
+    return {r.b: r.c for r in rows.select("b", F.xxhash64("first", "second").alias("c")).collect()}
 
 
 def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float = THRESHOLD, runs: bool = False) -> DataFrame:
@@ -158,7 +197,9 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
     sizes = [len(b) for _, b in ready]
     narrow = threshold / (2 - threshold)
     bounds = lambda n: (F.lit(max(1, math.ceil(n * narrow - 1e-9))).alias("need"), F.lit(math.floor(n / narrow + 1e-9)).alias("most"))
-    kinds = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(len(b)).alias("n"), *bounds(len(b)), F.array(*map(F.lit, b)).alias("bigrams")) for name, b in ready))
+    codes = _codes(spark, sorted({b for _, bigrams in ready for b in bigrams})) if runs else {}
+    coded = lambda b: F.array(*(F.lit(codes[x]).cast("long") for x in b)) if runs else F.array().cast("array<bigint>")
+    kinds = F.array(*(F.struct(F.lit(name).alias("license_id"), F.lit(len(b)).alias("n"), *bounds(len(b)), F.array(*map(F.lit, b)).alias("bigrams"), coded(b).alias("codes")) for name, b in ready))
     text = F.coalesce("text", F.lit(""))
     lines = docs.select("doc_id", F.transform(F.split(text, "\n"), lambda u, k: F.struct((k + 1).alias("unit"), _words(u).alias("words"), F.lit(None).cast("array<int>").alias("sizes"))).alias("__lines"))
     lengths = F.transform("__lines", lambda u: F.size(u["words"]))
@@ -192,7 +233,7 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, threshold: float =
     matched = lambda x: F.when(x.isNotNull(), F.array(row(F.col("unit"), x))).otherwise(F.array().cast("array<struct<unit:int,license_id:string,score:double>>"))
     found = _let(own, matched)
     if runs:
-        vocabulary = sorted({b for _, bigrams in ready for b in bigrams})
+        vocabulary = sorted(codes.values())
         inside = lambda x: F.transform(F.filter(_runs(F.col("words"), kinds, vocabulary, threshold), lambda r: loose(r, x)), lambda r: row(-r["start"], r))
         found = _let(own, lambda x: F.when(F.col("unit") == 0, F.concat(matched(x), inside(x))).otherwise(matched(x)))
     return likely.select("doc_id", F.explode_outer(found).alias("m")).where("m IS NOT NULL").select("doc_id", "m.unit", "m.license_id", "m.score")
