@@ -37,24 +37,30 @@ def _packing(rows: int):
     """Blocks of at most ``rows`` rows of one dimension and lot, out of whatever a partition has; cells as narrow as they fit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[tuple[int, int], tuple[list, list]] = {}
+        waiting: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def block(key: tuple[int, int]) -> pa.RecordBatch:
-            ids, cells = waiting.pop(key)
-            values = np.array(cells, "<i8")
+        def block(key: tuple[int, int], ids: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
             kind = next(t for t in ("<i2", "<i4", "<i8") if values.min() >= np.iinfo(t).min and values.max() <= np.iinfo(t).max)
-            columns = zip((*key, kind, np.array(ids, "<i8").tobytes(), values.astype(kind).tobytes()), (pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)
+            columns = zip((*key, kind, ids.astype("<i8").tobytes(), values.astype(kind).tobytes()), (pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in columns], ["dim", "lot", "kind", "ids", "cells"])
 
         for batch in batches:
-            for k, cells, lot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held = waiting.setdefault((len(cells), lot), ([], []))
-                held[0].append(k)
-                held[1].append(cells)
-                if len(held[0]) == rows:
-                    yield block((len(cells), lot))
-        for key in [*waiting]:
-            yield block(key)
+            ids, cells, lots = batch.column(0).to_numpy(), batch.column(1), batch.column(2).to_numpy()
+            flat, sizes = cells.flatten().to_numpy(), cells.value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            for dim, lot in sorted({*zip(sizes.tolist(), lots.tolist(), strict=True)}):
+                some = np.flatnonzero((sizes == dim) & (lots == lot))
+                held = waiting.setdefault((dim, lot), [])
+                held.append((ids[some], flat[starts[some][:, None] + np.arange(dim)]))
+                if sum(len(x) for x, _ in held) >= rows:
+                    all_ids, all_cells = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                    whole = len(all_ids) // rows * rows
+                    for k in range(0, whole, rows):
+                        yield block((dim, lot), all_ids[k : k + rows], all_cells[k : k + rows])
+                    waiting[dim, lot] = [(all_ids[whole:], all_cells[whole:])] if whole < len(all_ids) else []
+        for key, held in waiting.items():
+            if held:
+                yield block(key, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
 
     return run
 
