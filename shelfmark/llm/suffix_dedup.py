@@ -26,6 +26,8 @@ from shelfmark.sources.tables import checkpoint_dir
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1
 BLOCK_BYTES, SEGMENT, BATCH_ROWS, BUCKETS = 4 << 20, 1 << 20, 1 << 14, 256
+#: Blocks whose share of the anchors one task may have.
+BLOCKS_A_TASK = 64
 _PLACE_BITS, _ASKED_BITS = 24, 48
 _MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _BLOCK = "block long, ids binary, known binary, sizes binary, body binary"
@@ -371,12 +373,13 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_packed, _BLOCK)
     packed.repartition(parts, "block").write.bucketBy(parts, "block").option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
     blocks = spark.table(name)  # bucketed, so that joins by block don't deal the text again
-    buckets = max(BUCKETS, blocks.count() // 64)
+    n = blocks.count()
+    buckets, tasks = max(BUCKETS, n // 64), max(parts, n // BLOCKS_A_TASK)  # so that a task's index stays as large, whatever the corpus
     asked = blocks.mapInArrow(_asking(buckets), "bucket int, block long, hashes binary")
     answers = asked.groupBy("bucket").applyInArrow(_answered, "block long, bucket int, n int, flags binary")
     by_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "flags")).alias("answers"))
     sent = blocks.join(by_block, "block", "left").mapInArrow(_sending, "anchor long, doc_id long, block long, body binary")
-    dealt = sent.repartition(parts, "anchor").select("doc_id", "block", "body")
+    dealt = sent.repartition(tasks, "anchor").select("doc_id", "block", "body")
     spans = dealt.sortWithinPartitions("doc_id").mapInArrow(_indexed, "block long, gone binary")
     gone = spans.groupBy("block").agg(F.collect_list("gone").alias("gone"))
     return blocks.join(gone, "block", "left").mapInArrow(_cleaned, "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")
