@@ -146,7 +146,7 @@ def failures(rows):
 
 def audited(rows, labels):
     failed, out = failures(rows), {}
-    good, toxic = ({d for d, *x in labels if x[k] == 1} for k in (0, 1))
+    good, toxic = ({d for d, *x in labels if x[k] == 1 and d is not None} for k in (0, 1))
     parts = defaultdict(list)
     for n, (_, source, _) in enumerate(rows):
         parts[source or ""].append(n)
@@ -205,7 +205,7 @@ def brute(rows, least=0.9):
     links = defaultdict(set)
     for a in sound:
         for b in sound:
-            x, y = np.array(rows[a][1], float), np.array(rows[b][1], float)
+            x, y = (np.array(rows[n][1], float) / np.abs(rows[n][1]).max() for n in (a, b))
             if a < b and len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= least:
                 links[a].add(b)
                 links[b].add(a)
