@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 QUERY_ROWS, SHARD_ROWS, PARTS = 2048, 2048, 16
+#: Blocks of candidates that a part beyond these has at least, on average.
+PART_SHARDS = 4
 #: Queries of a group; each block of candidates is dealt once to every group.
 GROUP_ROWS = 1 << 17
 _SELF = -(1 << 62)
@@ -88,7 +90,8 @@ def _tiles(k: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["query_id", "part", "vec_ids", "scores"])
 
         for batch in batches:
-            for dim, part, q_kind, q_ids, q_cells, kind, ids, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at in range(len(batch)):  # one tile of the batch at a time
+                dim, part, q_kind, q_ids, q_cells, kind, ids, cells = (c[at].as_py() for c in batch.columns)
                 q_ids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(ids, "<i8")
                 q, c = np.frombuffer(q_cells, q_kind).reshape(-1, dim), np.frombuffer(cells, kind).reshape(-1, dim)
                 order = np.argsort(ids, kind="stable")
@@ -103,8 +106,8 @@ def _tiles(k: int):
                     scores[row, a:b] = _SELF
                 columns = best(scores, ids, k)
                 for row, query in enumerate(q_ids.tolist()):
-                    at = columns[row]
-                    new = [(-s, i) for s, i in zip(scores[row, at].tolist(), ids[at].tolist(), strict=True) if s != _SELF]
+                    top_at = columns[row]
+                    new = [(-s, i) for s, i in zip(scores[row, top_at].tolist(), ids[top_at].tolist(), strict=True) if s != _SELF]
                     top[part, query] = sorted([*top.get((part, query), []), *new])[:k]
                 if len(top) > 100_000:
                     yield found()
@@ -132,12 +135,14 @@ def search(queries: DataFrame, shards: DataFrame, k: int = 5) -> DataFrame:
     sane = lambda df: df.where("id IS NOT NULL AND size(cells) > 0")
     asked = sane(queries).select("id", "cells").dropDuplicates(["id"])
     groups = max(1, -(-asked.count() // GROUP_ROWS))
-    parts = max(PARTS, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups)
+    most = -(-sane(shards).count() // (PART_SHARDS * SHARD_ROWS))  # queries are copied once a part
+    parts = max(PARTS, min(most, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups))
     asked = asked.withColumn("lot", F.pmod(F.xxhash64("id"), F.lit(groups))).repartition(groups, "lot").mapInArrow(_packing(QUERY_ROWS), _PACKED)
     held = sane(shards).select("id", "cells", F.lit(0).cast("long").alias("lot")).mapInArrow(_packing(SHARD_ROWS), _PACKED)
     asked = asked.select("dim", F.col("lot").alias("group"), F.col("kind").alias("q_kind"), F.col("ids").alias("q_ids"), F.col("cells").alias("q_cells"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     held = held.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int")).select("dim", "part", "kind", "ids", "cells", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"))
-    tiles = asked.join(held, ["dim", "group", "part"]).select("dim", F.col("part").cast("long").alias("part"), "q_kind", "q_ids", "q_cells", "kind", "ids", "cells")
+    # Sizes are guessed from the rows before they are copied, so without the hint Spark may broadcast all copies of the queries.
+    tiles = asked.hint("merge").join(held.hint("merge"), ["dim", "group", "part"]).select("dim", F.col("part").cast("long").alias("part"), "q_kind", "q_ids", "q_cells", "kind", "ids", "cells")
     lists = tiles.mapInArrow(_tiles(k), "query_id long, part long, vec_ids array<long>, scores array<long>")
     top = _merged(_merged(lists, k, "query_id", "part"), k, "query_id")
     each = top.select("query_id", F.posexplode(F.arrays_zip("vec_ids", "scores")).alias("at", "x"))

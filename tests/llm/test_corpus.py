@@ -122,6 +122,14 @@ def test_topk_matches_brute_force(spark, monkeypatch):
     assert topk.nearest(df.limit(0)).count() == 0
 
 
+def test_topk_broadcasts_no_copies_of_the_queries(spark):
+    rows = spark.createDataFrame([(k, [k % 7, k % 5]) for k in range(300)], "id long, cells array<long>")
+    found = topk.search(rows.where("id % 3 = 0"), rows, 2)
+    assert found.count() == 200
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topk_is_exact_for_huge_values(spark):
     big = 1 << 30
     rows = spark.createDataFrame([(0, [big, 1]), (1, [big, 2]), (2, [big, 3]), (3, [-big, 5])], "id long, cells array<long>")
