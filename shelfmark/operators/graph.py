@@ -1,4 +1,4 @@
-"""Neighbour graphs: nearest rows in blocks or by random projections, and labels that travel along them."""
+"""Neighbour graphs: nearest rows in cells or by random projections, and labels that travel along them."""
 
 from __future__ import annotations
 
@@ -7,68 +7,198 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 from pyspark import StorageLevel
 from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from shelfmark.functions.vectors import dot, norm
+from shelfmark.functions.vectors import norm
 from shelfmark.sources.tables import checkpointed
 
-#: Rows of a block; parts that the blocks of one side are dealt to.
-BLOCK_ROWS, PARTS = 2048, 16
-
-
-# -- exact neighbours, in blocks
-
-
-def _blocks(rows: int):
-    """Blocks of at most ``rows`` keys and their vectors (doubles, one after the other), of whatever a partition has."""
-
+#: Rows of a block, of which products are made; numbers of a side's vectors that a cell has at most, cells of a small table.
+BLOCK_ROWS, CELL_NUMBERS, PARTS = 2048, 1 << 23, 16
+#: Pairs that are scored at once.
+_PAIRS = 1 << 16
+
+
+# -- cells of rows asked for and rows held
+
+
+def _rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Halves away from zero, as SQL rounds; numbers too large to have such digits stay."""
+    scale = 10.0**digits
+    return np.where(np.abs(x) < 1e15 / scale, np.copysign(np.floor(np.abs(x) * scale + 0.5), x) / scale, x)
+
+
+def _first_copies(vectors: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
+    """The rows of the k + 1 smallest keys of each distinct vector: no other copy is among the k best of any row."""
+    _, of = np.unique(np.ascontiguousarray(vectors).view(f"V{vectors.strides[0]}").ravel(), return_inverse=True)
+    order = np.lexsort((codes, of))
+    begins = np.diff(of[order], prepend=-1) != 0
+    rank = np.cumsum(begins | (np.diff(codes[order], prepend=-1) != 0))
+    starts = np.maximum.accumulate(np.where(begins, rank, 0))
+    return np.sort(order[rank - starts <= k])
+
+
+class _Cell:
+    """The pairs of a cell's two sides, each side with its vectors, its keys' places among all keys of the cell and its places in tables."""
+
+    def __init__(self, sides, k: int | None, least: float | None, digits: int):
+        (self.q, self.q_codes, self.q_places), (self.c, self.c_codes, self.c_places) = sides
+        self.k, self.least, self.digits = k, -np.inf if least is None else least, digits
+        sizes = [np.sqrt(np.einsum("ij,ij->i", x.astype(float), x.astype(float))) for x in (self.q, self.c)]
+        narrow = max(sizes[0].max(), sizes[1].max()) < 1e18
+        self.kind, unit, floor = (np.float32, 2.0**-24, 1e-36) if narrow else (np.float64, 2.0**-53, 0.0)
+        #: By how much a product of this kind and the rounding may be below a score.
+        self.slack = 0.51 * 10.0**-digits + floor + (self.q.shape[1] + 8) * unit * sizes[0] * sizes[1].max()
+        self.q_flat, self.c_flat = self.q.astype(self.kind), self.c.astype(self.kind)
+        if k is not None:
+            self.scores, self.codes = np.full((len(self.q), k), -np.inf), np.full((len(self.q), k), -1)
+        self.out: list[tuple[np.ndarray, ...]] = []
+
+    def bound(self, rows: np.ndarray) -> np.ndarray:
+        """Products below it can't count any more."""
+        least = np.full(len(rows), self.least) if self.k is None else np.maximum(self.scores[rows, -1], self.least)
+        return np.nextafter((least - self.slack[rows]).astype(self.kind), self.kind(-np.inf))
+
+    def offer(self, i: np.ndarray, j: np.ndarray, table: int | None) -> None:
+        """Scores pairs and keeps those that count. Of pairs from a table those count that no table before brings together,
+        of others those that any does."""
+        for at in range(0, len(i), _PAIRS):
+            a, b = i[at : at + _PAIRS], j[at : at + _PAIRS]
+            fine = self.q_codes[a] != self.c_codes[b]
+            if self.q_places is not None:
+                met = (self.q_places[a, :table] == self.c_places[b, :table]).any(axis=1)
+                fine &= met if table is None else ~met
+            a, b = a[fine], b[fine]
+            score = _rounded(np.einsum("ij,ij->i", self.q[a].astype(float), self.c[b].astype(float)), self.digits)
+            fine = np.isfinite(score) & (score >= self.least)
+            if self.k is None:
+                self.out.append((self.q_codes[a[fine]], self.c_codes[b[fine]], score[fine]))
+            elif fine.any():
+                self._keep(a[fine], self.c_codes[b[fine]], score[fine])
+
+    def _keep(self, a: np.ndarray, codes: np.ndarray, score: np.ndarray) -> None:
+        rows = np.unique(a)
+        each, scores, held = (np.concatenate(x) for x in ((np.repeat(rows, self.k), a), (self.scores[rows].ravel(), score), (self.codes[rows].ravel(), codes)))
+        order = np.lexsort((held, -scores, each))
+        best = order[np.searchsorted(each[order], rows)[:, None] + np.arange(self.k)]
+        self.scores[rows], self.codes[rows] = scores[best], held[best]
+
+    def multiply(self, rows: np.ndarray, columns: np.ndarray, table: int | None, block: int) -> Iterator[None]:
+        """Offers what the products of ``rows`` and ``columns`` don't rule out; the first blocks are narrow, to raise the bound soon."""
+        for at in range(0, len(rows), max(1, block // 2)):
+            some, begin, step = rows[at : at + max(1, block // 2)], 0, block if self.k is None else min(block, 64)
+            while begin < len(columns):
+                held = columns[begin : begin + step]
+                hit = np.flatnonzero((self.q_flat[some] @ self.c_flat[held].T) >= self.bound(some)[:, None])
+                self.offer(some[hit // len(held)], held[hit % len(held)], table)
+                yield
+                begin, step = begin + step, min(block, 2 * step)
+
+    def search(self, block: int) -> Iterator[None]:
+        """All pairs; or those that share a place in a table: table by table, unless the tables together bring more pairs
+        than there are, which are then multiplied once."""
+        every = np.arange(len(self.q)), np.arange(len(self.c))
+        if self.q_places is None:
+            yield from self.multiply(*every, None, block)
+            return
+        met = [self._met(t) for t in range(self.q_places.shape[1])]
+        if sum(int((n * m).sum()) for _, _, (_, n), (_, m) in met) >= len(self.q) * len(self.c):
+            yield from self.multiply(*every, None, block)
+            return
+        for t, (left, right, (a, n), (b, m)) in enumerate(met):
+            small = n * m <= 4096
+            for k in np.flatnonzero(~small):
+                yield from self.multiply(left[a[k] : a[k] + n[k]], right[b[k] : b[k] + m[k]], t, block)
+            a, n, b, m = a[small], n[small], b[small], m[small]
+            lot = np.cumsum(n * m) // _PAIRS
+            for some in np.split(np.arange(len(n)), np.flatnonzero(np.diff(lot)) + 1):
+                pairs = n[some] * m[some]
+                of = np.repeat(some, pairs)
+                nth = np.arange(len(of)) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+                self.offer(left[a[of] + nth // m[of]], right[b[of] + nth % m[of]], t)
+                yield
+
+    def _met(self, t: int):
+        """Both sides in order of their places in table ``t``, and of each shared place the first row and the rows on each side."""
+        left, right = (np.argsort(x[:, t], kind="stable") for x in (self.q_places, self.c_places))
+        (u, a, n), (v, b, m) = (np.unique(x[o, t], return_index=True, return_counts=True) for x, o in ((self.q_places, left), (self.c_places, right)))
+        _, x, y = np.intersect1d(u, v, assume_unique=True, return_indices=True)
+        return left, right, (a[x], n[x]), (b[y], m[y])
+
+    def found(self) -> tuple[np.ndarray, ...]:
+        if self.k is not None:
+            row, at = np.nonzero(np.isfinite(self.scores))
+            return self.q_codes[row], self.codes[row, at], self.scores[row, at]
+        out, self.out = [np.concatenate(x) for x in zip(*self.out, strict=True)] if self.out else [np.empty(0, int)] * 3, []
+        return tuple(out)
+
+
+def _searching(k: int | None, least: float | None, digits: int, kind: pa.DataType, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, cells, width = [], [], 0
-
-        def block() -> pa.RecordBatch:
-            columns = [pa.array([keys]), pa.array([np.concatenate(cells).astype("<f8").tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["keys", "cells"])
-
-        for batch in batches:
-            for k in range(0, len(batch), rows):
-                part = batch[k : k + rows]
-                vectors = part.column(1)
-                if len(part) + len(keys) > rows:
-                    yield block()
-                    keys, cells = [], []
-                keys += part.column(0).to_pylist()
-                cells.append(vectors.flatten().to_numpy(zero_copy_only=False).astype("<f8"))
-                width = width or len(vectors[0])
-                if any(n != width for n in vectors.value_lengths().to_pylist()):
-                    raise ValueError("vectors of one table have one number of components")
-        if keys:
-            yield block()
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        vectors, asks = rows["vec"].combine_chunks(), rows["asked"].to_numpy()
+        if len(set(vectors.value_lengths().to_pylist())) > 1:
+            raise ValueError("vectors of one table have one number of components")
+        flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        codes = pa.compute.rank(rows["key"], tiebreaker="dense").to_numpy().astype(int)
+        keys = rows["key"].take(pa.array(np.unique(codes, return_index=True)[1]))  # by code less one
+        places = None
+        if "places" in rows.column_names:
+            places = rows["places"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+        fine = np.isfinite(flat).all(axis=1)
+        left, right = np.flatnonzero(fine & asks), np.flatnonzero(fine & ~asks)
+        right = right[np.argsort(codes[right], kind="stable")]
+        if k is not None and len(right):
+            right = right[_first_copies(flat[right], codes[right], k)]
+        if not len(left) or not len(right) or not flat.shape[1]:
+            return
+        cell = _Cell([(flat[x], codes[x], None if places is None else places[x]) for x in (left, right)], k, least, digits)
+        del rows, vectors, flat, places
+
+        def batch() -> pa.RecordBatch:
+            a, b, score = cell.found()
+            named = [keys.take(pa.array(x - 1)).cast(kind) for x in (a, b)]
+            named = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in named]
+            return pa.RecordBatch.from_arrays([*named, pa.array(score, pa.float64())], ["query", "key", "score"])
+
+        for _ in cell.search(block):
+            if sum(len(x) for x, _, _ in cell.out) >= _PAIRS:
+                yield batch()
+        yield batch()
 
     return run
 
 
-def _tile(k: int, digits: int, kind: pa.DataType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q_keys, q_cells, keys, cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held = np.array(keys)
-                order = np.argsort(held, kind="stable")
-                held = held[order]
-                q, c = (np.frombuffer(x, "<f8").reshape(n, -1) for x, n in ((q_cells, len(q_keys)), (cells, len(keys))))
-                scores = np.round(q @ c[order].T, digits)
-                scores[np.array(q_keys)[:, None] == held[None, :]] = -np.inf
-                at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(scores, at, 1)
-                fine = np.isfinite(best)
-                asked = np.repeat(np.arange(len(q_keys)), fine.sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array([q_keys[j] for j in asked], kind), pa.array(held[at[fine]].tolist(), kind), pa.array(best[fine])], ["query", "key", "score"])
+def _pairs(asked: DataFrame, held: DataFrame, key: str, k: int | None, least: float | None, digits: int) -> DataFrame:
+    """query, key, score of the pairs of ``asked`` and ``held`` (key, vec, and places in tables if they have them) of ``least``
+    or more; with ``k``, of at least the k best of each query.
 
-    return run
+    Both sides are dealt as a grid: a cell has a group of one and a part of the other, so the memory of a task doesn't grow
+    with the tables, and a row is written once for each cell that it is in. Products in single precision rule out what is
+    surely below the bound; what is left is scored in double precision. No pair is shuffled that isn't in the result.
+    """
+    sound = [df.where(F.col(key).isNotNull() & F.col("vec").isNotNull()) for df in (asked, held)]
+    (n, width), (m, wide) = (df.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first() for df in sound)
+    most = max(1, CELL_NUMBERS // max(1, width, wide))
+    groups = max(1, -(-n // most))
+    parts = max(-(-m // most), -(-PARTS // groups))
+    lot = lambda of: F.pmod(F.xxhash64(key, "vec"), F.lit(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long"))).alias("copy")
+    more = [c for c in ("places",) if c in asked.columns]
+    left = sound[0].select(F.col(key).alias("key"), "vec", *more, F.lit(True).alias("asked"), lot(groups).alias("lot"), every(parts))
+    right = sound[1].select(F.col(key).alias("key"), "vec", *more, F.lit(False).alias("asked"), lot(parts).alias("lot"), every(groups))
+    cells = left.withColumn("cell", F.col("lot") * parts + F.col("copy")).unionByName(right.withColumn("cell", F.col("copy") * parts + F.col("lot"))).drop("lot", "copy")
+    kind = asked.schema[key].dataType
+    dealt = cells.repartition(4 * groups * parts, "cell")  # few cells share a task
+    return dealt.groupBy("cell").applyInArrow(_searching(k, least, digits, to_arrow_type(kind), BLOCK_ROWS), f"query {kind.simpleString()}, key {kind.simpleString()}, score double")
+
+
+# -- exact neighbours
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -79,17 +209,12 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 def nearest(asked: DataFrame, held: DataFrame, key: str, k: int, digits: int = 6) -> DataFrame:
     """query, key, score, rank: for each row of ``asked`` (key, vec) the k rows of ``held`` of largest inner product.
 
-    Exact: the rows of both sides are packed in blocks, every block of ``asked`` meets every block of ``held`` once, as
-    one matrix product of which each row keeps its k best; ties go to the smaller key, the row itself is left out. The
-    work grows with the product of both sides, so ``asked`` is a stated set; for all rows of a large table there is
-    ``lsh_neighbors``. Null keys and vectors take no part; vectors are of one length.
+    Exact: every row of ``asked`` meets every row of ``held`` once; ties go to the smaller key, the row itself is left out.
+    The work grows with the product of both sides, one multiplication of matrices a cell (see ``_pairs``); of equal vectors
+    that are held, k + 1 are compared. For close rows there is ``lsh_neighbors``. Null keys and vectors, and vectors with
+    numbers that are null or not finite, take no part; vectors are of one length.
     """
-    kind = asked.schema[key].dataType.simpleString()
-    packed = lambda df: df.where(F.col(key).isNotNull() & F.col("vec").isNotNull()).select(key, F.col("vec").cast("array<double>")).mapInArrow(_blocks(BLOCK_ROWS), f"keys array<{kind}>, cells binary")
-    left = packed(asked).select(F.col("keys").alias("q_keys"), F.col("cells").alias("q_cells"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    right = packed(held).withColumn("part", F.pmod(F.xxhash64("keys"), F.lit(PARTS)).cast("int"))
-    tiles = left.join(right, "part").select("q_keys", "q_cells", "keys", "cells")
-    return _best(tiles.mapInArrow(_tile(k, digits, to_arrow_type(asked.schema[key].dataType)), f"query {kind}, key {kind}, score double"), k)
+    return _best(_pairs(asked.select(key, "vec"), held.select(key, "vec"), key, k, None, digits), k)
 
 
 # -- neighbours by random projections
@@ -103,13 +228,23 @@ class Tables:
     count: int
     width: int
 
-    def places(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (…, vec) with a row for each table, in the column ``place`` (table, buckets)."""
+    def _hashed(self, rows: DataFrame) -> tuple[DataFrame, list[Column]]:
+        """``rows`` (…, vec) hashed, and each table's buckets."""
         hashed = self.model.transform(rows.withColumn("__features", array_to_vector(F.col("vec").cast("array<double>"))))
         bucket = [vector_to_array(F.col("__hashes")[i])[0].cast("long") for i in range(self.count * self.width)]
-        places = [F.struct(F.lit(t).alias("table"), F.array(*bucket[t * self.width : (t + 1) * self.width]).alias("buckets")) for t in range(self.count)]
+        return hashed, [F.array(*bucket[t * self.width : (t + 1) * self.width]) for t in range(self.count)]
+
+    def places(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (…, vec) with a row for each table, in the column ``place`` (table, buckets)."""
+        hashed, buckets = self._hashed(rows)
+        places = [F.struct(F.lit(t).alias("table"), b.alias("buckets")) for t, b in enumerate(buckets)]
         return hashed.select(*rows.columns, F.explode(F.array(*places)).alias("place"))
 
+    def coded(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (…, vec) with ``places``, a 64-bit hash of the buckets of each table."""
+        hashed, buckets = self._hashed(rows)
+        return hashed.select(*rows.columns, F.array(*map(F.xxhash64, buckets)).alias("places"))
+
 
 def lsh_tables(vectors: DataFrame, tables: int = 16, width: int = 2, bucket: float = 0.5, seed: int = 42) -> Tables:
     """Hash tables for ``vectors`` (vec): fitting only draws directions, so it reads one row.
@@ -136,12 +271,14 @@ def lsh_candidates(asked: DataFrame, held: DataFrame, key: str, tables: Tables)
 
 def lsh_neighbors(asked: DataFrame, held: DataFrame, key: str, tables: Tables, k: int | None = None, least: float | None = None, digits: int = 6) -> DataFrame:
     """query, key, score (and rank, with ``k``): the candidates with their exact inner products, the k best of each query
-    or those of ``least`` or more. What no table brings together is missing; ``recall`` tells how much that is."""
-    pairs = lsh_candidates(asked, held, key, tables)
-    of = lambda df, name: df.select(F.col(key).alias(name), F.col("vec").alias(f"{name}_vec"))
-    both = pairs.join(of(asked, "query"), "query").join(of(held, "key"), "key")
-    scored = both.select("query", "key", F.round(dot(F.col("query_vec"), F.col("key_vec")), digits).alias("score"))
-    scored = scored if least is None else scored.where(F.col("score") >= least)
+    or those of ``least`` or more. What no table brings together is missing; ``recall`` tells how much that is.
+
+    Candidates are made, scored and dropped within cells of both sides (see ``_pairs``), not joined as rows: tables that
+    bring most rows together would shuffle nearly all pairs, once a table. Vectors with numbers that are null or not finite
+    take no part."""
+    finite = F.forall("vec", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    sound = lambda df: tables.coded(df.where(F.col(key).isNotNull() & F.col("vec").isNotNull() & finite).select(key, "vec"))
+    scored = _pairs(sound(asked), sound(held), key, k, least, digits)
     return scored if k is None else _best(scored, k)
 
 

@@ -69,6 +69,43 @@ def test_projections_recall_of_the_exact_search(spark):
     assert row.n == 20 and row.recall >= 0.9
 
 
+def brute(x, least, digits=6):
+    scores = x @ x.T
+    return {(a, b): round(float(scores[a, b]), digits) for a in range(len(x)) for b in range(len(x)) if a != b and round(float(scores[a, b]), digits) >= least}
+
+
+@pytest.mark.parametrize(("count", "width", "bucket"), [(1, 1, 100.0), (2, 1, 0.5), (6, 3, 0.4)])
+def test_projections_score_candidates_without_shuffling_pairs(spark, monkeypatch, count, width, bucket):
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(graph, "CELL_NUMBERS", 400)  # several groups and parts
+    x = units(np.random.default_rng(4), 150, 6)
+    x[70] = x[2]
+    rows = frame(spark, x)
+    tables = graph.lsh_tables(rows, count, width, bucket)
+    found = graph.lsh_neighbors(rows, rows, "id", tables, least=0.3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [((r["query"], r["key"]), r.score) for r in found.collect()]
+    assert len({p for p, _ in got}) == len(got)  # a pair comes once, however many tables bring it together
+    asked = pairs(graph.lsh_candidates(rows, rows, "id", tables))
+    assert dict(got) == {p: s for p, s in brute(x, 0.3).items() if p in asked}
+    best = {(r["query"], r["rank"]): (r["key"], r.score) for r in graph.lsh_neighbors(rows, rows, "id", tables, k=2).collect()}
+    every = brute(x, -9)
+    for q in range(len(x)):
+        want = sorted((-every[q, b], b) for a, b in asked if a == q)[:2]
+        assert [best[q, k + 1] for k in range(len(want))] == [(b, -s) for s, b in want]
+
+
+def test_nearest_of_many_copies_odd_numbers_and_halves(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELL_NUMBERS", 200)
+    x = np.array([[1.0, 0.0]] * 80 + [[0.6, 0.8]] * 40 + [[1e200, 0.0], [1e-3, 0.0]])
+    rows = frame(spark, x).unionByName(frame(spark, [[float("nan"), 1.0], [float("inf"), 0.0]], 900))
+    got = {(r["query"], r["rank"]): (r["key"], r.score) for r in graph.nearest(rows, rows, "id", 4).collect()}
+    assert [got[0, k][0] for k in range(1, 5)] == [120, 1, 2, 3] and [got[79, k][0] for k in range(1, 5)] == [120, 0, 1, 2]
+    assert [got[100, k][0] for k in range(2, 5)] == [80, 81, 82] and len(got) == 122 * 4
+    halves = frame(spark, [[0.0078125], [1.0], [-1.0]])
+    assert {(r["query"], r["key"]): r.score for r in graph.nearest(halves.where("id = 0"), halves, "id", 2).collect()} == {(0, 1): 0.007813, (0, 2): -0.007813}
+
+
 def test_recall_of_nothing_wanted_is_whole(spark):
     none = spark.createDataFrame([], "query long, key long")
     assert graph.recall(none, none).first().recall == 1.0
