@@ -307,8 +307,8 @@ def pseudo_labels(neighbors: DataFrame, labels: DataFrame, agree: float = 0.7, l
 
 def undirected(neighbors: DataFrame) -> DataFrame:
     """src, dst, w: both directions of every pair of ``neighbors`` (query, key, score) of positive score, once each."""
-    positive = neighbors.where("score > 0")
-    both = positive.select(F.col("query").alias("src"), F.col("key").alias("dst"), F.col("score").alias("w")).unionByName(positive.select(F.col("key").alias("src"), F.col("query").alias("dst"), F.col("score").alias("w")))
+    way = lambda src, dst: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    both = neighbors.where("score > 0").select(F.explode(F.array(way("query", "key"), way("key", "query"))).alias("way"), F.col("score").alias("w")).select("way.*", "w")  # not a union, which works neighbours out twice
     return both.groupBy("src", "dst").agg(F.max("w").alias("w"))
 
 
@@ -323,9 +323,9 @@ def label_spread(edges: DataFrame, seeds: DataFrame, rounds: int | None = None,
     """
     named = seeds.where("node IS NOT NULL AND label IS NOT NULL").select("node", "label").distinct()
     fixed = checkpointed(named.join(named.groupBy("node").agg(F.count("*").alias("n")), "node").select("node", "label", (1 / F.col("n")).alias("p")))
-    moving = edges.where("w > 0 AND src <> dst").join(fixed.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti")
+    moving = checkpointed(edges.where("w > 0 AND src <> dst").join(fixed.select(F.col("node").alias("dst")).distinct(), "dst", "left_anti"))  # it is read twice
     degree = moving.groupBy("dst").agg(F.sum("w").alias("total"))
-    share = checkpointed(moving.join(degree, "dst").select("src", "dst", (F.col("w") / F.col("total")).alias("w")))
+    share = moving.join(degree, "dst").select("src", "dst", (F.col("w") / F.col("total")).alias("w"))
     share = share.repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     now, n = fixed, 0
     try:

@@ -106,6 +106,13 @@ def test_nearest_of_many_copies_odd_numbers_and_halves(spark, monkeypatch):
     assert {(r["query"], r["key"]): r.score for r in graph.nearest(halves.where("id = 0"), halves, "id", 2).collect()} == {(0, 1): 0.007813, (0, 2): -0.007813}
 
 
+def test_neighbours_are_worked_out_once(spark):
+    rows = frame(spark, units(np.random.default_rng(5), 60, 4))
+    found = graph.nearest(rows, rows, "id", 3)
+    assert graph.undirected(found)._jdf.queryExecution().optimizedPlan().toString().count("InArrow") == 1
+    assert graph._pairs(rows, rows, "id", 3, None, 6).count() <= 60 * 3 * graph.PARTS  # a task's best, not a block's
+
+
 def test_recall_of_nothing_wanted_is_whole(spark):
     none = spark.createDataFrame([], "query long, key long")
     assert graph.recall(none, none).first().recall == 1.0
