@@ -40,6 +40,8 @@ _MEMO_WORD = 64
 #: Texts whose tokens a worker holds at once.
 _SLICE = 256
 _NEVER = 1 << 60
+#: Where so few nodes of the trie of labels or fewer go on, it is looked up whether any of them may follow; elsewhere a token is begun unchecked.
+_FEW = 8
 #: Counts are differences between tokenizations of a few dozen bytes, kept in 12 bits.
 _BIAS = 1 << 11
 
@@ -116,6 +118,10 @@ class MergeAutomaton:
                 self._inner[node] = True
                 node = self._child[key]
             self._token_at[node] = i
+        sizes = [1] * len(self._below)
+        for node in range(len(sizes) - 1, -1, -1):  # nodes below one come after it
+            sizes[node] += sum(sizes[x] for x in self._below[node])
+        self._few = bytes(n <= _FEW for n in sizes)
 
     def _open(self, entered: int, label: int) -> bool:
         """Whether the state that arcs ``entered`` lead to has an arc ``label``."""
@@ -213,7 +219,8 @@ class MergeAutomaton:
             ends = self._token_at[node]
             if label < 0 <= ends and (before < 0 or self.arc(before, ends)):
                 label, count = ends, tokens + 1
-            if self._inner[node] and (before < 0 or self._viable(node, before)):
+            # Begun tokens that can't end change no path: the label that ends is asked for its arc anyway.
+            if self._inner[node] and (before < 0 or not self._few[node] or self._viable(node, before)):
                 kept.append((node, before, tokens))
         if label < 0:
             raise ValueError("the merges accept no token sequence for this word")

@@ -52,6 +52,16 @@ def test_the_machine_starts_anew_when_full(monkeypatch, library):
         assert codec.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_few_arcs_are_tried_for_a_step_of_the_machine(monkeypatch):
+    machine, calls = bpe.MergeAutomaton(open(PATH, "rb").read()), []
+    opened = machine._open
+    monkeypatch.setattr(machine, "_open", lambda entered, label: calls.append(label) or opened(entered, label))
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 12))) for _ in range(2000)]
+    assert all(b"".join(machine.labels[i] for i in machine.path(w.encode())) == w.encode() for w in words)
+    assert len(calls) < 5 * len(machine._next)
+
+
 def test_frames_with_nulls_repeats_and_clashing_columns(spark, library):
     rows = [(1, None, "x"), (2, "", "y"), (3, "Hello  world<|endoftext|>!", "z"), (3, "Hello  world<|endoftext|>!", "z"), (None, "a" * 5000, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
