@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
+from shelfmark.llm.worker import vacate
 from shelfmark.sources.tables import checkpointed
 
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -37,6 +38,7 @@ def _key(line: bytes, least: int) -> bytes | None:
 
 def _hashed(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc, text_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -118,6 +120,7 @@ def _bitmap(n_lines: pa.Array, dropped: pa.Array) -> pa.Array:
 
 @arrow_udf(T.StructType().add("kept", "string").add("n_lines", "long").add("n_dropped", "long"))
 def _applied(texts: pa.Array, keep: pa.Array) -> pa.Array:
+    vacate()
     kept, lines, dropped = [], [], []
     for text, packed in zip(texts.to_pylist(), keep.to_pylist(), strict=True):
         parts = (text or "").split("\n")

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import arrow_udf
 
 from shelfmark.llm.components import components
+from shelfmark.llm.worker import vacate
 from shelfmark.sources.tables import checkpointed
 
 #: (first bit, bits, radius) by the number of distinct fingerprints; each layout finds every pair within 4 bits.
@@ -42,6 +43,7 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
 
 @arrow_udf(T.LongType())
 def fingerprints(texts: pa.Array) -> pa.Array:
+    vacate()
     found = [fingerprint((t or "").encode()) for t in texts.to_pylist()]
     return pa.array(np.array(found, "<u8").view("<i8"))
 

@@ -4,10 +4,11 @@ import hashlib
 import random
 import time
 
+import pyarrow as pa
 import xxhash
 
 import corpus_pipeline
-from shelfmark.llm import licences, line_dedup, quality, simhash, topk
+from shelfmark.llm import licences, line_dedup, quality, simhash, topk, worker
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -85,3 +86,10 @@ def test_null_ids_of_quality_and_search(spark):
     assert sorted((r.held_out, 0 <= r.score <= 1) for r in rows) == [(False, True), (False, True)] and max(r.predicted for r in rows) == 1
     vectors = spark.createDataFrame([(None, [1.0, 0.0]), (0, [1.0, 0.0]), (50, [0.5, 0.5]), (7, None), (8, [None, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.nearest(vectors).collect()) == [(0, 1, 50, 32768), (50, 1, 0, 32768)]
+
+
+def test_stages_without_a_model_give_up_the_worker_s():
+    for stage in (lambda: simhash.fingerprints.func(pa.array(["a b", None])), lambda: list(line_dedup._hashed(20)(iter([])))):
+        worker.resident("model", lambda: object())
+        stage()
+        assert not worker._HELD
