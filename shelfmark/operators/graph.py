@@ -14,12 +14,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from shelfmark.functions.vectors import norm
 from shelfmark.sources.tables import checkpointed
 
 #: Rows of a block, of which products are made; numbers of a side's vectors that a cell has at most, cells of a small table.
 BLOCK_ROWS, CELL_NUMBERS, PARTS = 2048, 1 << 23, 16
+#: Lots of a small table that is searched for pairs of its own rows; cells have two of them, so there are 21.
+LOTS = 6
 #: Pairs that are scored at once.
 _PAIRS = 1 << 16
 
@@ -44,17 +47,18 @@ def _first_copies(vectors: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
 
 
 class _Cell:
-    """The pairs of a cell's two sides, each side with its vectors, its keys' places among all keys of the cell and its places in tables."""
+    """The pairs of a cell's two sides, each side with its vectors, its keys' places among all keys of the cell and its places in tables.
+    Where both sides are the same rows (``own``), a pair counts once: first the row that stands first."""
 
-    def __init__(self, sides, k: int | None, least: float | None, digits: int):
+    def __init__(self, sides, k: int | None, least: float | None, digits: int, own: bool = False):
         (self.q, self.q_codes, self.q_places), (self.c, self.c_codes, self.c_places) = sides
-        self.k, self.least, self.digits = k, -np.inf if least is None else least, digits
-        sizes = [np.sqrt(np.einsum("ij,ij->i", x.astype(float), x.astype(float))) for x in (self.q, self.c)]
+        self.k, self.least, self.digits, self.own = k, -np.inf if least is None else least, digits, own
+        sizes = [np.sqrt(np.einsum("ij,ij->i", x, x, dtype=float)) for x in (self.q, self.c)]
         narrow = max(sizes[0].max(), sizes[1].max()) < 1e18
         self.kind, unit, floor = (np.float32, 2.0**-24, 1e-36) if narrow else (np.float64, 2.0**-53, 0.0)
         #: By how much a product of this kind and the rounding may be below a score.
         self.slack = 0.51 * 10.0**-digits + floor + (self.q.shape[1] + 8) * unit * sizes[0] * sizes[1].max()
-        self.q_flat, self.c_flat = self.q.astype(self.kind), self.c.astype(self.kind)
+        self.q_flat, self.c_flat = self.q.astype(self.kind, copy=False), self.c.astype(self.kind, copy=False)
         if k is not None:
             self.scores, self.codes = np.full((len(self.q), k), -np.inf), np.full((len(self.q), k), -1)
         self.out: list[tuple[np.ndarray, ...]] = []
@@ -70,6 +74,8 @@ class _Cell:
         for at in range(0, len(i), _PAIRS):
             a, b = i[at : at + _PAIRS], j[at : at + _PAIRS]
             fine = self.q_codes[a] != self.c_codes[b]
+            if self.own:
+                fine &= a < b
             if self.q_places is not None:
                 met = (self.q_places[a, :table] == self.c_places[b, :table]).any(axis=1)
                 fine &= met if table is None else ~met
@@ -91,7 +97,7 @@ class _Cell:
     def multiply(self, rows: np.ndarray, columns: np.ndarray, table: int | None, block: int) -> Iterator[None]:
         """Offers what the products of ``rows`` and ``columns`` don't rule out; the first blocks are narrow, to raise the bound soon."""
         for at in range(0, len(rows), max(1, block // 2)):
-            some, begin, step = rows[at : at + max(1, block // 2)], 0, block if self.k is None else min(block, 64)
+            some, begin, step = rows[at : at + max(1, block // 2)], at if self.own else 0, block if self.k is None else min(block, 64)
             while begin < len(columns):
                 held = columns[begin : begin + step]
                 hit = np.flatnonzero((self.q_flat[some] @ self.c_flat[held].T) >= self.bound(some)[:, None])
@@ -108,6 +114,7 @@ class _Cell:
             return
         met = [self._met(t) for t in range(self.q_places.shape[1])]
         if sum(int((n * m).sum()) for _, _, (_, n), (_, m) in met) >= len(self.q) * len(self.c):
+            del met
             yield from self.multiply(*every, None, block)
             return
         for t, (left, right, (a, n), (b, m)) in enumerate(met):
@@ -138,10 +145,10 @@ class _Cell:
         return tuple(out)
 
 
-def _searching(k: int | None, least: float | None, digits: int, kind: pa.DataType, block: int):
+def _searching(k: int | None, least: float | None, digits: int, kind: pa.DataType, block: int, mirror: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).combine_chunks()
-        vectors, asks = rows["vec"].combine_chunks(), rows["asked"].to_numpy()
+        vectors, side = rows["vec"].combine_chunks(), rows["side"].to_numpy()
         if len(set(vectors.value_lengths().to_pylist())) > 1:
             raise ValueError("vectors of one table have one number of components")
         flat = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
@@ -151,17 +158,23 @@ def _searching(k: int | None, least: float | None, digits: int, kind: pa.DataTyp
         if "places" in rows.column_names:
             places = rows["places"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
         fine = np.isfinite(flat).all(axis=1)
-        left, right = np.flatnonzero(fine & asks), np.flatnonzero(fine & ~asks)
+        left, right = np.flatnonzero(fine & (side & 1 > 0)), np.flatnonzero(fine & (side & 2 > 0))
         right = right[np.argsort(codes[right], kind="stable")]
+        if own := bool((side == 3).all()):
+            left = right
         if k is not None and len(right):
             right = right[_first_copies(flat[right], codes[right], k)]
         if not len(left) or not len(right) or not flat.shape[1]:
             return
-        cell = _Cell([(flat[x], codes[x], None if places is None else places[x]) for x in (left, right)], k, least, digits)
+        sides = [(flat[x], codes[x], None if places is None else places[x]) for x in ((left,) if own else (left, right))]
         del rows, vectors, flat, places
+        cell = _Cell(sides * 2 if own else sides, k, least, digits, own)
+        del sides
 
         def batch() -> pa.RecordBatch:
             a, b, score = cell.found()
+            if mirror:
+                a, b, score = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(score, 2)
             named = [keys.take(pa.array(x - 1)).cast(kind) for x in (a, b)]
             named = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in named]
             return pa.RecordBatch.from_arrays([*named, pa.array(score, pa.float64())], ["query", "key", "score"])
@@ -190,12 +203,34 @@ def _pairs(asked: DataFrame, held: DataFrame, key: str, k: int | None, least: fl
     lot = lambda of: F.pmod(F.xxhash64(key, "vec"), F.lit(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long"))).alias("copy")
     more = [c for c in ("places",) if c in asked.columns]
-    left = sound[0].select(F.col(key).alias("key"), "vec", *more, F.lit(True).alias("asked"), lot(groups).alias("lot"), every(parts))
-    right = sound[1].select(F.col(key).alias("key"), "vec", *more, F.lit(False).alias("asked"), lot(parts).alias("lot"), every(groups))
+    left = sound[0].select(F.col(key).alias("key"), "vec", *more, F.lit(1).alias("side"), lot(groups).alias("lot"), every(parts))
+    right = sound[1].select(F.col(key).alias("key"), "vec", *more, F.lit(2).alias("side"), lot(parts).alias("lot"), every(groups))
     cells = left.withColumn("cell", F.col("lot") * parts + F.col("copy")).unionByName(right.withColumn("cell", F.col("copy") * parts + F.col("lot"))).drop("lot", "copy")
-    kind = asked.schema[key].dataType
-    dealt = cells.repartition(4 * groups * parts, "cell")  # few cells share a task
-    return dealt.groupBy("cell").applyInArrow(_searching(k, least, digits, to_arrow_type(kind), BLOCK_ROWS), f"query {kind.simpleString()}, key {kind.simpleString()}, score double")
+    return _searched(cells, asked.schema[key].dataType, groups * parts, k, least, digits, False)
+
+
+def _own_pairs(rows: DataFrame, key: str, least: float | None, digits: int) -> DataFrame:
+    """The pairs of ``rows`` with each other, as ``_pairs`` of both would give them.
+
+    Rows are dealt as lots; a cell has two lots, or one with itself. A pair is scored in one cell for both of its
+    directions, so the products are half of the grid's, and a row is written once a lot.
+    """
+    sound = rows.where(F.col(key).isNotNull() & F.col("vec").isNotNull())
+    n, width = sound.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    lots = max(LOTS, -(-n // max(1, CELL_NUMBERS // max(1, width))))
+    more = [c for c in ("places",) if c in rows.columns]
+    dealt = sound.select(F.col(key).alias("key"), "vec", *more, F.pmod(F.xxhash64(key, "vec"), F.lit(lots)).alias("lot"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("other"))
+    side = F.when(F.col("lot") < F.col("other"), 1).when(F.col("lot") > F.col("other"), 2).otherwise(3)
+    cells = dealt.select("key", "vec", *more, side.alias("side"), (F.least("lot", "other") * lots + F.greatest("lot", "other")).alias("cell"))
+    return _searched(cells, rows.schema[key].dataType, lots * (lots + 1) // 2, None, least, digits, True)
+
+
+def _searched(cells: DataFrame, kind: DataType, count: int, k: int | None, least: float | None, digits: int, mirror: bool) -> DataFrame:
+    """query, key, score of the ``count`` cells of ``cells`` (key, vec, side, cell); a row's side is 1 (asked), 2 (held) or 3 (both)."""
+    dealt = cells.repartition(4 * count, "cell")  # few cells share a task
+    run = _searching(k, least, digits, to_arrow_type(kind), BLOCK_ROWS, mirror)
+    return dealt.groupBy("cell").applyInArrow(run, f"query {kind.simpleString()}, key {kind.simpleString()}, score double")
 
 
 # -- exact neighbours
@@ -274,10 +309,12 @@ def lsh_neighbors(asked: DataFrame, held: DataFrame, key: str, tables: Tables, k
     or those of ``least`` or more. What no table brings together is missing; ``recall`` tells how much that is.
 
     Candidates are made, scored and dropped within cells of both sides (see ``_pairs``), not joined as rows: tables that
-    bring most rows together would shuffle nearly all pairs, once a table. Vectors with numbers that are null or not finite
-    take no part."""
+    bring most rows together would shuffle nearly all pairs, once a table. If ``asked`` is ``held``, all pairs of a table
+    are wanted, and each is scored once for both directions. Vectors with numbers that are null or not finite take no part."""
     finite = F.forall("vec", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     sound = lambda df: tables.coded(df.where(F.col(key).isNotNull() & F.col("vec").isNotNull() & finite).select(key, "vec"))
+    if asked is held and k is None:
+        return _own_pairs(sound(held), key, least, digits)
     scored = _pairs(sound(asked), sound(held), key, k, least, digits)
     return scored if k is None else _best(scored, k)
 

@@ -706,11 +706,11 @@ def coverage_rollup(spark, d):
 _PAIRS = f"(SELECT a.vec_id AS query, b.vec_id AS key, b.label, round({_DOT.format('a.vec', 'b.vec')}, 6) AS score FROM @vectors a JOIN @vectors b ON a.vec_id <> b.vec_id)"
 
 
-@query(f"SELECT query, key, score FROM {_PAIRS} WHERE query % 20 = 0 AND score >= 0.3")
+@query(f"SELECT query, key, score FROM {_PAIRS} WHERE score >= 0.3")
 def lsh_neighbors(spark, d):
-    """Close pairs of the rows asked for, by random projections; tables are as many as the driver's spread vectors need."""
+    """Close pairs of all rows, by random projections; tables are as many as the driver's spread vectors need."""
     vectors = view(spark, d, "vectors")
-    return graph.lsh_neighbors(vectors.where("vec_id % 20 = 0"), vectors, "vec_id", graph.lsh_tables(vectors, 32, 2, 0.5), least=CLOSE)
+    return graph.lsh_neighbors(vectors, vectors, "vec_id", graph.lsh_tables(vectors, 32, 2, 0.5), least=CLOSE)
 
 
 @query(f"SELECT query, key, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS rank FROM {_PAIRS} WHERE query % 20 = 0) WHERE rank <= 10")

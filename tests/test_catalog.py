@@ -451,6 +451,16 @@ def test_registered_features_are_of_all_rows(spark, tmp_path):
     assert sorted((r.id, r.human_instrument) for r in QUERIES["features_with_labels"](spark, d).collect()) == [(str(k), "fr") for k in range(8)]
 
 
+def test_registered_close_pairs_are_of_all_rows(spark, tmp_path):
+    from shelfmark.plans.catalog_queries import QUERIES
+
+    rows = spark.read.parquet(f"{vector_tables(spark, tmp_path)}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    want = {(a, b) for a in range(len(x)) for b in range(len(x)) if a != b and round(float(x[a] @ x[b]), 6) >= 0.3}
+    got = [(r["query"], r["key"]) for r in QUERIES["lsh_neighbors"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {q for q, _ in got} == set(range(len(x)))  # not only rows whose id is divisible by something
+
+
 def test_registry_is_whole(spark):
     import __spark_entry__
 

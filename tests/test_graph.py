@@ -95,6 +95,21 @@ def test_projections_score_candidates_without_shuffling_pairs(spark, monkeypatch
         assert [best[q, k + 1] for k in range(len(want))] == [(b, -s) for s, b in want]
 
 
+@pytest.mark.parametrize(("numbers", "table"), [(1 << 23, (1, 1, 100.0)), (400, (6, 3, 0.4)), (400, (1, 1, 100.0))])
+def test_pairs_of_one_table_are_those_of_two(spark, monkeypatch, numbers, table):
+    monkeypatch.setattr(graph, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(graph, "CELL_NUMBERS", numbers)
+    x = units(np.random.default_rng(8), 200, 4)
+    x[50:120] = x[3]  # a group of copies
+    odd = [(None, [1.0, 0.0, 0.0, 0.0]), (900, None), (901, [float("nan"), 1.0, 0.0, 0.0]), (902, [None, 1.0, 0.0, 0.0]), (7, [1.0, 0.0, 0.0, 0.0])]  # 7 is there twice
+    rows = frame(spark, x).unionByName(spark.createDataFrame(odd, "id long, vec array<double>"))
+    tables = graph.lsh_tables(rows, *table)
+    for asked, digits in ((rows, 6), (rows.limit(0), 6), (rows.where("id = 3"), 6), (rows, 1)):
+        one, two = (sorted(map(tuple, graph.lsh_neighbors(asked, held, "id", tables, least=0.3, digits=digits).collect())) for held in (asked, asked.select("*")))
+        assert one == two and (len(one) > 70 * 69 or asked is not rows)
+        assert sorted((b, a, s) for a, b, s in one) == one
+
+
 def test_nearest_of_many_copies_odd_numbers_and_halves(spark, monkeypatch):
     monkeypatch.setattr(graph, "CELL_NUMBERS", 200)
     x = np.array([[1.0, 0.0]] * 80 + [[0.6, 0.8]] * 40 + [[1e200, 0.0], [1e-3, 0.0]])
